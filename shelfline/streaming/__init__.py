@@ -1,0 +1 @@
+"""Intentionally empty: the feature set this package covers has no streaming operator."""
