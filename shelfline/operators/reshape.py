@@ -24,6 +24,10 @@ def pivot_stat(
     return long.groupBy(*ids).pivot(label, list(labels)).agg(agg(value))
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fill_gaps(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,8 +41,11 @@ def fill_gaps(
     """Add the missing periods of each series between start and end with value 0.
 
     Each observed row emits itself and the empty periods up to the next one, so the dense
-    table costs one shuffle of the sparse table by series and no grid join.
+    table costs one shuffle of the sparse table by series and no grid join. The number of
+    partitions is pinned to the session's setting: the bytes of the sparse input say nothing
+    about the dense rows that follow, so coalescing by size would leave too few tasks.
     """
+    df = df.repartition(shuffle_partitions(df), *keys)
     w = Window.partitionBy(*keys).orderBy(day)
     step = F.expr(f"interval {step_days} days")
     marked = df.withColumns({"_next": F.lead(day).over(w), "_rank": F.row_number().over(w)})

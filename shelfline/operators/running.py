@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.lineage import cut
+from shelfline.operators.reshape import shuffle_partitions
 
 
 def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    return cut(df.repartitionByRange(shuffle_partitions(df), *order).withColumn("_part", F.spark_partition_id()))
 
 
 def running_total_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
