@@ -87,9 +87,8 @@ round(sum(n) OVER (ORDER BY n DESC, source) / (SELECT sum(n) FROM c)::DOUBLE, 6)
 def cumulative_share(spark, sf):
     counts = files.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     out = running_total_by(counts, [], [F.desc("n"), F.asc("source")], "n", "cumsum")
-    total = counts.agg(F.sum("n").alias("_total"))
-    out = out.join(F.broadcast(total)).withColumn("share", r6(F.col("cumsum") / F.col("_total")))
-    return out.select("source", "n", F.col("cumsum").cast("bigint").alias("cumsum"), "share")
+    share = F.col("cumsum") / counts.agg(F.sum("n")).scalar()
+    return out.select("source", "n", "cumsum", r6(share).alias("share"))
 
 
 # Two simple forecasts per day: four weeks ago, and the mean of the four weeks before that day's week.
@@ -309,9 +308,9 @@ def sum_of_forecasts(spark, sf):
 
 @query(
     "u04_set_difference",
-    "SELECT p_brand FROM part WHERE p_size > 45 EXCEPT SELECT p_brand FROM part WHERE p_size <= 45 AND p_type = 'PROMO' AND p_retailprice < 1000",
+    "SELECT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 250000",
 )
 def set_difference(spark, sf):
-    part = files.table(spark, sf, "part")
-    seen = part.filter("p_size <= 45 AND p_type = 'PROMO' AND p_retailprice < 1000").select("p_brand")
-    return part.filter("p_size > 45").select("p_brand").distinct().join(seen, "p_brand", "left_anti")
+    orders = files.table(spark, sf, "orders")
+    urgent = orders.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 250000").select("o_custkey")
+    return orders.select("o_custkey").distinct().join(urgent, "o_custkey", "left_anti")

@@ -30,7 +30,7 @@ err AS (SELECT t.*, t.demand - p.demand AS error FROM weekly t JOIN weekly p ON
 err_nodes AS ({nodes_sql("err", "sum(error) AS error", "date")}),
 sq AS (SELECT level, node, avg(error * error) AS mse FROM err_nodes GROUP BY ALL),
 rmsse AS (SELECT level, node, scale, sqrt(mse / nullif(scale, 0)) AS rmsse FROM scale JOIN sq USING (level, node)),
-parts AS (SELECT level, node, scale, rmsse, weight, rmsse * weight AS contribution FROM rmsse LEFT JOIN weights USING (level, node))
+parts AS (SELECT level, node, scale, rmsse, coalesce(weight, 0) AS weight, rmsse * coalesce(weight, 0) AS contribution FROM rmsse LEFT JOIN weights USING (level, node))
 """
 )
 

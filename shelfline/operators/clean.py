@@ -107,14 +107,11 @@ def winsorise(df: DataFrame, key: str, value: str, low: float = 0.01, high: floa
 
 
 def spliced(history: DataFrame, score: DataFrame, keep_days: int, day: str, features) -> DataFrame:
-    """Features for ``score`` rows computed with the last ``keep_days`` of history in front.
-
-    Two dates (the last of the history and the first to score) come to the driver.
-    """
-    last = history.agg(F.max(day)).first()[0]
-    first = score.agg(F.min(day)).first()[0]
-    recent = history.filter(F.col(day) > F.date_sub(F.lit(last), keep_days))
-    return features(recent.unionByName(score)).filter(F.col(day) >= F.lit(first))
+    """Features for ``score`` rows computed with the last ``keep_days`` of history in front."""
+    last = history.agg(F.max(day)).scalar()
+    first = score.agg(F.min(day)).scalar()
+    recent = history.filter(F.col(day) > F.date_sub(last, keep_days))
+    return features(recent.unionByName(score)).filter(F.col(day) >= first)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str, keep: Sequence[str]) -> DataFrame:

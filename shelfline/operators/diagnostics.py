@@ -20,7 +20,7 @@ def lagged_correlation(df: DataFrame, key: str, day: str, value: str, max_lag: i
     The first series is one value per calendar day, so its lagged copies are small enough
     to broadcast; the other series are never shuffled against each other.
     """
-    first = df.agg(F.min(key)).first()[0]
+    first = df.agg(F.min(key)).scalar()
     anchor = df.filter(F.col(key) == first).select(
         F.col(value).alias("_x"),
         F.col(day).alias("_xd"),

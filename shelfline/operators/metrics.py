@@ -44,10 +44,9 @@ def leaf_value(sold: DataFrame, prices: DataFrame, last: date, days: int) -> Dat
 
 def node_weights(valued: DataFrame) -> DataFrame:
     """Share of each node in its level's value: (level, node, value, weight)."""
-    nodes = roll_up(valued, {"value": "value"})
-    total = nodes.filter("level = 'all_id'").select(F.col("value").alias("_total"))
-    # Every level adds up to the same total, which is one row.
-    return nodes.join(F.broadcast(total)).withColumn("weight", F.try_divide("value", "_total")).drop("_total")
+    # Every level adds up to the total of the leaves.
+    total = valued.agg(F.sum("value")).scalar()
+    return roll_up(valued, {"value": "value"}).withColumn("weight", F.try_divide(F.col("value"), total))
 
 
 def leaf_errors(truth: DataFrame, forecast: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -69,9 +68,13 @@ def node_rmsse(errors: DataFrame, scale: DataFrame, horizon: int) -> DataFrame:
 
 
 def contributors(rmsse: DataFrame, weights: DataFrame) -> DataFrame:
-    """(level, node, scale, rmsse, weight, contribution); weights of all levels add up to 1."""
+    """(level, node, scale, rmsse, weight, contribution); weights of all levels add up to 1.
+
+    A node that sold nothing in the weight window has weight 0.
+    """
+    share = F.coalesce("weight", F.lit(0.0)) / len(LEVELS)
     return rmsse.join(weights.select(*NODE, "weight"), NODE, "left").withColumns(
-        {"weight": F.col("weight") / len(LEVELS), "contribution": F.col("rmsse") * F.col("weight") / len(LEVELS)}
+        {"weight": share, "contribution": F.col("rmsse") * share}
     )
 
 
