@@ -38,6 +38,9 @@ base AS (SELECT * FROM (SELECT *, {shifted} AS shifted_demand FROM released) {ke
 
 def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     types = dict(df.dtypes)
+    if "price_mean" in columns:
+        # A mean of cents can end exactly on half a unit of the last digit; the nudge settles such ties.
+        df = df.withColumn("price_mean", F.col("price_mean") + 1e-9)
     return df.select(*[F.round(c, 6).alias(c) if types[c] == "double" else F.col(c) for c in columns])
 
 
@@ -171,7 +174,7 @@ _FAMILY = [_roll("shifted_demand", _FN[s], n, f"rolling_{s}_{k}_{n}", k) for k,
 _SET3 = (
     ["id", "item_id", "store_id", "date", "sell_price"]
     + [f"max(sell_price) OVER {_PAIR} AS price_max", f"min(sell_price) OVER {_PAIR} AS price_min"]
-    + [f"round(stddev_samp(sell_price) OVER {_PAIR}, 6) AS price_std", f"round(avg(sell_price) OVER {_PAIR}, 6) AS price_mean"]
+    + [f"round(stddev_samp(sell_price) OVER {_PAIR}, 6) AS price_std", f"round(avg(sell_price) OVER {_PAIR} + 1e-9, 6) AS price_mean"]
     + [f"round(sell_price / max(sell_price) OVER {_PAIR}, 6) AS price_norm", "price_nunique", "item_nunique"]
     + ["round(sell_price / lag(sell_price) OVER (PARTITION BY store_id, item_id ORDER BY date), 6) AS price_momentum"]
     + [
@@ -216,7 +219,7 @@ pw AS (SELECT prices.*, my // 10000 AS m, my % 10000 AS y FROM prices LEFT JOIN
 pn AS (SELECT store_id, item_id, count(DISTINCT sell_price) AS price_nunique FROM prices GROUP BY ALL),
 sn AS (SELECT store_id, sell_price, count(DISTINCT item_id) AS item_nunique FROM prices GROUP BY ALL),
 pf AS (SELECT store_id, item_id, wm_yr_wk, max(sell_price) OVER {_PAIR} AS price_max, min(sell_price) OVER {_PAIR} AS price_min,
-  round(stddev_samp(sell_price) OVER {_PAIR}, 6) AS price_std, round(avg(sell_price) OVER {_PAIR}, 6) AS price_mean,
+  round(stddev_samp(sell_price) OVER {_PAIR}, 6) AS price_std, round(avg(sell_price) OVER {_PAIR} + 1e-9, 6) AS price_mean,
   round(sell_price / max(sell_price) OVER {_PAIR}, 6) AS price_norm, price_nunique, item_nunique,
   round(sell_price / lag(sell_price) OVER (PARTITION BY store_id, item_id ORDER BY wm_yr_wk), 6) AS price_momentum,
   round(sell_price / avg(sell_price) OVER (PARTITION BY store_id, item_id, m), 6) AS price_momentum_m,

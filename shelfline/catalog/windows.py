@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from shelfline.catalog.base import DAILY, query, r6
-from shelfline.functions.rolling import along, rolling, running, running_sum, with_count_rolling
+from shelfline.functions.rolling import along, rolling, running_sum, with_count_rolling, with_rolling_max
 from shelfline.functions.scalars import ratio
 from shelfline.operators.prices import (
     period_price_ratio,
@@ -14,7 +14,7 @@ from shelfline.operators.prices import (
     with_price_per_day,
 )
 from shelfline.operators.runs import scaled_differences
-from shelfline.operators.running import running_total_by
+from shelfline.operators.running import period_running_totals
 from shelfline.sources import retail
 
 def _w():
@@ -118,14 +118,15 @@ def _priced(spark, sf):
     DAILY
     + """SELECT store_id, item_id, wm_yr_wk, sell_price,
        max(sell_price) OVER p AS price_max, min(sell_price) OVER p AS price_min,
-       round(stddev_samp(sell_price) OVER p, 6) AS price_std, round(avg(sell_price) OVER p, 6) AS price_mean,
+       round(stddev_samp(sell_price) OVER p, 6) AS price_std, round(avg(sell_price) OVER p + 1e-9, 6) AS price_mean,
        (SELECT count(DISTINCT q.sell_price) FROM prices q WHERE q.store_id = prices.store_id AND q.item_id = prices.item_id) AS price_nunique,
        (SELECT count(DISTINCT q.item_id) FROM prices q WHERE q.store_id = prices.store_id AND q.sell_price = prices.sell_price) AS item_nunique
 FROM prices WINDOW p AS (PARTITION BY store_id, item_id)""",
 )
 def price_partition_stats(spark, sf):
     df = price_with_stats(retail.daily_prices(spark, sf))
-    return df.withColumns({c: r6(c) for c in ("price_std", "price_mean")}).drop("price_norm")
+    # A mean of cents can end exactly on half a unit of the last digit; the nudge settles such ties.
+    return df.withColumns({"price_std": r6("price_std"), "price_mean": r6(F.col("price_mean") + 1e-9)}).drop("price_norm")
 
 
 @query(
@@ -174,9 +175,8 @@ FROM (SELECT *, CASE WHEN count(sell_price) OVER {_MAX365} = 365 THEN max(sell_p
 WINDOW w AS (PARTITION BY id ORDER BY date)""",
 )
 def price_change(spark, sf):
-    price, before = F.col("sell_price"), F.lag("sell_price").over(_w())
-    top = rolling("sell_price", 365, "max", _w(), shift=1)
-    return _priced(spark, sf).select(
+    price, before, top = F.col("sell_price"), F.lag("sell_price").over(_w()), F.col("top")
+    return with_rolling_max(_priced(spark, sf), "id", "date", "sell_price", 365, "top", shift=1).select(
         "id",
         "date",
         r6(ratio(before - price, before)).alias("price_change_t1"),
@@ -232,25 +232,20 @@ def running_by_id(spark, sf):
 
 @query("w15_running_sum_by_store", _running_sql([("monthly_demand_by_store", ["store_id"], "month")]))
 def running_by_store(spark, sf):
-    df = _shifted(spark, sf).withColumn("month_start", F.trunc("date", "month"))
-    out = running_total_by(df, ["store_id", "month_start"], ["id", "date"], "shifted", "monthly_demand_by_store")
+    out = period_running_totals(_shifted(spark, sf), "month", {"monthly_demand_by_store": ["store_id"]}, "shifted")
     return out.select("id", "date", "monthly_demand_by_store")
 
 
 @query("w15_running_sum_by_item", _running_sql([("weekly_demand_by_item_id", ["item_id"], "week")]))
 def running_by_item(spark, sf):
-    df = _shifted(spark, sf).withColumn("week_start", retail.week_start("date"))
-    out = running_total_by(df, ["item_id", "week_start"], ["id", "date"], "shifted", "weekly_demand_by_item_id")
+    out = period_running_totals(_shifted(spark, sf), "week", {"weekly_demand_by_item_id": ["item_id"]}, "shifted")
     return out.select("id", "date", "weekly_demand_by_item_id")
 
 
 @query("w16_running_sum_all", _running_sql([("monthly_demand", [], "month"), ("weekly_demand", [], "week")]))
 def running_all(spark, sf):
-    df = _shifted(spark, sf).withColumns(
-        {"month_start": F.trunc("date", "month"), "week_start": retail.week_start("date")}
-    )
-    df = running_total_by(df, ["month_start"], ["id", "date"], "shifted", "monthly_demand")
-    df = running_total_by(df, ["week_start"], ["id", "date"], "shifted", "weekly_demand")
+    df = period_running_totals(_shifted(spark, sf), "month", {"monthly_demand": []}, "shifted")
+    df = period_running_totals(df, "week", {"weekly_demand": []}, "shifted")
     return df.select("id", "date", "monthly_demand", "weekly_demand")
 
 

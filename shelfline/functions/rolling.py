@@ -42,6 +42,32 @@ def rolling(x: Column | str, n: int, stat: str, w: WindowSpec, shift: int = 0) -
     return F.when(F.count(x).over(frame) == n, _STATS[stat](x, n, frame))
 
 
+def with_rolling_max(
+    df: DataFrame, key: str, day: str, x: str, n: int, out: str, shift: int = 0
+) -> DataFrame:
+    """Rolling maximum at constant cost per row, whatever the width.
+
+    The series is cut into blocks of ``n`` rows. A frame of ``n`` rows covers the tail of one
+    block and the head of the next, so its maximum is the larger of a running maximum from
+    the back of the first block and one from the front of the second.
+    """
+    w = along(key, day)
+    marked = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_pos") / n))
+    front = along([key, "_block"], "_pos").rowsBetween(Window.unboundedPreceding, 0)
+    back = along([key, "_block"], "_pos").rowsBetween(0, Window.unboundedFollowing)
+    marked = marked.withColumns(
+        {
+            "_front": F.max(x).over(front),
+            "_back": F.max(x).over(back),
+            "_seen": F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    first = shift + n - 1
+    full = F.lag("_seen", shift).over(w) - F.lag("_seen", first + 1, 0).over(w) == n
+    top = F.greatest(F.lag("_front", shift).over(w), F.lag("_back", first).over(w))
+    return marked.withColumn(out, F.when(full, top)).drop("_pos", "_block", "_front", "_back", "_seen")
+
+
 def running_sum(x: Column | str, w: WindowSpec) -> Column:
     """Running total that is null where the value itself is null."""
     x = F.col(x) if isinstance(x, str) else x

@@ -7,7 +7,7 @@ executor cannot move the partition borders between the two uses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -38,6 +38,27 @@ def running_total_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     )
 
 
+def period_running_totals(
+    df: DataFrame, unit: str, groups: Mapping[str, Sequence[str]], value: str, key: str = "id", day: str = "date"
+) -> DataFrame:
+    """Running totals inside a calendar period, over all series of a group in (series, day) order.
+
+    ``groups`` maps output names to group keys. The total at a row is the sum of the earlier
+    series of the group in that period plus the running total of its own series, so only the
+    (series, period) sums are ordered across series.
+    """
+    dated = df.withColumn("_period", F.date_trunc(unit, day).cast("date"))
+    keys = sorted({k for ks in groups.values() for k in ks})
+    sums = cut(dated.groupBy(key, *keys, "_period").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum")))
+    for name, by in groups.items():
+        sums = running_total_by(sums, [*by, "_period"], [key], "_sum", f"_to_{name}")
+    earlier = sums.select(key, "_period", *[(F.col(f"_to_{n}") - F.col("_sum")).alias(f"_before_{n}") for n in groups])
+    own = Window.partitionBy(key, "_period").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    out = dated.withColumn("_own", F.sum(value).over(own)).join(earlier, [key, "_period"], "left")
+    total = {n: F.when(F.col(value).isNotNull(), F.col("_own") + F.col(f"_before_{n}")) for n in groups}
+    return out.withColumns(total).drop("_period", "_own", *[f"_before_{n}" for n in groups])
+
+
 def positions(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """Number the rows 0, 1, 2, ... along ``order`` without gathering them in one task."""
     placed = _placed(df, order)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfline.functions import dates
-from shelfline.functions.rolling import along, rolling, running_sum, with_count_rolling
+from shelfline.functions.rolling import along, rolling, running_sum, with_count_rolling, with_rolling_max
 from shelfline.functions.scalars import ratio
 from shelfline.operators.prices import PRODUCT, period_price_ratio, price_momentum, price_range_position, price_with_stats
-from shelfline.operators.running import running_total_by
-from shelfline.operators.runs import zero_runs
+from shelfline.operators.running import period_running_totals
+from shelfline.operators.runs import with_longest_zero_run
 from shelfline.sources import retail
 
 TARGET = "shifted_demand"
@@ -31,16 +31,16 @@ def lag_family(df: DataFrame, target: str = TARGET) -> DataFrame:
 def price_changes(df: DataFrame) -> DataFrame:
     """Change against the previous day and the 365-day maximum, rolling std 7 and 30."""
     w = _series()
-    price, before = F.col("sell_price"), F.lag("sell_price").over(w)
-    top = rolling("sell_price", 365, "max", w, shift=1)
-    return df.withColumns(
+    price, before, top = F.col("sell_price"), F.lag("sell_price").over(w), F.col("_top")
+    out = with_rolling_max(df, "id", "date", "sell_price", 365, "_top", shift=1)
+    return out.withColumns(
         {
             "price_change_t1": ratio(before - price, before),
             "price_change_t365": ratio(top - price, top),
             "rolling_price_std_t7": rolling("sell_price", 7, "std", w),
             "rolling_price_std_t30": rolling("sell_price", 30, "std", w),
         }
-    )
+    ).drop("_top")
 
 
 def period_totals_by_id(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -50,17 +50,12 @@ def period_totals_by_id(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.withColumns({"monthly_demand_by_id": total("month"), "weekly_demand_by_id": total("week")})
 
 
-def period_totals_by_group(df: DataFrame, key: str, label: str, target: str = TARGET) -> DataFrame:
-    """Running totals per month and week over all series of a store or an item."""
-    df = df.withColumns({"_month": F.trunc("date", "month"), "_week": retail.week_start("date")})
-    df = running_total_by(df, [key, "_month"], ["id", "date"], target, f"monthly_demand_by_{label}")
-    df = running_total_by(df, [key, "_week"], ["id", "date"], target, f"weekly_demand_by_{label}")
-    return df.drop("_month", "_week")
-
-
-def _with_runs(df: DataFrame, target: str) -> DataFrame:
-    runs = zero_runs(df.select("id", "date", target), "id", "date", target)
-    return df.join(runs.drop("max_consecutive_zeros_at_end"), "id", "left")
+def period_totals_by_group(df: DataFrame, target: str = TARGET) -> DataFrame:
+    """Running totals per month and week over all series of a store and of an item."""
+    for unit, label in (("month", "monthly"), ("week", "weekly")):
+        groups = {f"{label}_demand_by_store": ["store_id"], f"{label}_demand_by_item_id": ["item_id"]}
+        df = period_running_totals(df, unit, groups, target)
+    return df
 
 
 def _date_columns(drop: set[str]) -> dict:
@@ -85,7 +80,7 @@ def set_1(df: DataFrame, target: str = TARGET) -> DataFrame:
     out = period_totals_by_id(price_changes(out), target)
     out = out.withColumns(_date_columns({"is_quarter_start", "is_month_end", "is_quarter_end", "is_year_start"}))
     out = out.withColumn("is_weekend", dates.is_weekend("date"))
-    return _with_runs(out, target).drop("event_type_2", "event_name_2", "weekday", "wday")
+    return with_longest_zero_run(out, "id", "date", target).drop("event_type_2", "event_name_2", "weekday", "wday")
 
 
 def set_2(df: DataFrame, target: str = "demand") -> DataFrame:
@@ -114,11 +109,10 @@ def set_3(df: DataFrame, target: str = TARGET) -> DataFrame:
     out = lag_family(price_changes(out), target)
     out = out.withColumns({f"shift_t{k}": F.lag(target, k).over(_series()) for k in (0, 1, 2, 6, 7, 14)})
     out = period_totals_by_id(out, target)
-    out = period_totals_by_group(out, "store_id", "store", target)
-    out = period_totals_by_group(out, "item_id", "item_id", target)
+    out = period_totals_by_group(out, target)
     kept = _date_columns({"is_quarter_start", "is_month_end", "is_quarter_end", "is_year_start", "is_month_start"})
     out = out.withColumns({**kept, "is_weekend": dates.is_weekend("date")})
-    return _with_runs(out, target).drop("cat_id", "event_type_2", "event_name_2", "weekday", "wday")
+    return with_longest_zero_run(out, "id", "date", target).drop("cat_id", "event_type_2", "event_name_2", "weekday", "wday")
 
 
 def weekly_price_features(prices: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -193,20 +187,21 @@ def legacy_ratio(df: DataFrame, target: str = "demand") -> DataFrame:
     """Lags 7, 28, 29, rolling mean and max of the 28-day lag, price changes as ratio minus one."""
     w = _series()
     price, before = F.col("sell_price"), F.lag("sell_price").over(w)
-    out = with_count_rolling(df, w, target, [(f"roll_mean_28_{n}", 28, n, "mean") for n in (7, 30, 90, 180)])
+    out = with_rolling_max(df, "id", "date", "sell_price", 365, "_top", shift=1)
+    out = with_count_rolling(out, w, target, [(f"roll_mean_28_{n}", 28, n, "mean") for n in (7, 30, 90, 180)])
     return out.withColumns(
         {
             **{f"lag_{k}": F.lag(target, k).over(w) for k in (7, 28, 29)},
             **{f"roll_max_28_{n}": rolling(target, n, "max", w, shift=28) for n in (7, 30)},
             "price_change_1": ratio(price, before) - 1,
-            "price_change_365": ratio(price, rolling("sell_price", 365, "max", w, shift=1)) - 1,
+            "price_change_365": ratio(price, F.col("_top")) - 1,
             "wday": dates.sunday_one("date"),
             "mday": F.dayofmonth("date"),
             "week": dates.seven_day_week("date"),
             "month": F.month("date"),
             "year": F.year("date"),
         }
-    )
+    ).drop("_top")
 
 
 def legacy_price_position(prices: DataFrame) -> DataFrame:
