@@ -57,25 +57,35 @@ def leaf_errors(truth: DataFrame, forecast: DataFrame, ids: Sequence[str]) -> Da
     return signed.groupBy(*ids, "date").agg(F.sum("error").alias("error"))
 
 
-def node_rmsse(errors: DataFrame, scale: DataFrame, horizon: int) -> DataFrame:
-    """Root mean squared scaled error per node over ``horizon`` periods."""
-    squares = (
-        roll_up(errors, {"error": "error"}, ["date"]).groupBy(*NODE).agg(F.sum(F.col("error") * F.col("error")).alias("_sq"))
-    )
-    return scale.join(squares, NODE, "left").select(
-        *NODE, "scale", F.sqrt(F.try_divide(F.coalesce("_sq", F.lit(0.0)) / horizon, F.col("scale"))).alias("rmsse")
-    )
+def node_squares(errors: DataFrame) -> DataFrame:
+    """Sum of squared node errors over the horizon."""
+    nodes = roll_up(errors, {"error": "error"}, ["date"])
+    return nodes.groupBy(*NODE).agg(F.sum(F.col("error") * F.col("error")).alias("_sq"))
+
 
+def with_rmsse(nodes: DataFrame, errors: DataFrame, horizon: int) -> DataFrame:
+    """Attach the root mean squared scaled error over ``horizon`` periods to nodes with a scale.
+
+    A node without squared errors forecast every period exactly.
+    """
+    mean = F.coalesce("_sq", F.lit(0.0)) / horizon
+    scaled = F.sqrt(F.try_divide(mean, F.col("scale"))).alias("rmsse")
+    return nodes.join(node_squares(errors), NODE, "left").select(*nodes.columns, scaled)
 
-def contributors(rmsse: DataFrame, weights: DataFrame) -> DataFrame:
-    """(level, node, scale, rmsse, weight, contribution); weights of all levels add up to 1.
+
+def contributors_base(scale: DataFrame, weights: DataFrame) -> DataFrame:
+    """(level, node, scale, weight); the weights of all levels add up to 1.
 
     A node that sold nothing in the weight window has weight 0.
     """
     share = F.coalesce("weight", F.lit(0.0)) / len(LEVELS)
-    return rmsse.join(weights.select(*NODE, "weight"), NODE, "left").withColumns(
-        {"weight": share, "contribution": F.col("rmsse") * share}
-    )
+    return scale.join(weights.select(*NODE, "weight"), NODE, "left").withColumn("weight", share)
+
+
+def contributors(scale: DataFrame, weights: DataFrame, errors: DataFrame, horizon: int) -> DataFrame:
+    """(level, node, scale, weight, rmsse, contribution)."""
+    parts = with_rmsse(contributors_base(scale, weights), errors, horizon)
+    return parts.withColumn("contribution", F.col("rmsse") * F.col("weight"))
 
 
 def wrmsse(parts: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfline.lineage import cut, stage
 from shelfline.operators import metrics
 from shelfline.operators.hierarchy import roll_up
 from shelfline.sources import retail
@@ -47,11 +50,13 @@ class HierarchyScore:
         return metrics.node_weights(valued)
 
     def rmsse(self, forecast: DataFrame) -> DataFrame:
-        errors = metrics.leaf_errors(self.truth, forecast, retail.IDS)
-        return metrics.node_rmsse(errors, self.scale(), self.periods)
+        return metrics.with_rmsse(self.scale(), self.errors(forecast), self.periods)
+
+    def errors(self, forecast: DataFrame) -> DataFrame:
+        return metrics.leaf_errors(self.truth, forecast, retail.IDS)
 
     def contributors(self, forecast: DataFrame) -> DataFrame:
-        return metrics.contributors(self.rmsse(forecast), self.weights())
+        return metrics.contributors(self.scale(), self.weights(), self.errors(forecast), self.periods)
 
 
 def weekly_score(spark: SparkSession, sf_dir: str) -> tuple[HierarchyScore, DataFrame]:
@@ -59,3 +64,54 @@ def weekly_score(spark: SparkSession, sf_dir: str) -> tuple[HierarchyScore, Data
     sold = retail.weekly_sold(spark, sf_dir)
     job = HierarchyScore(sold, retail.prices_of(sold), SPLIT)
     return job, naive_forecast(sold, SPLIT, WEEKS, STEP)
+
+
+Process = tuple[str, Callable[[DataFrame, date, int, int], DataFrame]]
+
+
+def recent_mean(sold: DataFrame, split: date, periods: int, step_days: int) -> DataFrame:
+    """Mean of the last ``periods`` training values, repeated over the horizon."""
+    span = periods * step_days
+    recent = sold.filter((F.col("date") > F.lit(split - timedelta(days=span))) & (F.col("date") <= F.lit(split)))
+    level = recent.groupBy(*retail.IDS).agg((F.sum("demand") / periods).alias("demand"))
+    days = [F.lit(split + timedelta(days=step_days * (i + 1))) for i in range(periods)]
+    return level.withColumn("date", F.explode(F.array(*days)))
+
+
+def backtest(
+    sold: DataFrame,
+    prices: DataFrame,
+    processes: Sequence[Process],
+    last: date,
+    n_folds: int,
+    train_periods: int,
+    test_periods: int,
+    step_days: int = STEP,
+) -> DataFrame:
+    """Every process on every fold: (process_name, fold_idx, date, preds_rmse, wrmsse).
+
+    Fold i tests on ``test_periods`` periods and trains on the ``train_periods`` before them;
+    the last fold ends at ``last``. The facts are staged once and shared by all runs. Sparse
+    forecasts and truths are compared, so the mean runs over all series of the fold.
+    """
+    sold = stage(sold, "backtest-sold")
+    prices = stage(prices, "backtest-prices")
+    results = []
+    for fold in range(n_folds):
+        split = last - timedelta(days=(n_folds - fold) * test_periods * step_days)
+        job = HierarchyScore(sold, prices, split, test_periods, step_days, train_periods * step_days)
+        series = job.train.select("id").unionByName(job.truth.select("id")).agg(F.countDistinct("id")).scalar()
+        known = cut(metrics.contributors_base(job.scale(), job.weights()))
+        for name, process in processes:
+            errors = cut(metrics.leaf_errors(job.truth, process(job.train, split, test_periods, step_days), retail.IDS))
+            parts = metrics.with_rmsse(known, errors, test_periods)
+            by_date = errors.groupBy("date").agg(
+                F.sqrt(F.sum(F.col("error") * F.col("error")) / series).alias("preds_rmse")
+            )
+            total = parts.agg(F.sum(F.col("rmsse") * F.col("weight"))).scalar()
+            results.append(
+                by_date.select(
+                    F.lit(name).alias("process_name"), F.lit(fold).alias("fold_idx"), "date", "preds_rmse", total.alias("wrmsse")
+                )
+            )
+    return reduce(DataFrame.unionByName, results)
