@@ -203,7 +203,7 @@ ON prices.store_id = sold.store_id AND prices.item_id = sold.item_id AND prices.
 WHERE date > DATE '2001-09-03' AND date <= DATE '2001-10-01' GROUP BY id""",
 )
 def recent_value(spark, sf):
-    sold = retail.weekly_sold(spark, sf)
+    sold = retail.staged_weekly_sold(spark, sf)
     weekly = sold.withColumn("wm_yr_wk", retail.week_code("date"))
     valued = metrics.leaf_value(weekly, retail.prices_of(sold), SPLIT, 28)
     return valued.groupBy("id").agg(F.round(F.sum("value"), 4).alias("value"))

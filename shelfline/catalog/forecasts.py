@@ -164,11 +164,14 @@ def backtest(spark, sf):
 
 
 def _acf_sql(lags: int) -> str:
+    moved = ", ".join(f"lag(c, {k}) OVER w AS c{k}" for k in range(1, lags + 1))
+    sums = ", ".join(f"sum(c * c{k})" for k in range(1, lags + 1))
     return (
         DAILY
         + f""", c AS (SELECT id, date, demand - avg(demand) OVER (PARTITION BY id) AS c FROM daily),
+m AS (SELECT id, c, {moved} FROM c WINDOW w AS (PARTITION BY id ORDER BY date)),
+p AS (SELECT id, unnest(range(1, {lags + 1})) AS lag, unnest([{sums}]) AS s FROM m GROUP BY id),
 v AS (SELECT id, sum(c * c) AS v FROM c GROUP BY id),
-p AS (SELECT a.id, k AS lag, sum(a.c * b.c) AS s FROM range(1, {lags + 1}) t(k) JOIN c a ON true JOIN c b ON b.id = a.id AND b.date = a.date - CAST(k AS INTEGER) GROUP BY ALL),
 acf AS (SELECT id, CAST(lag AS INTEGER) AS lag, s / nullif(v, 0) AS acf FROM p JOIN v USING (id))
 """
     )

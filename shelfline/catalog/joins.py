@@ -34,8 +34,9 @@ def calendar_join(spark, sf):
 LEFT JOIN prices ON prices.store_id = weekly.store_id AND prices.item_id = weekly.item_id AND prices.wm_yr_wk = weekly.wk""",
 )
 def price_join(spark, sf):
-    df = retail.weekly_series(spark, sf).withColumn("wm_yr_wk", retail.week_code("date"))
-    out = df.join(retail.weekly_prices(spark, sf), ["store_id", "item_id", "wm_yr_wk"], "left")
+    sold = retail.staged_weekly_sold(spark, sf)
+    df = retail.weekly_series(spark, sf, sold).withColumn("wm_yr_wk", retail.week_code("date"))
+    out = df.join(retail.prices_of(sold), ["store_id", "item_id", "wm_yr_wk"], "left")
     return out.select("id", "date", "wm_yr_wk", "demand", "sell_price")
 
 

@@ -80,9 +80,10 @@ def pivot_table_mean(spark, sf):
     + "SELECT id, date, demand * sell_price AS value FROM weekly LEFT JOIN prices ON prices.store_id = weekly.store_id AND prices.item_id = weekly.item_id AND prices.wm_yr_wk = weekly.wk WHERE wk > 353",
 )
 def stacked_weights(spark, sf):
-    df = retail.weekly_series(spark, sf).filter(F.col("date") > F.lit(retail.LAST_WEEK - timedelta(weeks=4)))
+    sold = retail.staged_weekly_sold(spark, sf)
+    df = retail.weekly_series(spark, sf, sold).filter(F.col("date") > F.lit(retail.LAST_WEEK - timedelta(weeks=4)))
     df = df.withColumn("wm_yr_wk", retail.week_code("date"))
-    df = df.join(retail.weekly_prices(spark, sf), ["store_id", "item_id", "wm_yr_wk"], "left")
+    df = df.join(retail.prices_of(sold), ["store_id", "item_id", "wm_yr_wk"], "left")
     return df.select("id", "date", (F.col("demand") * F.col("sell_price")).alias("value"))
 
 
@@ -140,7 +141,8 @@ def day_membership(spark, sf):
 LEFT JOIN prices USING (store_id, item_id, wm_yr_wk) WHERE sell_price IS NOT NULL""",
 )
 def drop_nulls(spark, sf):
-    df = with_price_per_day(retail.daily_series(spark, sf), retail.daily_prices(spark, sf))
+    sold = retail.staged_daily_sold(spark, sf)
+    df = with_price_per_day(retail.daily_series(spark, sf, sold), retail.prices_of(sold))
     return df.select("id", "date", "sell_price", "demand").na.drop()
 
 
@@ -152,8 +154,9 @@ SELECT id, date, demand, wk AS wm_yr_wk, wk - first_week AS release
 FROM weekly JOIN f USING (store_id, item_id) WHERE wk >= first_week""",
 )
 def trim_before_release(spark, sf):
-    sales = retail.weekly_series(spark, sf).withColumn("wm_yr_wk", retail.week_code("date"))
-    out = clean.trim_before_release(sales, retail.weekly_prices(spark, sf))
+    sold = retail.staged_weekly_sold(spark, sf)
+    sales = retail.weekly_series(spark, sf, sold).withColumn("wm_yr_wk", retail.week_code("date"))
+    out = clean.trim_before_release(sales, retail.prices_of(sold))
     return out.select("id", "date", "demand", "wm_yr_wk", "release")
 
 
@@ -191,7 +194,8 @@ def suffix_swap(spark, sf):
 FROM daily JOIN cal USING (date) LEFT JOIN prices USING (store_id, item_id, wm_yr_wk)""",
 )
 def fill_missing(spark, sf):
-    df = with_price_per_day(retail.daily_series(spark, sf), retail.daily_prices(spark, sf))
+    sold = retail.staged_daily_sold(spark, sf)
+    df = with_price_per_day(retail.daily_series(spark, sf, sold), retail.prices_of(sold))
     df = df.join(F.broadcast(retail.calendar(spark).select("date", "event_name_1")), "date")
     return df.select("id", "date", "sell_price", "event_name_1").na.fill({"sell_price": 0.0, "event_name_1": "NA"})
 
@@ -366,9 +370,10 @@ UNION ALL SELECT 'key_mismatches', count(*) FROM (SELECT id FROM ids EXCEPT SELE
 UNION ALL SELECT 'unsorted_rows', count(*) FROM (SELECT d < lag(d) OVER (PARTITION BY id ORDER BY date) AS off FROM daily JOIN cal USING (date)) WHERE off""",
 )
 def output_checks(spark, sf):
-    daily = retail.daily_series(spark, sf).withColumn("d", F.concat(F.lit("d_"), retail.day_number("date").cast("string")))
-    priced = with_price_per_day(daily, retail.daily_prices(spark, sf))
-    ids = retail.daily_sold(spark, sf).select("id").distinct()
+    sold = retail.staged_daily_sold(spark, sf)
+    daily = retail.daily_series(spark, sf, sold).withColumn("d", F.concat(F.lit("d_"), retail.day_number("date").cast("string")))
+    priced = with_price_per_day(daily, retail.prices_of(sold))
+    ids = sold.select("id").distinct()
     found = [
         checks.null_cells(priced, ["demand", "sell_price"]),
         checks.key_mismatches(daily.select("id").distinct(), ids, "id"),

@@ -110,7 +110,8 @@ PRICED = DAILY + """, priced AS (
 
 def _priced(spark, sf):
     """Daily rows with the price of their week."""
-    return with_price_per_day(retail.daily_series(spark, sf), retail.daily_prices(spark, sf))
+    sold = retail.staged_daily_sold(spark, sf)
+    return with_price_per_day(retail.daily_series(spark, sf, sold), retail.prices_of(sold))
 
 
 @query(

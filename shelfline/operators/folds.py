@@ -107,9 +107,8 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 def rolling_row_folds(df: DataFrame, order: Sequence[str], train: int, test: int) -> DataFrame:
     """Folds over row positions: fold f trains on [f*test, f*test+train) and tests on the next ``test`` rows."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    folds = F.floor((total - train) / test)
-    numbered = positions(df, order, "_pos")
-    pos = F.col("_pos")
+    numbered = positions(df, order, "_pos").withColumn("_folds", F.floor((total - train) / test))
+    pos, folds = F.col("_pos"), F.col("_folds")
 
     def between(low: Column, high: Column, role: str) -> Column:
         low = F.greatest(low, F.lit(0)).cast("int")

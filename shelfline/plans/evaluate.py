@@ -61,7 +61,7 @@ class HierarchyScore:
 
 def weekly_score(spark: SparkSession, sf_dir: str) -> tuple[HierarchyScore, DataFrame]:
     """Score object and naive forecast of the weekly series over the last four weeks."""
-    sold = retail.weekly_sold(spark, sf_dir)
+    sold = retail.staged_weekly_sold(spark, sf_dir)
     job = HierarchyScore(sold, retail.prices_of(sold), SPLIT)
     return job, naive_forecast(sold, SPLIT, WEEKS, STEP)
 

@@ -18,8 +18,8 @@ def base_grain(spark: SparkSession, sf_dir: str, shift: int | None = None, horiz
     ``shift`` adds the target moved that many days and drops rows without it; without it the
     shifted target is the target itself. ``horizon`` appends future days with a null target.
     """
-    sold = retail.daily_sold(spark, sf_dir)
-    sales = retail.daily_series(spark, sf_dir)
+    sold = retail.staged_daily_sold(spark, sf_dir)
+    sales = retail.daily_series(spark, sf_dir, sold)
     if horizon:
         sales = add_horizon(sales, retail.IDS, retail.SPAN_END, horizon)
     prices = retail.prices_of(sold)

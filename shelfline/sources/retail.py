@@ -14,6 +14,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfline.lineage import stage
 from shelfline.operators.reshape import fill_gaps
 from shelfline.sources.files import table
 
@@ -106,14 +107,23 @@ def weekly_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def staged_daily_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse daily facts, written once; jobs that use them twice read the lines once."""
+    return stage(daily_sold(spark, sf_dir), "daily-sold")
+
+
+def staged_weekly_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(weekly_sold(spark, sf_dir), "weekly-sold")
+
+
+def daily_series(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     """Every series on every day of the span; demand is 0 where nothing sold."""
-    sold = daily_sold(spark, sf_dir).drop("cents")
+    sold = (daily_sold(spark, sf_dir) if sold is None else sold).drop("cents")
     return fill_gaps(sold, ["id"], "date", "demand", SPAN_START, SPAN_END, carry=IDS[1:])
 
 
-def weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = weekly_sold(spark, sf_dir).drop("cents")
+def weekly_series(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
+    sold = (weekly_sold(spark, sf_dir) if sold is None else sold).drop("cents")
     return fill_gaps(
         sold, ["id"], "date", "demand", SPAN_START, LAST_WEEK, step_days=7, carry=IDS[1:]
     )
