@@ -93,9 +93,12 @@ def wrmsse(parts: DataFrame) -> DataFrame:
 
 
 def wrmsse_by_level(parts: DataFrame) -> DataFrame:
-    """Score of each level and their mean as 'overall'."""
-    by_level = parts.groupBy("level").agg((F.sum("contribution") * len(LEVELS)).alias("wrmsse"))
-    return by_level.unionByName(parts.agg(F.lit("overall").alias("level"), F.sum("contribution").alias("wrmsse")))
+    """Score of each level and their mean as 'overall', in one pass."""
+    sums = parts.rollup("level").agg(F.sum("contribution").alias("_sum"), F.grouping("level").alias("_all"))
+    return sums.select(
+        F.when(F.col("_all") == 1, "overall").otherwise(F.col("level")).alias("level"),
+        F.when(F.col("_all") == 1, F.col("_sum")).otherwise(F.col("_sum") * len(LEVELS)).alias("wrmsse"),
+    )
 
 
 def leaf_sample_weight(products: DataFrame, weights: DataFrame, scale: DataFrame, leaf: str = "id") -> DataFrame:

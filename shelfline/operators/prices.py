@@ -21,14 +21,15 @@ def with_price_per_day(series: DataFrame, prices: DataFrame) -> DataFrame:
     return dated.join(prices, [*PRODUCT, "wm_yr_wk"], "left")
 
 
-def price_with_stats(df: DataFrame, price: str = "sell_price") -> DataFrame:
+def price_with_stats(df: DataFrame, price: str = "sell_price", product: Sequence[str] = PRODUCT) -> DataFrame:
     """Max, min, std, mean, share of max and distinct counts of the price.
 
-    A (store, item) pair holds at most one row per period, so a window over it is bounded.
+    ``product`` names the (store, item) pair; where a series id stands for the pair, passing
+    it keeps the partitioning the series already has. A pair holds at most one row per period, so a window over it is bounded.
     The number of items that share a price in a store is not, so that count is an
     aggregate joined back.
     """
-    pair = Window.partitionBy(*PRODUCT)
+    pair = Window.partitionBy(*product)
     top = F.max(price).over(pair)
     out = df.withColumns(
         {

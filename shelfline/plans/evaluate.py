@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 from functools import reduce
 
@@ -91,17 +92,19 @@ def backtest(
     """Every process on every fold: (process_name, fold_idx, date, preds_rmse, wrmsse).
 
     Fold i tests on ``test_periods`` periods and trains on the ``train_periods`` before them;
-    the last fold ends at ``last``. The facts are staged once and shared by all runs. Sparse
-    forecasts and truths are compared, so the mean runs over all series of the fold.
+    the last fold ends at ``last``. The facts are staged once and shared by all runs; the jobs
+    of the folds are submitted side by side. Sparse forecasts and truths are compared, so the
+    mean runs over all series of the fold.
     """
     sold = stage(sold, "backtest-sold")
     prices = stage(prices, "backtest-prices")
-    results = []
-    for fold in range(n_folds):
+
+    def one_fold(fold: int) -> list[DataFrame]:
         split = last - timedelta(days=(n_folds - fold) * test_periods * step_days)
         job = HierarchyScore(sold, prices, split, test_periods, step_days, train_periods * step_days)
         series = job.train.select("id").unionByName(job.truth.select("id")).agg(F.countDistinct("id")).scalar()
         known = cut(metrics.contributors_base(job.scale(), job.weights()))
+        found = []
         for name, process in processes:
             errors = cut(metrics.leaf_errors(job.truth, process(job.train, split, test_periods, step_days), retail.IDS))
             parts = metrics.with_rmsse(known, errors, test_periods)
@@ -109,9 +112,13 @@ def backtest(
                 F.sqrt(F.sum(F.col("error") * F.col("error")) / series).alias("preds_rmse")
             )
             total = parts.agg(F.sum(F.col("rmsse") * F.col("weight"))).scalar()
-            results.append(
+            found.append(
                 by_date.select(
                     F.lit(name).alias("process_name"), F.lit(fold).alias("fold_idx"), "date", "preds_rmse", total.alias("wrmsse")
                 )
             )
+        return found
+
+    with ThreadPoolExecutor(min(n_folds, 4)) as pool:
+        results = [df for found in pool.map(one_fold, range(n_folds)) for df in found]
     return reduce(DataFrame.unionByName, results)

@@ -98,12 +98,13 @@ def set_2(df: DataFrame, target: str = "demand") -> DataFrame:
 
 def set_3(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Price family on daily rows, lag family, running totals by series, store and item, zero runs."""
-    out = price_with_stats(df)
+    # One series is one (store, item) pair: its id keeps all windows in one partitioning.
+    out = price_with_stats(df, product=["id"])
     out = out.withColumns(
         {
-            "price_momentum": price_momentum("sell_price", along(PRODUCT, "date")),
-            "price_momentum_m": period_price_ratio([*PRODUCT, "month"]),
-            "price_momentum_y": period_price_ratio([*PRODUCT, "year"]),
+            "price_momentum": price_momentum("sell_price", _series()),
+            "price_momentum_m": period_price_ratio(["id", "month"]),
+            "price_momentum_y": period_price_ratio(["id", "year"]),
         }
     )
     out = lag_family(price_changes(out), target)
