@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from shelfline.functions.rolling import running
 from shelfline.functions.scalars import ratio
+from shelfline.lineage import cut
 from shelfline.sources import retail
 
 PRODUCT = ["store_id", "item_id"]
@@ -25,12 +26,21 @@ def price_with_stats(df: DataFrame, price: str = "sell_price", product: Sequence
     """Max, min, std, mean, share of max and distinct counts of the price.
 
     ``product`` names the (store, item) pair; where a series id stands for the pair, passing
-    it keeps the partitioning the series already has. A pair holds at most one row per period, so a window over it is bounded.
-    The number of items that share a price in a store is not, so that count is an
-    aggregate joined back.
+    it keeps the partitioning the series already has. A pair holds at most one row per
+    period, so a window over it is bounded. The number of items that share a price in a store
+    is not; it is counted on the distinct prices and comes back as one small map per product,
+    so the rows are not shuffled by price.
     """
     pair = Window.partitionBy(*product)
     top = F.max(price).over(pair)
+    keys = list(dict.fromkeys([*product, *PRODUCT]))
+    pairs = cut(df.filter(F.col(price).isNotNull()).select(*keys, price).distinct())
+    sharing = pairs.groupBy("store_id", price).agg(F.countDistinct("item_id").alias("_n"))
+    counts = (
+        pairs.join(sharing, ["store_id", price])
+        .groupBy(*product)
+        .agg(F.map_from_entries(F.collect_list(F.struct(price, "_n"))).alias("_sharing"))
+    )
     out = df.withColumns(
         {
             "price_max": top,
@@ -38,15 +48,14 @@ def price_with_stats(df: DataFrame, price: str = "sell_price", product: Sequence
             "price_std": F.stddev_samp(price).over(pair),
             "price_mean": F.avg(price).over(pair),
             "price_norm": ratio(F.col(price), top),
-            "price_nunique": F.size(F.collect_set(price).over(pair)).cast("bigint"),
         }
-    )
-    sharing = (
-        df.filter(F.col(price).isNotNull())
-        .groupBy("store_id", price)
-        .agg(F.countDistinct("item_id").alias("item_nunique"))
-    )
-    return out.join(sharing, ["store_id", price], "left")
+    ).join(counts, list(product), "left")
+    return out.withColumns(
+        {
+            "price_nunique": F.coalesce(F.size("_sharing"), F.lit(0)).cast("bigint"),
+            "item_nunique": F.try_element_at("_sharing", F.col(price)),
+        }
+    ).drop("_sharing")
 
 
 def period_price_ratio(keys: Sequence[str], price: str = "sell_price") -> Column:

@@ -52,11 +52,14 @@ def period_running_totals(
     sums = cut(dated.groupBy(key, *keys, "_period").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum")))
     for name, by in groups.items():
         sums = running_total_by(sums, [*by, "_period"], [key], "_sum", f"_to_{name}")
-    earlier = sums.select(key, "_period", *[(F.col(f"_to_{n}") - F.col("_sum")).alias(f"_before_{n}") for n in groups])
+    # One row per series with a small map period -> offsets: the rows keep their partitioning.
+    before = F.struct(*[(F.col(f"_to_{n}") - F.col("_sum")).alias(n) for n in groups])
+    earlier = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_period", before))).alias("_before"))
     own = Window.partitionBy(key, "_period").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    out = dated.withColumn("_own", F.sum(value).over(own)).join(earlier, [key, "_period"], "left")
-    total = {n: F.when(F.col(value).isNotNull(), F.col("_own") + F.col(f"_before_{n}")) for n in groups}
-    return out.withColumns(total).drop("_period", "_own", *[f"_before_{n}" for n in groups])
+    out = dated.withColumn("_own", F.sum(value).over(own)).join(earlier, key, "left")
+    offset = F.try_element_at("_before", F.col("_period"))
+    total = {n: F.when(F.col(value).isNotNull(), F.col("_own") + offset[n]) for n in groups}
+    return out.withColumns(total).drop("_period", "_own", "_before")
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:

@@ -98,8 +98,10 @@ def set_2(df: DataFrame, target: str = "demand") -> DataFrame:
 
 def set_3(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Price family on daily rows, lag family, running totals by series, store and item, zero runs."""
+    # The group totals read the rows twice, so they come before the wide window columns.
+    out = period_totals_by_group(df, target)
     # One series is one (store, item) pair: its id keeps all windows in one partitioning.
-    out = price_with_stats(df, product=["id"])
+    out = price_with_stats(out, product=["id"])
     out = out.withColumns(
         {
             "price_momentum": price_momentum("sell_price", _series()),
@@ -110,7 +112,6 @@ def set_3(df: DataFrame, target: str = TARGET) -> DataFrame:
     out = lag_family(price_changes(out), target)
     out = out.withColumns({f"shift_t{k}": F.lag(target, k).over(_series()) for k in (0, 1, 2, 6, 7, 14)})
     out = period_totals_by_id(out, target)
-    out = period_totals_by_group(out, target)
     kept = _date_columns({"is_quarter_start", "is_month_end", "is_quarter_end", "is_year_start", "is_month_start"})
     out = out.withColumns({**kept, "is_weekend": dates.is_weekend("date")})
     return with_longest_zero_run(out, "id", "date", target).drop("cat_id", "event_type_2", "event_name_2", "weekday", "wday")
