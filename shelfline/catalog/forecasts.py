@@ -177,7 +177,7 @@ acf AS (SELECT id, CAST(lag AS INTEGER) AS lag, s / nullif(v, 0) AS acf FROM p J
     )
 
 
-@query("d01_autocorrelation", _acf_sql(40) + "SELECT id, lag, round(acf, 6) AS acf FROM acf")
+@query("d01_autocorrelation", _acf_sql(40) + "SELECT id, lag, round(acf, 6) + 0.0 AS acf FROM acf")
 def autocorrelation(spark, sf):
     df = diagnostics.autocorrelation(retail.daily_series(spark, sf), "id", "date", "demand", 40)
     return df.select("id", "lag", r6("acf").alias("acf"))
@@ -206,7 +206,7 @@ def partial_autocorrelation(spark, sf):
     DAILY
     + _LAGGED
     + """, b AS (SELECT id, lag, r, row_number() OVER (PARTITION BY id ORDER BY r DESC, lag) AS top, row_number() OVER (PARTITION BY id ORDER BY r, lag) AS low FROM pairs)
-SELECT id, round(max(r), 6) AS max_cross_corr, round(min(r), 6) AS min_cross_corr, max(lag) FILTER (WHERE top = 1) AS offset_max, max(lag) FILTER (WHERE low = 1) AS offset_min FROM b GROUP BY id""",
+SELECT id, round(max(r), 6) + 0.0 AS max_cross_corr, round(min(r), 6) + 0.0 AS min_cross_corr, max(lag) FILTER (WHERE top = 1) AS offset_max, max(lag) FILTER (WHERE low = 1) AS offset_min FROM b GROUP BY id""",
 )
 def best_cross_lag(spark, sf):
     pairs = diagnostics.lagged_correlation(retail.daily_series(spark, sf), "id", "date", "demand", 90)

@@ -131,7 +131,7 @@ pairs AS (SELECT y.id, lag, corr(x.demand, y.demand) AS r FROM x CROSS JOIN lags
 """
 
 
-@query("j10_lagged_correlation", DAILY + _LAGGED + "SELECT id, lag, round(r, 6) AS r FROM pairs")
+@query("j10_lagged_correlation", DAILY + _LAGGED + "SELECT id, lag, round(r, 6) + 0.0 AS r FROM pairs")
 def lagged_correlation(spark, sf):
     out = diagnostics.lagged_correlation(retail.daily_series(spark, sf), "id", "date", "demand", 90)
     return out.select("id", "lag", r6("r").alias("r"))
