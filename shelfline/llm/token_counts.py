@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.llm.common import slices, text_view
+from shelfline.llm.common import ship, slices, text_view
 
 #: Bound of the counter's table: so many states of 1 KB.
 MAX_STATES = 100_000
@@ -409,6 +409,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "
     its size does not depend on the data.
     """
     spark = docs.sparkSession
+    ship(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kind = docs.schema[key].dataType.simpleString()
 
