@@ -31,3 +31,58 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfline.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+tri AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM d, unnest(range(1, len(w) - 1)) u(i)
+),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS k FROM tri) WHERE k > 1),
+cov AS (SELECT rid, CAST(count(DISTINCT i + o) AS BIGINT) AS n FROM rep, unnest([0, 1, 2]) s(o) GROUP BY rid),
+lines AS (SELECT rid, l FROM d, unnest(string_split(t, chr(10))) u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n FROM lines GROUP BY rid),
+c AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid)
+),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
+p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
+q AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e6 END AS k FROM p),
+r AS (SELECT source, (f + m * k) / (n + k) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+"""
+
+
+@_query("op8_host_rules", _OP8_SQL)
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.host_rules import host_rules
+
+    return host_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+_OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
+@_query("op10_warc", _OP10_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages"))).drop("url")
