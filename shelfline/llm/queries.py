@@ -135,3 +135,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
+
+
+@_query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.personal import KINDS, find_personal, fit, spans_text
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_personal(docs, fit(docs))
+    counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
