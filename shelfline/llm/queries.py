@@ -145,3 +145,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(docs, fit(docs))
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+@_query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
