@@ -152,3 +152,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfline.llm.jaccard import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_repeated_substrings")
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.substrings import repeated_substrings
+
+    return repeated_substrings(_table(spark, sf_dir, "documents")).drop("starts", "ends")
