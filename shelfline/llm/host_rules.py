@@ -83,10 +83,10 @@ def host_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text:
     hosts = counts.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("f"))
     hosts = hosts.withColumn("rate", F.col("f") / F.col("n"))
     prior = hosts.agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v"))
-    prior = prior.select("m", F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)).otherwise(1e6).alias("k"))
-    verdicts = hosts.join(F.broadcast(prior)).select(  # one row
-        F.col("_host").alias("_judged"), ((F.col("f") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("host_rate")
-    )
+    m, v = prior.first()
+    k = max(1.0, m * (1 - m) / v - 1) if v else 1e6
+    mean = F.lit(m).cast("double")
+    verdicts = hosts.select(F.col("_host").alias("_judged"), ((F.col("f") + mean * k) / (F.col("n") + k)).alias("host_rate"))
     joined = counts.join(verdicts, F.col("_host").eqNullSafe(F.col("_judged")), "left")
     return joined.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -159,3 +159,68 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfline.llm.substrings import repeated_substrings
 
     return repeated_substrings(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+def _level_sql(level: str, parents: list[str], weight: str, above: str) -> str:
+    """The shares of one level of the budget tree."""
+    path = ", ".join([*parents, level])
+    using = f"JOIN {above} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {above}"
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    return f"""
+{level}_n AS (
+  SELECT n.*, share FROM (SELECT {path}, CAST(sum(tokens * 4) AS BIGINT) AS cap, {weight} AS w FROM leaves GROUP BY ALL) n {using}
+),
+{level}_f AS (
+  SELECT *, row_number() OVER o AS pos,
+         (share - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / CAST(sum(w) OVER ({part}) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS fill
+  FROM {level}_n WINDOW o AS ({part} ORDER BY cap / w, {level})
+),
+{level}_l AS (SELECT *, min(CASE WHEN fill * w < cap THEN pos END) OVER ({part}) AS head FROM {level}_f),
+{level}_m AS (SELECT *, max(CASE WHEN pos = head THEN fill END) OVER ({part}) AS lev FROM {level}_l),
+{level}_s AS (
+  SELECT {path}, CAST(CASE WHEN head IS NULL OR pos < head THEN cap ELSE floor(lev * w) END AS BIGINT) AS share FROM {level}_m
+)"""
+
+
+_OP7_SQL = (
+    r"""
+WITH rows_ AS (
+  SELECT doc_id, 'domain' || (CAST('0x' || substr(md5(coalesce(source, '(none)')), 1, 4) AS INTEGER) % 4) AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY ALL HAVING sum(n_tokens) > 0),
+root AS (SELECT CAST(least(floor(sum(tokens) * 0.5::DOUBLE), sum(tokens * 4)) AS BIGINT) AS share FROM leaves),"""
+    + _level_sql("domain", [], "1", "root")
+    + ","
+    + _level_sql("lang", ["domain"], "CASE lang WHEN 'en' THEN 2 ELSE 3 END", "domain_s")
+    + ","
+    + _level_sql("source", ["domain", "lang"], "1", "lang_s")
+    + """,
+plan AS (
+  SELECT domain, lang, source, share // tokens AS full_, share - (share // tokens) * tokens AS rest
+  FROM leaves JOIN source_s USING (domain, lang, source) WHERE share > 0
+),
+placed AS (SELECT *, md5('17|' || (full_ + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), '(none)')) AS ord FROM rows_ JOIN plan USING (domain, lang, source)),
+paid AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ord, n_tokens, doc_id
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed WHERE rest > 0
+)
+SELECT doc_id, domain, lang, source, CAST(full_ + 1 AS BIGINT) AS epoch, n_tokens, CAST(least(n_tokens, rest - before) AS BIGINT) AS take_tokens
+FROM paid WHERE before < rest
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(e AS BIGINT), n_tokens, n_tokens FROM placed, unnest(range(1, full_ + 1)) u(e)
+"""
+)
+#: Weights of the production mix: English is held down in favour of the other languages.
+MIX_WEIGHTS = {"lang": {"en": 2, "de": 3, "fr": 3, "es": 3, "(none)": 3}}
+
+
+@_query("op7_mixing", _OP7_SQL)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
