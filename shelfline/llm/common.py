@@ -61,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
-def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut and joined to pieces of about ``limit`` bytes of text."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -118,13 +118,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte segments [start, end), by differences of one running polynomial."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    sums = (total[ends] - total[starts]) * down[starts]
-    return mix(sums + (ends - starts).astype(np.uint64) * _ODD)
+def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of byte segments [start, end), by differences of a running polynomial.
+
+    The segments are in order and do not overlap; about ``block`` bytes are taken at a time.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        last = max(at + 1, int(np.searchsorted(ends, starts[at] + block, side="right")))
+        low, high = int(starts[at]), int(ends[last - 1])
+        up, down = powers(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+        s, e = starts[at:last] - low, ends[at:last] - low
+        out[at:last] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _ODD)
+        at = last
+    return out
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
