@@ -224,3 +224,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfline.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.quality import assess, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return assess(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("row")
