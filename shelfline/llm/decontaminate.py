@@ -262,13 +262,13 @@ def _searcher(shared, window: int):
     return run
 
 
-def remove_spans(docs: DataFrame, hits: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``hits`` taken out of the text; a line break stands for each."""
-    some = hits.where("n_hit > 0").select(F.col(key).alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.join(some, docs[key] == some["_key"], "left")
-    pieces = F.expr(f"""
-        concat(aggregate(_spans, struct(CAST('' AS BINARY) AS kept, 0L AS at),
-          (s, x) -> struct(concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), CAST('\\n' AS BINARY)) AS kept, x.end AS at),
-          s -> concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT)))))""")
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.decode(pieces, "utf-8"))
-    return joined.withColumn(text, cleaned).select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the spans that occur in the benchmark; a line break stands for each, other texts stay as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    hits = benchmark_hits(rows, benchmark, "row", "text", **options)
+    kept = F.expr(f"""
+        aggregate(spans, struct(CAST('' AS BINARY) AS kept, 0L AS at),
+          (s, x) -> struct(concat(s.kept, substring(CAST(row.`{text}` AS BINARY), CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), CAST('\\n' AS BINARY)) AS kept, x.end AS at),
+          s -> concat(s.kept, substring(CAST(row.`{text}` AS BINARY), CAST(s.at + 1 AS INT))))""")
+    cleaned = F.when(F.col("n_hit") > 0, F.decode(kept, "utf-8")).otherwise(F.col("row")[text])
+    return hits.select(*(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
