@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.lineage import cut, stage
-from shelfline.llm.common import gathered, lower_ascii, mix, ranges, segment_hashes, ship, text_view, words_of
+from shelfline.llm.common import SLICE_BYTES, gathered, lower_ascii, mix, ranges, segment_hashes, ship, text_view, words_of
 
 #: Words of a shingle, and the similarity of a link in percent.
 WORDS, PERCENT = 5, 80
 #: Bytes of text per fragment and the most fragments; fragments of one verification; longs of a bitmap.
-FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 12 << 20, 1 << 16, 8, 16
+FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 6 << 20, 1 << 16, 8, 16
 _MANY = 0xFFFF
 #: Stands for a null key.
 _NO_KEY = (1 << 63) - 1
@@ -51,8 +51,21 @@ _SENT = pa.schema(
 _SENT_SQL = "part bigint, batch bigint, a binary, b binary, c binary, e binary, key array<bigint>, n array<bigint>, s array<bigint>, t array<bigint>"
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the distinct shingles, by text and hash; a text of fewer words is one shingle."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the distinct shingles, by text and hash; texts are taken in blocks of about ``block`` bytes."""
+    parts, at = [], 0
+    while at < len(offsets) - 1:
+        last = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, side="right")) - 1)
+        hashes, text = _shingles(raw[offsets[at] : offsets[last]], offsets[at : last + 1] - offsets[at], words)
+        parts.append((hashes, text + at))
+        at = last
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def _shingles(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of one block; a text of fewer words is one shingle."""
     raw = lower_ascii(raw)
     starts, ends, first = words_of(raw, offsets, _WORD_BYTE)
     hashes, n = segment_hashes(raw, starts, ends), np.diff(first)
@@ -179,7 +192,7 @@ def _first_round(docs: DataFrame, fragments: int, words: int) -> DataFrame:
     """A row per document: rid, key, n, two sums that tell its set, alive (enough is shared), and its shared n-grams once per set and piece."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for count, batch in enumerate(gathered(batches, "text")):
+        for count, batch in enumerate(gathered(batches, "text", SLICE_BYTES)):
             raw, offsets = text_view(batch.column("text"))
             hashes, text = shingle_sets(raw, offsets, words)
             n = np.bincount(text, minlength=batch.num_rows)
