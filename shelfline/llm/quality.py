@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
         return None
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             bucket, owner = _distinct_words(*text_view(batch.column("text")))
             flags = [batch.column(q).to_numpy()[owner] for q in QUESTIONS]
             counts = np.bincount(bucket, minlength=BUCKETS)
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
     shared = spark.sparkContext.broadcast(evidence)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             x = describe(*text_view(batch.column("text")), shared.value)
             lists = pa.array(x.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(q) for q in QUESTIONS)], ["x", *QUESTIONS])
@@ -227,7 +227,7 @@ def assess(docs: DataFrame, model: Model | None, host: str = "source", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             if model is None:
                 p = np.zeros((batch.num_rows, len(QUESTIONS)))
             else:
