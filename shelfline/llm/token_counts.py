@@ -11,8 +11,8 @@ Two deterministic machines count the tokens of a byte-level BPE tokenizer.
   read that can begin a token, the last token of the encoding up to that suffix and how many
   tokens stand there against here. Reading a byte selects the one token that is compatible
   with its predecessor; the transition carries the change of the number of tokens, so the sum
-  along a pre-token is its token count. States are made when first met, and the table is
-  dropped and begun anew when it reaches ``MAX_STATES``.
+  along a pre-token is its token count. States are made when first met; when the table reaches
+  ``MAX_STATES``, all that are not in use are dropped.
 
 Both run in lock step over many chunks and pre-tokens. Rows stay in their partition: no
 shuffle, and a text longer than a block is cut at a pre-token start, where the splitter is in
@@ -198,16 +198,27 @@ class Counter:
         self.lefts = {a for a, _ in self.rank}
         self.max_states = max_states
         self.spines: dict[tuple[bytes, int], tuple[tuple[bytes, int], ...]] = {}
-        self.clear()
+        self.classes: dict[tuple, int] = {}
+        self.class_of: dict[tuple[bytes, bytes | None], int] = {}
+        self.member: list[bytes | None] = []
+        self.front = ((b"", self._class(b"", None), 0),)
+        self.restart(np.zeros(0, np.int64), [])
 
-    def clear(self) -> None:
+    def restart(self, live: np.ndarray, keys: list[tuple]) -> np.ndarray:
+        """Drop all states but the first and the live ones; their new numbers."""
+        old = [keys[s] for s in live.tolist()]
         self.number: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.classes: dict[tuple, int] = {}
-        self.class_of: dict[tuple[bytes, bytes], int] = {}
-        self.member: list[bytes | None] = []
         self.table = np.full(256 * 1024, -1, np.int32)
-        self.state(((b"", self._class(b"", None), 0),))
+        self.state(self.front)
+        return np.array([self.state(k) for k in old], np.int64)
+
+    def bounded(self, state: np.ndarray) -> np.ndarray:
+        """The states' numbers, after a restart where the table has reached its bound; it keeps what is in use."""
+        live, place = np.unique(state, return_inverse=True)
+        if len(self.keys) <= max(self.max_states, 2 * len(live)):
+            return state
+        return self.restart(live, self.keys)[place]
 
     def state(self, key: tuple) -> int:
         if key not in self.number:
@@ -298,10 +309,10 @@ class Counter:
             at = (state[:n] << 8) + raw[begin[:n] + j]
             got = self.table[at]
             if got.min() < 0:
-                if len(self.keys) > self.max_states:  # bounded memory: begin anew and read from the front again
-                    self.clear()
-                    state[:], total[:], j = 0, 0, 0
-                    continue
+                if len(self.keys) > self.max_states:
+                    state[:n] = self.bounded(state[:n])
+                    at = (state[:n] << 8) + raw[begin[:n] + j]
+                    got = self.table[at]
                 for x in np.unique(at[got < 0]).tolist():
                     self.make(x >> 8, x & 255)
                 got = self.table[at]
@@ -314,6 +325,10 @@ class Counter:
                 for byte in raw[begin[k] + j : begin[k] + size[k]].tolist():
                     got = int(self.table[now << 8 | byte])
                     if got < 0:
+                        if len(self.keys) > self.max_states:
+                            state[k] = now
+                            state[k : int(active[j])] = self.bounded(state[k : int(active[j])])
+                            now = int(state[k])
                         self.make(now, byte)
                         got = int(self.table[now << 8 | byte])
                     sum_ += (got & 255) - 128
