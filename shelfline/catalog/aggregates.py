@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from shelfline.catalog.base import DAILY, WEEKLY, query, r6
+from shelfline.catalog.base import DAILY, PARTNERS, WEEKLY, query, r6
 from shelfline.functions.rolling import along
 from shelfline.operators import diagnostics, metrics
 from shelfline.operators.hierarchy import LEVELS, level_name, membership, roll_up
+from shelfline.operators.quantiles import group_quantiles
 from shelfline.operators.running import positions, running_total_by
 from shelfline.operators.runs import zero_runs
 from shelfline.plans.evaluate import SPLIT
@@ -140,9 +141,9 @@ def metric_mean_std(spark, sf):
     "SELECT event_type, round(quantile_cont(value, 0.01), 6) AS q01, round(quantile_cont(value, 0.99), 6) AS q99 FROM events GROUP BY 1",
 )
 def group_quantile(spark, sf):
-    q = F.percentile("value", [0.01, 0.99])
-    df = files.table(spark, sf, "events").groupBy("event_type").agg(q.alias("q"))
-    return df.select("event_type", r6(F.col("q")[0]).alias("q01"), r6(F.col("q")[1]).alias("q99"))
+    events = files.table(spark, sf, "events").select("event_type", "value")
+    found = group_quantiles(events, "event_type", "value", {"q01": 0.01, "q99": 0.99})
+    return found.select("event_type", r6("q01").alias("q01"), r6("q99").alias("q99"))
 
 
 @query(
@@ -162,13 +163,13 @@ def argmax_argmin(spark, sf):
 
 @query(
     "a11_strong_pair_count",
-    DAILY
-    + """SELECT count(*) AS strong_pairs FROM (SELECT corr(a.demand, b.demand) AS r
-FROM daily a JOIN daily b ON a.date = b.date AND a.id < b.id GROUP BY a.id, b.id) WHERE abs(r) > 0.03""",
+    DAILY + PARTNERS + "SELECT count(*) // 2 AS pairs, count(*) FILTER (WHERE strong) // 2 AS strong_pairs FROM best",
 )
 def strong_pair_count(spark, sf):
-    pairs = diagnostics.strong_pairs(retail.daily_series(spark, sf), "id", "date", "demand", 0.03)
-    return pairs.agg(F.count(F.lit(1)).alias("strong_pairs"))
+    """Pairs of stores of one item, and those whose absolute correlation exceeds 0.8."""
+    found = diagnostics.partners(retail.daily_series(spark, sf), "item_id", "id", "date", "demand", 0.8)
+    halves = {"pairs": "n_partners", "strong_pairs": "n_strong"}
+    return found.agg(*[(F.sum(c) / 2).cast("bigint").alias(n) for n, c in halves.items()])
 
 
 _RUNS = """, z AS (SELECT id, date, demand = 0 AS zero, row_number() OVER (PARTITION BY id ORDER BY date)
@@ -216,10 +217,9 @@ SELECT event_type, count(*) FILTER (WHERE value < lo OR value > hi) AS outside F
 )
 def count_outside(spark, sf):
     events = files.table(spark, sf, "events").select("event_type", "value")
-    q = events.groupBy("event_type").agg(F.percentile("value", [0.01, 0.99]).alias("q"))
-    # Five event types: the bounds are one row each.
-    df = events.join(q, "event_type")
-    outside = (F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[1])
+    bounds = group_quantiles(events, "event_type", "value", {"lo": 0.01, "hi": 0.99})
+    df = events.join(bounds, "event_type")
+    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
     return df.groupBy("event_type").agg(F.count_if(outside).alias("outside"))
 
 
@@ -255,8 +255,7 @@ def top_levels(spark, sf):
 
 @query("o04_last_days", DAILY + "SELECT id, date, demand FROM daily WHERE date > (SELECT max(date) FROM daily) - 84")
 def last_days(spark, sf):
-    df = retail.daily_series(spark, sf).select("id", "date", "demand")
-    return df.filter(F.col("date") > F.lit(retail.SPAN_END - timedelta(days=84)))
+    return retail.daily_window(spark, sf, retail.SPAN_END - timedelta(days=83), retail.SPAN_END).select("id", "date", "demand")
 
 
 @query(
@@ -280,7 +279,7 @@ def cv_order(spark, sf):
 UNION ALL SELECT id || '_evaluation', date, demand FROM daily WHERE date > DATE '2001-10-07'""",
 )
 def row_union(spark, sf):
-    df = retail.daily_series(spark, sf).filter(F.col("date") > F.lit("2001-10-07").cast("date"))
+    df = retail.daily_window(spark, sf, date(2001, 10, 8), retail.SPAN_END)
 
     def half(suffix):
         return df.select(F.concat("id", F.lit(suffix)).alias("id"), "date", "demand")

@@ -119,3 +119,9 @@ weekly AS (
   FROM ids CROSS JOIN weeks LEFT JOIN sold ON sold.id = ids.id AND sold.date = weeks.date
 )"""
 )
+
+#: Continues DAILY: stores of one item, compared day by day.
+PARTNERS = """, pairs AS (SELECT a.id, b.id AS partner, corr(a.demand, b.demand) AS r
+  FROM daily a JOIN daily b ON a.item_id = b.item_id AND a.date = b.date AND a.id <> b.id GROUP BY ALL),
+best AS (SELECT id, partner, r, abs(r) > 0.8 AS strong, row_number() OVER (PARTITION BY id ORDER BY round(abs(r), 9) DESC, partner) AS rank FROM pairs)
+"""

@@ -51,9 +51,10 @@ SELECT id, date, coalesce(c.code, 0) AS event_code, t.code AS store_code, t.code
 FROM daily JOIN cal USING (date) LEFT JOIN c USING (event_name_1) JOIN t ON t.type_name = daily.store_id""",
 )
 def category_codes(spark, sf):
-    calendar = retail.calendar(spark, 0).select("date", "event_name_1")
-    stores = retail.daily_sold(spark, sf).select("store_id").distinct()
-    df = retail.daily_series(spark, sf).select("id", "store_id", "date").join(F.broadcast(calendar), "date")
+    sold = retail.staged_daily_sold(spark, sf)
+    calendar = retail.calendar(spark, 0, sold).select("date", "event_name_1")
+    stores = sold.select("store_id").distinct()
+    df = retail.daily_series(spark, sf, sold).select("id", "store_id", "date").join(F.broadcast(calendar), "date")
     df = encode.category_codes(df, "event_name_1", "event_code", source=calendar)
     df = encode.category_codes(df, "store_id", "store_code", source=stores)
     return df.select("id", "date", "event_code", "store_code", (F.col("store_code") + 1).alias("store_factor"))

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from shelfline.catalog.aggregates import FORECASTS, forecasts, nodes_sql
-from shelfline.catalog.base import DAILY, WEEKLY, query, r6
+from shelfline.catalog.base import DAILY, PARTNERS, WEEKLY, query, r6
 from shelfline.catalog.joins import _LAGGED
 from shelfline.operators import checks, diagnostics
 from shelfline.operators.reshape import horizon_label, pivot
@@ -97,8 +97,8 @@ def both_halves(spark, sf):
 SELECT old.* REPLACE (coalesce(sold.demand, 0) AS F1) FROM old LEFT JOIN sold ON sold.id = old.id AND sold.date = DATE '2001-10-07'""",
 )
 def replace_column(spark, sf):
-    daily = retail.daily_series(spark, sf).select("id", "date", F.col("demand").alias("pred"))
-    late = daily.filter(F.col("date") > F.lit(SPLIT))
+    daily = retail.daily_window(spark, sf, SPLIT + timedelta(days=1), retail.SPAN_END)
+    late = daily.select("id", "date", F.col("demand").alias("pred"))
     labelled = late.withColumn("F", horizon_label(F.datediff("date", F.lit(SPLIT))))
     old = pivot(labelled, ["id"], "F", [f"F{n}" for n in range(1, 29)], "pred")
     sold = retail.daily_sold(spark, sf).filter(F.col("date") == F.lit(SPLIT))
@@ -126,7 +126,8 @@ def _backtest_sql() -> str:
         split = _BT_LAST - (_BT_FOLDS - f) * _BT_TEST
         low = split - _BT_TRAIN
         ctes += [
-            # Only series that sold inside the fold take part.
+            # Series that sold nothing inside the fold have no error, but count in the mean.
+            f"all{f} AS (SELECT count(DISTINCT id) AS n FROM weekly WHERE demand > 0 AND wk <= {split + _BT_TEST})",
             f"live{f} AS (SELECT DISTINCT id FROM weekly WHERE demand > 0 AND wk > {low} AND wk <= {split + _BT_TEST})",
             f"w{f} AS (SELECT weekly.* FROM weekly JOIN live{f} USING (id) WHERE wk > {low} AND wk <= {split + _BT_TEST})",
             f"tn{f} AS ({nodes_sql(f'w{f}', 'sum(demand) AS demand', 'wk')})",
@@ -145,7 +146,7 @@ def _backtest_sql() -> str:
                 f"sc{f}_{process} AS (SELECT sum(sqrt(mse / scale) * coalesce(weight, 0)) AS s FROM (SELECT level, node, avg(error * error) AS mse FROM en{f}_{process} GROUP BY ALL) JOIN scale{f} USING (level, node) LEFT JOIN wt{f} USING (level, node) WHERE scale <> 0)",
             ]
             outs.append(
-                f"SELECT '{process}' AS process_name, {f} AS fold_idx, date, round(sqrt(avg(error * error)), 6) AS preds_rmse, (SELECT round(s, 6) FROM sc{f}_{process}) AS wrmsse FROM pn{f}_{process} GROUP BY date"
+                f"SELECT '{process}' AS process_name, {f} AS fold_idx, date, round(sqrt(sum(error * error) / (SELECT n FROM all{f})), 6) AS preds_rmse, (SELECT round(s, 6) FROM sc{f}_{process}) AS wrmsse FROM pn{f}_{process} GROUP BY date"
             )
     return WEEKLY + ", " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(outs)
 
@@ -231,16 +232,12 @@ def decomposition(spark, sf):
 
 @query(
     "d05_strong_pairs",
-    DAILY
-    + """SELECT a.id AS id_a, b.id AS id_b, round(corr(a.total, b.total), 6) AS r
-FROM (SELECT item_id AS id, date, sum(demand) AS total FROM daily GROUP BY ALL) a
-JOIN (SELECT item_id AS id, date, sum(demand) AS total FROM daily GROUP BY ALL) b ON a.date = b.date AND a.id < b.id
-GROUP BY ALL HAVING abs(corr(a.total, b.total)) > 0.01""",
+    DAILY + PARTNERS + "SELECT id, count(*) AS n_partners, count(*) FILTER (WHERE strong) AS n_strong FROM best GROUP BY id",
 )
 def strong_pairs(spark, sf):
-    totals = retail.daily_series(spark, sf).groupBy("item_id", "date").agg(F.sum("demand").alias("total"))
-    out = diagnostics.strong_pairs(totals, "item_id", "date", "total", 0.01)
-    return out.select("id_a", "id_b", r6("r").alias("r"))
+    """Per series the stores of the same item, and how many of them it follows closely."""
+    found = diagnostics.partners(retail.daily_series(spark, sf), "item_id", "id", "date", "demand", 0.8)
+    return found.select("id", "n_partners", "n_strong")
 
 
 @query(

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from shelfline.catalog.base import DAILY, WEEKLY, query, r6
+from shelfline.catalog.base import DAILY, PARTNERS, WEEKLY, query, r6
 from shelfline.catalog.projections import _TEMPLATE
 from shelfline.functions.rolling import along
 from shelfline.operators import diagnostics, reshape
@@ -23,8 +23,9 @@ def _w():
     + 'SELECT id, demand, cal.* EXCLUDE (dn) FROM daily JOIN cal USING (date)',
 )
 def calendar_join(spark, sf):
-    df = retail.daily_series(spark, sf).withColumn("d", F.concat(F.lit("d_"), retail.day_number("date").cast("string")))
-    return df.select("id", "demand", "d").join(F.broadcast(retail.calendar(spark)), "d", "left")
+    sold = retail.staged_daily_sold(spark, sf)
+    df = retail.daily_series(spark, sf, sold).withColumn("d", F.concat(F.lit("d_"), retail.day_number("date").cast("string")))
+    return df.select("id", "demand", "d").join(F.broadcast(retail.calendar(spark, sold=sold)), "d", "left")
 
 
 @query(
@@ -137,12 +138,8 @@ def lagged_correlation(spark, sf):
     return out.select("id", "lag", r6("r").alias("r"))
 
 
-@query(
-    "j11_series_pairs",
-    DAILY
-    + """SELECT a.id AS id_a, b.id AS id_b, round(corr(a.demand, b.demand), 6) AS r
-FROM daily a JOIN daily b ON a.date = b.date AND a.id < b.id GROUP BY ALL HAVING abs(corr(a.demand, b.demand)) > 0.04""",
-)
+@query("j11_series_pairs", DAILY + PARTNERS + "SELECT id, partner, round(r, 6) + 0.0 AS r FROM best WHERE rank = 1")
 def series_pairs(spark, sf):
-    out = diagnostics.strong_pairs(retail.daily_series(spark, sf), "id", "date", "demand", 0.04)
-    return out.select("id_a", "id_b", r6("r").alias("r"))
+    """The store whose sales of the same item follow a series most closely."""
+    daily = retail.daily_series(spark, sf)
+    return diagnostics.partners(daily, "item_id", "id", "date", "demand").select("id", "partner", (r6("r") + 0.0).alias("r"))

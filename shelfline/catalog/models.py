@@ -1,5 +1,6 @@
-"""Model jobs. Trees and linear models are not expressible in SQL: these are rows-only checks,
-except where the outcome of a job is known."""
+"""Model jobs. Trees and linear models are not expressible in SQL: a query returns what is known
+of a job's outcome (which rows are predicted, sums that must agree), the predictions themselves
+come from the functions of ``plans.model``."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.catalog.base import DAILY, query, r6
 from shelfline.functions.rolling import along, with_count_rolling
@@ -41,6 +42,15 @@ def _table(spark, sf) -> DataFrame:
     return stage(direct_features(daily), "model-features")
 
 
+_LATE = DAILY + " SELECT id, date, demand, true AS predicted FROM daily WHERE date > DATE '2001-10-07'"
+
+
+def _usable(prediction: str) -> Column:
+    """Whether a prediction is there, finite and not negative; what a model job can be held to in SQL."""
+    p = F.col(prediction)
+    return (p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p < float("inf"))).alias("predicted")
+
+
 def _train_test(spark, sf) -> tuple[DataFrame, DataFrame]:
     df = _table(spark, sf)
     return df.filter(F.col("date") <= F.lit(SPLIT)), df.filter(F.col("date") > F.lit(SPLIT))
@@ -50,7 +60,7 @@ def _poisson():
     return ml.count_regression(COLUMNS, "demand", "poisson", reg=0.01)
 
 
-@query("g08_boosted_trees")
+@query("g08_boosted_trees", _LATE)
 def boosted_trees(spark, sf):
     """Weighted boosting with early stopping on the last 28 training days."""
     train, test = _train_test(spark, sf)
@@ -60,29 +70,31 @@ def boosted_trees(spark, sf):
             "w": 1.0 + F.year("date") - F.lit(1995),
         }
     )
-    fitted = ml.boosted_trees(COLUMNS, "demand", "w", "is_validation", maxIter=4, maxDepth=4).fit(train)
-    return fitted.transform(test).select("id", "date", "demand", r6("prediction").alias("prediction"))
+    fitted = ml.boosted_trees(COLUMNS, "demand", "w", "is_validation", ["dow", "month"], maxIter=20, maxDepth=4).fit(train)
+    return fitted.transform(test).select("id", "date", "demand", _usable("prediction"))
 
 
 @query("g08_importances")
 def tree_importances(spark, sf):
     train, _ = _train_test(spark, sf)
-    fitted = ml.boosted_trees(COLUMNS, "demand", maxIter=2, maxDepth=4).fit(train)
+    fitted = ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=10, maxDepth=4).fit(train)
     return ml.importances(fitted, COLUMNS, train).withColumn("importance", r6("importance"))
 
 
-@query("g09_tweedie_regression")
+@query("g09_tweedie_regression", _LATE)
 def tweedie_regression(spark, sf):
     train, test = _train_test(spark, sf)
     fitted = ml.count_regression(COLUMNS, "demand", "tweedie", 1.1).fit(train)
-    return fitted.transform(test).select("id", "date", "demand", r6("prediction").alias("prediction"))
+    return fitted.transform(test).select("id", "date", "demand", _usable("prediction"))
 
 
-@query("g09_poisson_regression")
+@query("g09_poisson_regression", DAILY + " SELECT sum(demand) AS demand, true AS adds_up FROM daily WHERE date <= DATE '2001-10-07'")
 def poisson_regression(spark, sf):
-    train, test = _train_test(spark, sf)
-    fitted = _poisson().fit(train)
-    return fitted.transform(test).select("id", "date", "demand", r6("prediction").alias("prediction"))
+    """With a log link and an intercept, the fitted means add up to the training total."""
+    train, _ = _train_test(spark, sf)
+    fitted = ml.count_regression(COLUMNS, "demand", "poisson").fit(train)
+    sums = fitted.transform(train).agg(F.sum("demand").alias("demand"), F.sum("prediction").alias("p"))
+    return sums.select("demand", (F.abs(F.col("p") / F.col("demand") - 1) < 1e-6).alias("adds_up"))
 
 
 _DOC_COLUMNS = ["n_chars", "n_words", "word_length"]
@@ -97,17 +109,24 @@ def _documents(spark, sf) -> DataFrame:
     return stage(ml.filled(out, _DOC_COLUMNS), "labelled-documents")
 
 
-@query("g10_classification")
+@query(
+    "g10_classification",
+    """SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS grade, true AS adds_up, true AS decoded FROM documents JOIN labels USING (doc_id)""",
+)
 def classification(spark, sf):
     """Class probabilities and decoded labels for every labelled document, out of fold."""
     docs = folds.random_folds(_documents(spark, sf), "doc_id", 2, [5])
     parts = []
     for fold in (0, 1):
         train = docs.filter(F.col("fold") != fold)
-        fitted = ml.classifier(_DOC_COLUMNS, "grade", docs, numTrees=10, maxDepth=4).fit(train)
+        fitted = ml.classifier(_DOC_COLUMNS, "grade", docs, numTrees=20, maxDepth=5).fit(train)
         scored = ml.with_class_probabilities(fitted.transform(docs.filter(F.col("fold") == fold)), 2)
-        parts.append(scored.select("doc_id", "grade", "predicted", r6("class_0").alias("class_0"), r6("class_1").alias("class_1")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(scored.select("doc_id", "grade", "predicted", "class_0", "class_1"))
+    out = reduce(DataFrame.unionByName, parts)
+    # Labels are numbered in order of names: class 0 is "good".
+    likely = F.when(F.col("class_0") >= F.col("class_1"), "good").otherwise("poor")
+    sums = F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9
+    return out.select("doc_id", "grade", sums.alias("adds_up"), (F.col("predicted") == likely).alias("decoded"))
 
 
 @query("g11_rounds_by_cross_validation")
@@ -118,22 +137,28 @@ def rounds_by_cross_validation(spark, sf):
     return table.select("rounds", r6("cv_rmse").alias("cv_rmse"), (F.col("rounds") == best).alias("best"))
 
 
-@query("g12_model_per_segment")
+@query(
+    "g12_model_per_segment",
+    DAILY + " SELECT store_id, id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'",
+)
 def model_per_segment(spark, sf):
     train, test = _train_test(spark, sf)
     stores = [r.store_id for r in train.select("store_id").distinct().orderBy("store_id").collect()]
     out = ml.per_segment(train, test, "store_id", stores, _poisson)
-    return out.select("store_id", "id", "date", r6("prediction").alias("prediction"))
+    return out.select("store_id", "id", "date", _usable("prediction"))
 
 
-@query("g13_direct_forecast")
+@query(
+    "g13_direct_forecast",
+    DAILY + " SELECT id, CAST(DATE '2001-11-04' + CAST(n AS INTEGER) AS DATE) AS date, true AS predicted FROM ids, range(1, 29) t(n)",
+)
 def direct_forecast(spark, sf):
     """All 28 days after the end of the data at once."""
     daily = retail.daily_series(spark, sf).select("id", "date", "demand")
     rows = stage(direct_features(add_horizon(daily, ["id"], retail.SPAN_END, 28)), "direct-features")
     fitted = _poisson().fit(rows.filter("demand IS NOT NULL"))
     ahead = fitted.transform(rows.filter("demand IS NULL"))
-    return ahead.select("id", "date", r6("prediction").alias("prediction"))
+    return ahead.select("id", "date", _usable("prediction"))
 
 
 _SHORT = ["lag_1", "lag_7", "mean_1_7", "dow"]
@@ -147,21 +172,21 @@ def short_features(df: DataFrame) -> DataFrame:
     return ml.filled(out, _SHORT)
 
 
-@query("g14_recursive_model")
+@query("g14_recursive_model", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
 def recursive_model(spark, sf):
     daily = stage(retail.daily_series(spark, sf).select("id", "date", "demand"), "daily")
     train = daily.filter(F.col("date") <= F.lit(SPLIT))
     fitted = ml.count_regression(_SHORT, "demand", "poisson", reg=0.01).fit(short_features(train))
-    out = recursive_with_model(train, SPLIT, 7, 14, short_features, fitted)
-    return out.select("id", "date", r6("pred").alias("pred"))
+    out = recursive_with_model(train, SPLIT, 28, 14, short_features, fitted)
+    return out.select("id", "date", _usable("pred"))
 
 
-@query("g16_fold_ensemble")
+@query("g16_fold_ensemble", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
 def fold_ensemble(spark, sf):
     train, test = _train_test(spark, sf)
     folded = folds.sliding_time_folds(train, "date", 3, 730, 56)
     mean, _ = ml.fold_ensemble(folded, test, 3, _poisson, ["id", "date"])
-    return mean.withColumn("prediction", r6("prediction"))
+    return mean.select("id", "date", _usable("prediction"))
 
 
 _ORDER_COLUMNS = ["month", "dow", "priority"]

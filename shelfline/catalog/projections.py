@@ -51,7 +51,7 @@ _PIVOT28 = ", ".join(f"max(CASE WHEN date = DATE '2001-10-07' + {n} THEN demand
 
 def _last_28(spark, sf) -> DataFrame:
     """The last 28 days of every series with their horizon label."""
-    df = retail.daily_series(spark, sf).filter(F.col("date") >= F.lit(_LAST28))
+    df = retail.daily_window(spark, sf, _LAST28, retail.SPAN_END)
     return df.withColumn("F", reshape.horizon_label(F.datediff("date", F.lit(_LAST28)) + 1))
 
 
@@ -196,7 +196,7 @@ FROM daily JOIN cal USING (date) LEFT JOIN prices USING (store_id, item_id, wm_y
 def fill_missing(spark, sf):
     sold = retail.staged_daily_sold(spark, sf)
     df = with_price_per_day(retail.daily_series(spark, sf, sold), retail.prices_of(sold))
-    df = df.join(F.broadcast(retail.calendar(spark).select("date", "event_name_1")), "date")
+    df = df.join(F.broadcast(retail.calendar(spark, sold=sold).select("date", "event_name_1")), "date")
     return df.select("id", "date", "sell_price", "event_name_1").na.fill({"sell_price": 0.0, "event_name_1": "NA"})
 
 
@@ -251,7 +251,7 @@ def day_number(spark, sf):
     DAILY + f"SELECT id, date, 'F' || row_number() OVER (PARTITION BY id ORDER BY date) AS F FROM daily WHERE date > {_SPLIT}",
 )
 def horizon_label(spark, sf):
-    df = retail.daily_series(spark, sf).filter(F.col("date") >= F.lit(_LAST28))
+    df = retail.daily_window(spark, sf, _LAST28, retail.SPAN_END)
     return df.select("id", "date", reshape.horizon_label(F.row_number().over(_w())).alias("F"))
 
 
@@ -316,7 +316,7 @@ def undo_log_difference(spark, sf):
     "p26_difference",
     DAILY
     + """, s AS (SELECT id, date, lag(demand) OVER w AS shifted_demand, demand - lag(demand) OVER w AS demand FROM daily WINDOW w AS (PARTITION BY id ORDER BY date))
-SELECT * FROM s WHERE date NOT IN (SELECT date FROM s WHERE demand IS NULL)""",
+SELECT s.* FROM s ANTI JOIN (SELECT DISTINCT date FROM s WHERE demand IS NULL) b USING (date)""",
 )
 def difference(spark, sf):
     df = retail.daily_series(spark, sf).select("id", "date", "demand")

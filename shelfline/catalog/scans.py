@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -31,13 +32,15 @@ def csv_typed(spark, sf):
     return files.read_csv_typed(spark, path, "o_orderkey bigint, o_orderdate date, o_totalprice double, o_orderpriority string")
 
 
-@query("s04_row_capped_scan", "SELECT least(count(*), 500) AS n FROM supplier")
+@query("s04_row_capped_scan", "SELECT least(count(*), 500) AS n, least(count(*), 500) AS members FROM orders")
 def row_capped_scan(spark, sf):
-    """The cap is the feature: at most 500 rows of the file."""
-    path = fresh_path(spark, "supplier-csv")
-    files.write_csv(files.table(spark, sf, "supplier"), path)
-    head = files.read_head(spark, path, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", 500)
-    return head.agg(F.count(F.lit(1)).alias("n"))
+    """The cap is the feature: at most 500 rows of the file, each of them a row of the table."""
+    path = fresh_path(spark, "orders-csv")
+    orders = files.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    files.write_csv(orders, path)
+    head = cut(files.read_head(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderpriority string", 500))
+    members = head.join(orders.distinct(), orders.columns, "left_semi").agg(F.count(F.lit(1)).alias("members"))
+    return head.agg(F.count(F.lit(1)).alias("n")).withColumn("members", members.scalar())
 
 
 @query(
@@ -46,7 +49,7 @@ def row_capped_scan(spark, sf):
 )
 def csv_sink(spark, sf):
     path = fresh_path(spark, "forecast-csv")
-    df = retail.daily_series(spark, sf).filter(F.col("date") > F.lit("2001-10-07").cast("date"))
+    df = retail.daily_window(spark, sf, date(2001, 10, 8), retail.SPAN_END)
     files.write_csv(df.select("id", "date", "demand"), path)
     return files.read_csv_typed(spark, path, "id string, date date, demand double")
 

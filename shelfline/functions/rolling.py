@@ -86,11 +86,14 @@ def with_count_rolling(
 
     ``specs`` holds (name, shift, width, stat). Each statistic is the difference of two
     running totals (count, sum, sum of squares) taken at two lags, so a width of 180 costs
-    as much as a width of 7. With whole numbers the totals are exact in double precision
-    up to 2**53; use :func:`rolling` for fractional columns.
+    as much as a width of 7. The rounded mean of the series is taken off first: totals of
+    what is left are exact up to 2**53 however large the values are. Use :func:`rolling` for
+    fractional columns.
     """
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(x).cast("double")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumn("_offset", F.coalesce(F.round(F.avg(F.col(x).cast("double")).over(whole)), F.lit(0.0)))
+    v = F.col(x).cast("double") - F.col("_offset")
     totals = F.struct(
         F.count(v).over(to_here).alias("n"),
         F.coalesce(F.sum(v).over(to_here), F.lit(0.0)).alias("s"),
@@ -108,9 +111,9 @@ def with_count_rolling(
     for name, shift, n, stat in specs:
         s, q = change("s", shift, n), change("q", shift, n)
         value = {
-            "sum": lambda: s,
-            "mean": lambda: s / n,
+            "sum": lambda: s + n * F.col("_offset"),
+            "mean": lambda: (s + n * F.col("_offset")) / n,
             "std": lambda: F.sqrt(F.greatest(q * n - s * s, F.lit(0.0)) / (n * (n - 1))),
         }[stat]()
         out[name] = F.when(change("n", shift, n) == n, value)
-    return marked.withColumns(out).drop("_totals", *[f"_at_{k}" for k in offsets])
+    return marked.withColumns(out).drop("_totals", "_offset", *[f"_at_{k}" for k in offsets])

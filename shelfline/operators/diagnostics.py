@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,39 +46,42 @@ def best_lags(correlations: DataFrame, key: str) -> DataFrame:
     )
 
 
-def strong_pairs(df: DataFrame, key: str, day: str, value: str, threshold: float, block: int = 256) -> DataFrame:
-    """Pairs of series whose absolute correlation exceeds ``threshold``: (id_a, id_b, r), id_a < id_b.
+def partners(df: DataFrame, group: str, key: str, day: str, value: str, threshold: float = 0.8) -> DataFrame:
+    """Per series its most correlated partner of the same group: (key, partner, r, n_strong, n_partners).
 
-    Series become equally long vectors (one entry per calendar day) in blocks of about
-    ``block`` series. Each pair of blocks is one matrix product in one task, and only strong
-    pairs leave the task; the number of series (one number) is counted first to size the blocks.
+    A group is an item, its series are the stores that sell it: one vector per store and calendar
+    day, compared in one matrix product. ``n_strong`` counts partners whose absolute correlation
+    exceeds ``threshold``; ties go to the smaller key, a series without variance has no partner.
     """
-    vectors = df.groupBy(F.col(key).alias("id")).agg(
+    vectors = df.groupBy(F.col(group).alias("group"), F.col(key).alias("id")).agg(
         F.expr(f"transform(sort_array(collect_list(struct({day}, {value}))), p -> p.{value})").alias("v")
     )
-    count = df.select(key).distinct().count()
-    blocks = max(1, math.ceil(count / block))
-    home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    # Block a meets block b once, in task (min, max).
-    spread = vectors.withColumn("_home", home).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumns({"_low": F.least("_home", "_other"), "_high": F.greatest("_home", "_other")})
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x = x - x.mean(axis=1, keepdims=True)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x = np.where(norm > 0, x / norm, np.nan)
-        ids, homes = pdf["id"].to_numpy(), pdf["_home"].to_numpy()
-        r = x @ x.T
-        a, b = np.nonzero(np.triu(np.abs(r) > threshold, k=1))
-        if pdf["_low"].iat[0] != pdf["_high"].iat[0]:
-            across = homes[a] != homes[b]
-            a, b = a[across], b[across]
-        return pd.DataFrame({"id_a": ids[a], "id_b": ids[b], "r": r[a, b]})
-
-    return spread.groupBy("_low", "_high").applyInPandas(product, "id_a string, id_b string, r double")
+        live = norm[:, 0] > 0
+        r = (x @ x.T) / np.where(live, norm[:, 0], 1.0) / np.where(live, norm, 1.0)
+        usable = live[:, None] & live[None, :] & ~np.eye(len(x), dtype=bool)
+        # Equal to nine digits is a tie.
+        ranked = np.where(usable, np.round(np.abs(r), 9), -1.0)
+        best = ranked.argmax(axis=1)
+        found = usable.any(axis=1)
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame(
+            {
+                "id": ids,
+                "partner": np.where(found, ids[best], None),
+                "r": np.where(found, r[np.arange(len(x)), best], np.nan),
+                "n_strong": (ranked > threshold).sum(axis=1),
+                "n_partners": usable.sum(axis=1),
+            }
+        )
+
+    out = vectors.groupBy("group").applyInPandas(product, "id string, partner string, r double, n_strong bigint, n_partners bigint")
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def autocorrelation(df: DataFrame, key: str, day: str, value: str, lags: int) -> DataFrame:

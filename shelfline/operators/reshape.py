@@ -60,6 +60,19 @@ def fill_gaps(
     )
 
 
+def fill_window(df: DataFrame, keys: Sequence[str], day: str, value: str, start: date, end: date) -> DataFrame:
+    """Every series on every day of a short window, 0 where nothing stands; no other day is made.
+
+    Rows outside the window only tell that their series exists: they are dropped map-side, so
+    a row per series with its few window values is what is shuffled.
+    """
+    inside = F.col(day).between(F.lit(start), F.lit(end))
+    seen = F.collect_list(F.when(inside, F.struct(F.col(day), F.col(value))))
+    days = F.explode(F.sequence(F.lit(start), F.lit(end))).alias(day)
+    rows = df.groupBy(*keys).agg(F.map_from_entries(seen).alias("_seen")).select(*keys, "_seen", days)
+    return rows.withColumn(value, F.coalesce(F.try_element_at("_seen", F.col(day)), F.lit(0.0))).drop("_seen")
+
+
 def add_horizon(series: DataFrame, ids: Sequence[str], last: date, days: int, value: str = "demand") -> DataFrame:
     """Append ``days`` future rows with a null value for every series."""
     future = F.sequence(F.lit(last + timedelta(days=1)), F.lit(last + timedelta(days=days)))

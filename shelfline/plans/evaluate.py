@@ -94,7 +94,7 @@ def backtest(
     Fold i tests on ``test_periods`` periods and trains on the ``train_periods`` before them;
     the last fold ends at ``last``. The facts are staged once and shared by all runs; the jobs
     of the folds are submitted side by side. Sparse forecasts and truths are compared, so the
-    mean runs over all series of the fold.
+    mean runs over all series that the data hold up to the end of the fold.
     """
     sold = stage(sold, "backtest-sold")
     prices = stage(prices, "backtest-prices")
@@ -102,7 +102,8 @@ def backtest(
     def one_fold(fold: int) -> list[DataFrame]:
         split = last - timedelta(days=(n_folds - fold) * test_periods * step_days)
         job = HierarchyScore(sold, prices, split, test_periods, step_days, train_periods * step_days)
-        series = job.train.select("id").unionByName(job.truth.select("id")).agg(F.countDistinct("id")).scalar()
+        end = split + timedelta(days=test_periods * step_days)
+        series = sold.filter(F.col("date") <= F.lit(end)).agg(F.countDistinct("id")).scalar()
         known = cut(metrics.contributors_base(job.scale(), job.weights()))
         found = []
         for name, process in processes:

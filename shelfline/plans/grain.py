@@ -24,7 +24,7 @@ def base_grain(spark: SparkSession, sf_dir: str, shift: int | None = None, horiz
         sales = add_horizon(sales, retail.IDS, retail.SPAN_END, horizon)
     prices = retail.prices_of(sold)
     # The calendar has one row per day: small by construction.
-    df = sales.join(F.broadcast(retail.calendar(spark)), "date", "left")
+    df = sales.join(F.broadcast(retail.calendar(spark, sold=sold)), "date", "left")
     df = df.join(prices, ["store_id", "item_id", "wm_yr_wk"], "left")
     df = trim_before_release(df, prices)
     if shift is None:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -30,26 +30,28 @@ def boosted_trees(
     label: str,
     weight: str | None = None,
     validation: str | None = None,
-    max_categories: int = 32,
+    categories: Sequence[str] = (),
+    levels: int = 256,
     **params,
 ) -> Pipeline:
-    """Boosted regression trees; columns with few distinct values are treated as categories.
+    """Boosted regression trees; the declared ``categories`` are split by their levels, all other columns by order.
 
-    With ``validation`` (a boolean column) boosting stops when the error on those rows stops
+    Levels are numbered by frequency, unseen ones share a number of their own; a category has
+    at most ``levels`` of them. With ``validation`` (a boolean column) boosting stops when the error on those rows stops
     improving.
     """
-    tree = GBTRegressor(featuresCol="features", labelCol=label, seed=7, maxBins=max(64, max_categories), **params)
+    tree = GBTRegressor(featuresCol="features", labelCol=label, seed=7, maxBins=max(64, levels if categories else 0), **params)
     if weight:
         tree = tree.setWeightCol(weight)
     if validation:
         tree = tree.setValidationIndicatorCol(validation)
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(columns), outputCol="_raw"),
-            VectorIndexer(inputCol="_raw", outputCol="features", maxCategories=max_categories, handleInvalid="keep"),
-            tree,
-        ]
-    )
+    stages = []
+    if categories:
+        # The indexer writes the level's number and its kind into the column's metadata, which the trees read.
+        numbers = [f"_{c}" for c in categories]
+        stages.append(StringIndexer(inputCols=list(categories), outputCols=numbers, handleInvalid="keep"))
+    inputs = [f"_{c}" if c in categories else c for c in columns]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), tree])
 
 
 def count_regression(
@@ -57,7 +59,7 @@ def count_regression(
 ) -> Pipeline:
     """Generalised linear model for counts with a log link: ``tweedie`` or ``poisson``."""
     options = {"variancePower": power, "linkPower": 0.0} if family == "tweedie" else {"link": "log"}
-    glm = GeneralizedLinearRegression(family=family, labelCol=label, featuresCol="features", maxIter=15, regParam=reg, **options)
+    glm = GeneralizedLinearRegression(family=family, labelCol=label, featuresCol="features", maxIter=25, regParam=reg, **options)
     if weight:
         glm = glm.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), glm])
@@ -113,7 +115,7 @@ def per_segment(
 
     def one(key: str) -> DataFrame:
         model = make().fit(train.filter(F.col(segment) == key))
-        return model.transform(score.filter(F.col(segment) == key)).drop("features", "_raw")
+        return model.transform(score.filter(F.col(segment) == key)).drop("features")
 
     with ThreadPoolExecutor(threads) as pool:
         return reduce(DataFrame.unionByName, pool.map(one, keys))

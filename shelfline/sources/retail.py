@@ -15,7 +15,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfline.lineage import stage
-from shelfline.operators.reshape import fill_gaps
+from shelfline.operators.reshape import fill_gaps, fill_window
 from shelfline.sources.files import table
 
 # The calendar table covers these whole weeks, and HORIZON days after them.
@@ -122,6 +122,11 @@ def daily_series(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None
     return fill_gaps(sold, ["id"], "date", "demand", SPAN_START, SPAN_END, carry=IDS[1:])
 
 
+def daily_window(spark: SparkSession, sf_dir: str, first: date, last: date) -> DataFrame:
+    """Every series on the days first..last only; a series without a sale there is 0 throughout."""
+    return fill_window(daily_sold(spark, sf_dir), IDS, "date", "demand", first, last)
+
+
 def weekly_series(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     sold = (weekly_sold(spark, sf_dir) if sold is None else sold).drop("cents")
     return fill_gaps(
@@ -168,16 +173,19 @@ def _named_day(events: list[tuple], part: int) -> Column:
     return out
 
 
-def calendar(spark: SparkSession, extra_days: int = HORIZON) -> DataFrame:
-    """One row per day of the span plus the horizon; a few thousand rows by construction."""
-    n = days_in_span() + extra_days
+def calendar(spark: SparkSession, extra_days: int = HORIZON, sold: DataFrame | None = None) -> DataFrame:
+    """One row per day of the span plus the horizon; a few thousand rows by construction.
+
+    With ``sold`` the span is widened to the days on which something sold, so that no fact is
+    without its calendar day. The bounds are aggregates of that table, not constants.
+    """
     day = F.dayofmonth("date")
+    bounds = spark.range(1) if sold is None else sold.agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    first = F.lit(SPAN_START) if sold is None else F.least(F.lit(SPAN_START), F.col("_from"))
+    last = F.lit(SPAN_END) if sold is None else F.greatest(F.lit(SPAN_END), F.col("_to"))
     return (
-        spark.range(1, n + 1, numPartitions=1)
-        .select(
-            F.concat(F.lit("d_"), F.col("id").cast("string")).alias("d"),
-            F.date_add(F.lit(SPAN_START), (F.col("id") - 1).cast("int")).alias("date"),
-        )
+        bounds.select(F.explode(F.sequence(first, F.date_add(last, extra_days))).alias("date"))
+        .select("date", F.concat(F.lit("d_"), day_number("date").cast("string")).alias("d"))
         .select(
             "date",
             week_code("date").alias("wm_yr_wk"),
@@ -207,8 +215,7 @@ def wide_sales(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataF
     low = SPAN_START + timedelta(days=first - 1)
     high = SPAN_START + timedelta(days=last - 1)
     return (
-        daily_series(spark, sf_dir)
-        .filter(F.col("date").between(F.lit(low), F.lit(high)))
+        daily_window(spark, sf_dir, low, high)
         .withColumn("d", F.concat(F.lit("d_"), day_number("date").cast("string")))
         .groupBy(*IDS)
         .pivot("d", names)

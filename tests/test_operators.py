@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from shelfline.functions.rolling import along, rolling, with_count_rolling, with_rolling_max
 from shelfline.operators import clean, diagnostics, encode, folds, metrics, text
 from shelfline.operators.hierarchy import LEVELS, roll_up
-from shelfline.operators.reshape import fill_gaps
+from shelfline.operators.quantiles import group_quantiles
+from shelfline.operators.reshape import fill_gaps, fill_window
 from shelfline.operators.running import positions, running_total_by
 from shelfline.operators.runs import zero_runs
 from shelfline.plans.steps import Step, StepPipeline
+from shelfline.sources import retail
 
 START = date(2020, 1, 1)
 
@@ -120,17 +122,56 @@ def test_roll_up_levels(spark):
     assert out[(out.level == "state_id;cat_id") & (out.node == "S1--c1")].v.tolist() == [5.0]
 
 
-def test_strong_pairs_over_many_blocks(spark):
+def test_partners_of_a_group(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal(60)
-    data = {f"s{i:02d}": base * (i % 3) + rng.standard_normal(60) for i in range(20)}
+    data = {f"s{i:02d}": base * (i % 3) + rng.standard_normal(60) for i in range(12)} | {"s99": np.ones(60)}
     rows = [r for k, v in data.items() for r in series(v, k)]
-    found = diagnostics.strong_pairs(frame(spark, rows), "id", "date", "x", 0.3, block=4).toPandas()
+    df = frame(spark, rows).withColumn("item", F.when(F.col("id") < "s06", "a").otherwise("b"))
+    found = {r.id: r for r in diagnostics.partners(df, "item", "id", "date", "x", 0.3).collect()}
     r = pd.DataFrame(data).corr()
-    expected = {(a, b) for a in data for b in data if a < b and abs(r.loc[a, b]) > 0.3}
-    assert set(zip(found.id_a, found.id_b)) == expected and len(found) == len(expected)
-    for row in found.itertuples():
-        assert row.r == pytest.approx(r.loc[row.id_a, row.id_b])
+    assert found["s99"].partner is None and found["s99"].n_partners == 0
+    for k in data:
+        others = [o for o in data if (o < "s06") == (k < "s06") and o != k and "s99" not in (o, k)]
+        if others:
+            best = max(others, key=lambda o: abs(r.loc[k, o]))
+            assert found[k].partner == best and found[k].r == pytest.approx(r.loc[k, best])
+            assert (found[k].n_strong, found[k].n_partners) == (sum(abs(r.loc[k, o]) > 0.3 for o in others), len(others))
+
+
+def test_rolling_std_of_large_totals(spark):
+    rng = np.random.default_rng(8)
+    x = 4.8e8 + np.round(rng.normal(0, 1000, 400))
+    w = along("id", "date")
+    specs = [("s", 0, 7, "std"), ("m", 28, 60, "mean"), ("t", 0, 7, "sum")]
+    out = with_count_rolling(frame(spark, series(x)), w, "x", specs).toPandas().sort_values("date")
+    p = pd.Series(x)
+    exact = [np.std(x[i - 6 : i + 1].astype(np.longdouble), ddof=1) if i >= 6 else np.nan for i in range(400)]
+    assert np.allclose(out.s, np.array(exact, float), rtol=1e-9, equal_nan=True)
+    assert np.allclose(out.m, p.rolling(60).mean().shift(28), rtol=1e-12, equal_nan=True)
+    assert np.array_equal(out.t.to_numpy(), p.rolling(7).sum().to_numpy(), equal_nan=True)
+
+
+def test_group_quantiles(spark):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({"k": ["a"] * 500 + ["b"] * 3 + ["c"], "v": np.append(np.round(rng.normal(0, 5, 503)), 2.0)})
+    found = group_quantiles(spark.createDataFrame(data).repartition(5), "k", "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}).toPandas().set_index("k")
+    for name, q in (("lo", 0.01), ("mid", 0.5), ("hi", 0.99)):
+        assert np.allclose(found[name], data.groupby("k").v.quantile(q).loc[found.index])
+
+
+def test_calendar_covers_every_sale(spark):
+    sold = spark.createDataFrame([("1994-12-30",), ("2003-01-01",)], "date string").select(F.to_date("date").alias("date"))
+    days = retail.calendar(spark, 28, sold)
+    assert days.count() == days.select("date").distinct().count() == 2925 + 28
+    assert days.filter("wm_yr_wk IS NULL").isEmpty() and days.filter("date = '2003-01-01'").count() == 1
+
+
+def test_window_of_days(spark):
+    rows = [("a", "2001-01-01", 3.0), ("a", "2001-01-04", 5.0), ("b", "2000-01-01", 7.0)]
+    df = spark.createDataFrame(rows, "id string, date string, x double").withColumn("date", F.to_date("date"))
+    out = fill_window(df, ["id"], "date", "x", date(2001, 1, 3), date(2001, 1, 5)).orderBy("id", "date").collect()
+    assert [(r.id, r.date.day, r.x) for r in out] == [("a", 3, 0.0), ("a", 4, 5.0), ("a", 5, 0.0), ("b", 3, 0.0), ("b", 4, 0.0), ("b", 5, 0.0)]
 
 
 def test_partial_autocorrelation_equals_regression(spark):
