@@ -34,7 +34,7 @@ from shelfline.llm.common import gathered, mix, powers, ranges, ship, slices, te
 #: Bytes of a repeated string, and of the pieces whose least hash names a window.
 LENGTH, PIECE = 50, 16
 #: Bytes of text per part, and the most parts.
-PART_BYTES, MOST_PARTS = 12 << 20, 1 << 15
+PART_BYTES, MOST_PARTS = 4 << 20, 1 << 15
 _NO_KEY = (1 << 63) - 1
 
 _COLUMNS = (("a", "<u4"), ("b", "<u2"), ("c", "<u4"), ("d", "<u2"), ("e", "<u4"), ("f", "<i4"), ("g", "<u4"), ("h", "<u1"))
@@ -238,9 +238,8 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, smaller: np.ndarray, d
     padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
     direct = np.flatnonzero(wanted & smaller)
     keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
-    # Bytes are raised by one in sixteen bits, as strings would drop zeros at their end.
-    wide = (keys.astype(">u2") + 1).astype(">u2")
-    direct = direct[np.argsort(np.ascontiguousarray(wide).view(f"S{2 * depth}").ravel(), kind="stable")] if len(direct) else direct
+    # Strings of equal length: a zero byte is a byte like others.
+    direct = direct[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")] if len(direct) else direct
     first = np.searchsorted(data[direct], np.arange(257))
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     out: list[np.ndarray] = []
