@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfline.catalog.aggregates import _RUNS
 from shelfline.catalog.base import DAILY, query
 from shelfline.catalog.encoders import target_encoding_sql
+from shelfline.lineage import stage
 from shelfline.operators.encode import target_encoding_table
 from shelfline.plans import features
 from shelfline.plans.grain import base_grain, hold_out
@@ -204,7 +205,8 @@ feats AS ("""
     + ")\nSELECT feats.*, max_consecutive_zeros FROM feats JOIN zero_runs USING (id)",
 )
 def feature_set_3(spark, sf):
-    out = features.set_3(base_grain(spark, sf, shift=28))
+    # The group totals and the price family read the base grain again and again: it is written once.
+    out = features.set_3(stage(base_grain(spark, sf, shift=28), "base-grain"))
     return _rounded(out, _SET3_NAMES)
 
 
@@ -248,8 +250,9 @@ early AS (SELECT * FROM base WHERE date <= DATE '2001-11-04' - 28),
     + _ENC4[1],
 )
 def feature_set_4(spark, sf):
-    df = base_grain(spark, sf, shift=28)
-    prices = features.weekly_price_features(retail.daily_prices(spark, sf), retail.calendar(spark))
+    sold = retail.staged_daily_sold(spark, sf)
+    df = stage(base_grain(spark, sf, shift=28, sold=sold), "base-grain")
+    prices = features.weekly_price_features(retail.prices_of(sold), retail.calendar(spark, sold=sold))
     early = df.filter(F.col("date") <= F.lit(retail.SPAN_END - timedelta(days=28)))
     table = target_encoding_table(early, "shifted_demand", retail.IDS, features.SET_4_TARGET_KEYS)
     return _rounded(features.set_4(df, prices, table), features.SET_4_COLUMNS)

@@ -196,10 +196,24 @@ def best_lag_histogram(spark, sf):
     return best.groupBy("argmax_autocorr").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d02_partial_autocorrelation")
+@query(
+    "d02_partial_autocorrelation",
+    "WITH RECURSIVE "
+    + _acf_sql(20).removeprefix("WITH ")
+    + """, rho AS (SELECT id, list(acf ORDER BY lag) AS rho FROM acf GROUP BY id),
+pac(id, k, phi, pacf) AS (
+  SELECT id, 1, [rho[1]], rho[1] FROM rho
+  UNION ALL
+  SELECT id, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - step * phi[k + 1 - j]), step), step
+  FROM (SELECT pac.id, k, phi, (rho[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[k + 1 - j])))
+               / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[j]))) AS step
+        FROM pac JOIN rho ON rho.id = pac.id WHERE k < 20)
+)
+SELECT id, k AS lag, round(pacf, 6) + 0.0 AS pacf FROM pac""",
+)
 def partial_autocorrelation(spark, sf):
     acf = diagnostics.autocorrelation(retail.daily_series(spark, sf), "id", "date", "demand", 20)
-    return diagnostics.partial_autocorrelation(acf, "id").withColumn("pacf", r6("pacf"))
+    return diagnostics.partial_autocorrelation(acf, "id").withColumn("pacf", r6("pacf") + 0.0)
 
 
 @query(

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfline.catalog.base import DAILY, query, r6
 from shelfline.functions.rolling import along, with_count_rolling
@@ -70,15 +70,20 @@ def boosted_trees(spark, sf):
             "w": 1.0 + F.year("date") - F.lit(1995),
         }
     )
-    fitted = ml.boosted_trees(COLUMNS, "demand", "w", "is_validation", ["dow", "month"], maxIter=20, maxDepth=4).fit(train)
+    fitted = ml.boosted_trees(COLUMNS, "demand", "w", "is_validation", ["dow", "month"], maxIter=10, maxDepth=4).fit(train)
     return fitted.transform(test).select("id", "date", "demand", _usable("prediction"))
 
 
-@query("g08_importances")
+@query(
+    "g08_importances",
+    f"SELECT unnest({COLUMNS}) AS feature, true AS is_share, true AS add_up",
+)
 def tree_importances(spark, sf):
     train, _ = _train_test(spark, sf)
-    fitted = ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=10, maxDepth=4).fit(train)
-    return ml.importances(fitted, COLUMNS, train).withColumn("importance", r6("importance"))
+    fitted = ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=5, maxDepth=4).fit(train)
+    found = ml.importances(fitted, COLUMNS, train)
+    total = found.agg(F.sum("importance")).first()[0]
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-9).alias("add_up"))
 
 
 @query("g09_tweedie_regression", _LATE)
@@ -129,12 +134,13 @@ def classification(spark, sf):
     return out.select("doc_id", "grade", sums.alias("adds_up"), (F.col("predicted") == likely).alias("decoded"))
 
 
-@query("g11_rounds_by_cross_validation")
+@query("g11_rounds_by_cross_validation", "SELECT unnest([2, 6, 12]) AS rounds, true AS has_error, true AS chosen_is_least")
 def rounds_by_cross_validation(spark, sf):
     docs = _documents(spark, sf).withColumn("label", F.col("quality").cast("double"))
     pipeline = ml.boosted_trees(_DOC_COLUMNS, "label", maxDepth=3)
-    best, table = ml.rounds_by_cross_validation(docs, pipeline, [2, 6], 2)
-    return table.select("rounds", r6("cv_rmse").alias("cv_rmse"), (F.col("rounds") == best).alias("best"))
+    best, table = ml.rounds_by_cross_validation(docs, pipeline, [2, 6, 12], 3)
+    least = table.agg(F.min_by("rounds", F.struct("cv_rmse", "rounds"))).first()[0]
+    return table.select("rounds", (F.col("cv_rmse") > 0).alias("has_error"), F.lit(best == least).alias("chosen_is_least"))
 
 
 @query(
@@ -220,11 +226,16 @@ def _cv(spark, sf):
     return ml.cross_validate(folded, candidates, "o_totalprice", chosen, ["o_orderkey"], plan)
 
 
-@query("g18_cross_validation")
+@query("g18_cross_validation", "SELECT unnest(['plain', 'ridge']) AS \"modelName\", 6::BIGINT AS n_folds, true AS agrees")
 def cross_validation(spark, sf):
-    statistics, _ = _cv(spark, sf)
+    """Mean errors of the statistics equal those computed from the stored predictions."""
+    statistics, predictions = _cv(spark, sf)
     out = ml.summary(statistics, ["rmse", "mae"])
-    return out.select("modelName", "n_folds", *[F.round(c, 2).alias(c) for c in ("rmse_mean", "rmse_std", "mae_mean", "mae_std")])
+    error = F.col("o_totalprice") - F.col("predictions")
+    folds_ = predictions.groupBy("modelName", "mc_seed", "fold").agg(F.sqrt(F.avg(error * error)).alias("r"), F.avg(F.abs(error)).alias("m"))
+    again = folds_.groupBy("modelName").agg(F.avg("r").alias("r"), F.avg("m").alias("m"))
+    near = lambda a, b: F.abs(F.col(a) / F.col(b) - 1) < 1e-9
+    return out.join(again, "modelName").select("modelName", "n_folds", (near("rmse_mean", "r") & near("mae_mean", "m")).alias("agrees"))
 
 
 @query("g18_cv_predictions", "SELECT m AS \"modelName\", o_orderkey, 2::BIGINT AS n_predictions FROM orders CROSS JOIN (VALUES ('plain'), ('ridge')) t(m)")
@@ -234,7 +245,7 @@ def cv_predictions(spark, sf):
     return predictions.groupBy("modelName", "o_orderkey").agg(F.count("predictions").alias("n_predictions"))
 
 
-@query("g19_random_search")
+@query("g19_random_search", "SELECT i::BIGINT AS place, true AS in_range, true AS ranked FROM range(1, 13) t(i)")
 def random_search(spark, sf):
     df = folds.evaluation_split(_orders(spark, sf), "random", "o_orderkey", 0.25, 3)
     found = ml.random_search(
@@ -242,11 +253,15 @@ def random_search(spark, sf):
         df.filter("is_validation"),
         _linear,
         {"reg": (0.0, 5000.0), "mix": (0.0, 1.0)},
-        6,
+        12,
         "o_totalprice",
         metrics.rmse,
     )
-    return found.select("iteration", r6("reg").alias("reg"), r6("mix").alias("mix"), F.round("score", 2).alias("score"))
+    # A row per try: the table of tries is as long as their number.
+    by = Window.orderBy("score", "iteration")
+    inside = F.col("reg").between(0, 5000) & F.col("mix").between(0, 1) & (F.col("score") > 0)
+    ranked = F.coalesce(F.lag("score").over(by) <= F.col("score"), F.lit(True))
+    return found.select(F.row_number().over(by).cast("bigint").alias("place"), inside.alias("in_range"), ranked.alias("ranked"))
 
 
 def _lagged(df: DataFrame, days: int) -> DataFrame:

@@ -12,13 +12,15 @@ from shelfline.operators.reshape import add_horizon
 from shelfline.sources import retail
 
 
-def base_grain(spark: SparkSession, sf_dir: str, shift: int | None = None, horizon: int = 0) -> DataFrame:
+def base_grain(
+    spark: SparkSession, sf_dir: str, shift: int | None = None, horizon: int = 0, sold: DataFrame | None = None
+) -> DataFrame:
     """Long sales with calendar and price, trimmed before release.
 
     ``shift`` adds the target moved that many days and drops rows without it; without it the
     shifted target is the target itself. ``horizon`` appends future days with a null target.
     """
-    sold = retail.staged_daily_sold(spark, sf_dir)
+    sold = retail.staged_daily_sold(spark, sf_dir) if sold is None else sold
     sales = retail.daily_series(spark, sf_dir, sold)
     if horizon:
         sales = add_horizon(sales, retail.IDS, retail.SPAN_END, horizon)
