@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.lineage import stage
-from shelfline.llm.common import gathered, mix, powers, ranges, ship, slices, text_view
+from shelfline.llm.common import SLICE_BYTES, gathered, mix, powers, ranges, release, ship, slices, text_view
 
 #: Bytes of a repeated string, and of the pieces whose least hash names a window.
 LENGTH, PIECE = 50, 16
@@ -78,7 +78,8 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tup
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
             code = mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            parts.append((names[new], code, start + low, length, text[new]))
+            # The least of many hashes is a small number: mixed once more, names spread evenly over the parts.
+            parts.append((mix(names[new]), code, start + low, length, text[new]))
         at = last
     if not parts:
         empty = np.zeros(0, np.int64)
@@ -141,6 +142,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """One part: to each piece, which fragments are repeats as a whole, and which are called up for sorting."""
     if table["part"][0].as_py() < 0:
         return pa.Table.from_arrays([table["batch"], pa.array([True]), pa.array([b""], pa.binary()), *(table[x] for x in ("g", "h", "key", "mark", "size"))], schema=_ANSWER)
+    release()
     batches = table["batch"].to_numpy()
     rows = {x: table[x].to_pylist() for x, _ in _COLUMNS}
     sizes = np.array([len(x) for x in rows["h"]])
@@ -342,6 +344,7 @@ def _cut_out(shards: int):
 
 
 def _sort_shard(table: pa.Table) -> pa.Table:
+    release()
     data, size, start, key, mark = (
         np.frombuffer(b"".join(table[x].to_pylist()), kind) for x, kind in (("data", "u1"), ("size", "u1"), ("start", "<i4"), ("key", "<i8"), ("mark", "<i8"))
     )
@@ -393,7 +396,7 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     parts = min(max(8, -(-size // PART_BYTES)), MOST_PARTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for count, batch in enumerate(gathered(batches, "text")):
+        for count, batch in enumerate(gathered(batches, "text", SLICE_BYTES)):
             raw, offsets = text_view(batch.column("text"))
             number = (TaskContext.get().partitionId() << 24) + count
             yield from _send(number, raw, offsets, batch.column("key").to_numpy(), batch.column("mark").to_numpy(), parts)
