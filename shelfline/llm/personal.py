@@ -102,7 +102,7 @@ def features(text: str, span: Span) -> list[float]:
     out = [
         float(kind), len(s), len(digits), sum(c.isalpha() for c in s), sum(not c.isalnum() for c in s), len(runs), max(runs, default=0),
         min(runs, default=0), s.count("."), s.count("@"), s.count(" "), s.count("-"), s.startswith("+"), "(" in s, luhn(digits) if digits else False,
-        len(set(digits)), s.isascii(), int(runs and max(map(int, re.findall("[0-9]{1,4}", s))) <= 255),
+        len(set(digits)), s.isascii(), bool(runs) and max(map(int, re.findall("[0-9]{1,4}", s))) <= 255,
         before.isalnum(), before.isspace(), before in "\"'([{<", before in ".,;:", after.isalnum(), after.isspace(), after in "\"')]}>", after in ".,;:",
         sum(c.isdigit() for c in left), sum(c.isdigit() for c in right), sum(not c.isalnum() and not c.isspace() for c in left),
     ]
