@@ -5,13 +5,13 @@ propose overlapping candidates of the same kinds: addresses with odd letters or
 at sign, numbers in groups, calls without a plus, four number parts with blanks or too large.
 Gradient-boosted trees judge a candidate by its format and its surroundings. They learn from a
 bounded sample of the corpus itself: base spans, also disguised the way the generators allow
-(positives), against candidates that no base span overlaps and random numbers put in the place
-of base spans (negatives). On the part of the sample that was not fitted, each kind gets the
+(positives), against candidates that no base span overlaps and spoiled numbers in the place of
+base spans (negatives). On the part of the sample that was not fitted, each kind gets the
 least threshold at which ``PRECISION`` of what passes is positive. Chosen candidates that
 overlap neither a base span nor a more probable choice are added.
 
-Only texts with a digit or an at sign can hold a span, and only those are decoded. Everything
-but the training sample stays in its partition.
+Only texts with a digit, an at sign or one that is spelled out can hold a span, and only those
+are decoded. Everything but the training sample stays in its partition.
 """
 
 from __future__ import annotations
@@ -124,13 +124,20 @@ def _disguised(text: str, span: Span, rng: random.Random) -> tuple[str, Span] |
     return text[:start] + changed + text[end:], (kind, start, start + len(changed))
 
 
-def _random_number(text: str, span: Span, rng: random.Random) -> tuple[str, Span] | None:
-    """The text with the digits of a card replaced so that the check digit fails, or by a long plain number."""
+def _spoiled(text: str, span: Span, rng: random.Random) -> tuple[str, Span] | None:
+    """The text with a base span that only looks like one: a card whose check digit fails, an address with a part too large."""
     kind, start, end = span
-    if kind != 2:
+    if kind == 1:
+        parts = text[start:end].split(".")
+        parts[rng.randrange(4)] = str(rng.randrange(256, 1000))
+        made = ".".join(parts)
+    elif kind == 2:
+        made = "".join(rng.choice("0123456789") for _ in range(end - start))
+        if luhn(made):
+            return None
+    else:
         return None
-    digits = "".join(rng.choice("0123456789") for _ in range(end - start))
-    return (text[:start] + digits + text[end:], (2, start, end)) if not luhn(digits) else None
+    return text[:start] + made + text[end:], (kind, start, start + len(made))
 
 
 def examples(text: str, seed: int) -> list[tuple[float, list[float]]]:
@@ -138,7 +145,7 @@ def examples(text: str, seed: int) -> list[tuple[float, list[float]]]:
     rng, base, out = random.Random(seed), base_spans(text), []
     for span in base:
         out.append((1.0, features(text, span)))
-        for label, made in ((1.0, _disguised(text, span, rng)), (0.0, _random_number(text, span, rng))):
+        for label, made in ((1.0, _disguised(text, span, rng)), (0.0, _spoiled(text, span, rng))):
             if made:
                 out.append((label, features(*made)))
     for kind, start, end in candidates(text):
@@ -210,7 +217,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     """The judge, from about ``sample`` texts with a digit or an at sign, chosen by a hash; None without both classes."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.xxhash64(F.col(key), F.lit("personal")).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.xxhash64(F.col(key), F.lit("personal")).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(r"[0-9@]|[(\[] ?at ?[)\]]"))
     n = rows.count()
     share = min(1 << 20, -(-(sample << 20) // max(n, 1)))
     rows = rows.where(F.pmod("h", F.lit(1 << 20)) < share)
@@ -288,6 +295,15 @@ def _fitting(taken: list[tuple[int, int]], ranked: list[tuple[float, int, int, i
 
 _MAY = np.zeros(256, bool)
 _MAY[[*range(48, 58), 64]] = True
+_SPELLED = re.compile(rb"[(\[] ?at ?[)\]]")
+
+
+def _worth(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Texts that may hold a span: those with a digit, an at sign or a spelled-out one in brackets."""
+    places = np.flatnonzero(_MAY[raw])
+    if ((raw == 40) | (raw == 91)).any():
+        places = np.append(places, [m.start() for m in _SPELLED.finditer(raw.tobytes())]).astype(np.int64)
+    return np.unique(np.searchsorted(offsets, places, side="right") - 1).tolist()
 
 
 def find_personal(docs: DataFrame, judge: Judge | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,10 +323,8 @@ def find_personal(docs: DataFrame, judge: Judge | None, key: str = "doc_id", tex
         judge = shared.value
         for batch in slices(batches, "text"):
             raw, offsets = text_view(batch.column("text"))
-            places = np.flatnonzero(_MAY[raw])
-            docs_with = np.unique(np.searchsorted(offsets, places, side="right") - 1)
             found: list[list[list[dict]]] = [[[] for _ in range(batch.num_rows)] for _ in range(2)]
-            for i in docs_with.tolist():
+            for i in _worth(raw, offsets):
                 base, every = all_spans(raw[offsets[i] : offsets[i + 1]].tobytes().decode(), judge)
                 for out, own in zip(found, (base, every)):
                     out[i] = [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in own]
@@ -342,10 +356,10 @@ def redact(docs: DataFrame, judge: Judge | None, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             raw, offsets = text_view(batch.column(text))
-            hit = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY[raw]), side="right") - 1)
-            if len(hit):
+            hit = _worth(raw, offsets)
+            if hit:
                 texts = batch.column(text).to_pylist()
-                for i in hit.tolist():
+                for i in hit:
                     texts[i] = clean(texts[i])
                 batch = batch.set_column(names.index(text), text, pa.array(texts, batch.schema.field(text).type))
             yield batch

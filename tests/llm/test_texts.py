@@ -178,7 +178,7 @@ def test_base_spans():
 
 def test_personal_table(spark, docs, odd_rows, sf_dir):
     judge = personal.fit(spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/documents.parquet"))
-    rows = [*odd_rows, (30, "mail bob.x@host.example.com or bob (at) host.example.com", "en", "a"), (31, "call +1 (974) 555-3436, ip 10.0.0.300 and 10.0.0.3", "en", "a")]
+    rows = [*odd_rows, (30, "mail bob.x@host.example.com or bob (at) host.example.com", "en", "a"), (32, "write to bob (at) host.example.com", "en", "a"), (31, "call +1 (974) 555-3436, ip 10.0.0.300 and 10.0.0.3", "en", "a")]
     out = {(r.doc_id, i): r for i, r in enumerate(personal.find_personal(docs(rows), judge).collect())}
     assert len(out) == len(rows)
     texts = {i: t or "" for i, t, *_ in rows}
@@ -190,6 +190,7 @@ def test_personal_table(spark, docs, odd_rows, sf_dir):
     assert clean[1] is None and "bob.x@" not in clean[30] and "[email]" in clean[30]
     assert clean[31].startswith("call [phone], ip 10.0.0.300 and [ip]")
     assert clean[5] == texts[5]
+    assert personal.candidates(texts[32]) and personal._worth(np.frombuffer(texts[32].encode(), np.uint8), np.array([0, len(texts[32])])) == [0]
 
 
 def test_trees_from_print():
