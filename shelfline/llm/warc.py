@@ -166,8 +166,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     spark = pages.sparkSession
     ship(spark)
     folder = folder or fresh_path(spark, "warc")
-    some = pages.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).where("html IS NOT NULL")
-    some = some.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS).collect()
+    # A share of the rows chosen by a hash, about SAMPLE_RECORDS of them whatever the number of rows.
+    share = min(1 << 30, -(-(SAMPLE_RECORDS << 30) // max(1, pages.count())))
+    some = pages.where(F.pmod(F.xxhash64("page_id", F.lit("dictionary")), F.lit(1 << 30)) < share).where("html IS NOT NULL")
+    some = some.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
     samples = [record_bytes(r.page_id, None, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in some]
     dictionary = train_dictionary(samples)
 
