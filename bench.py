@@ -58,7 +58,11 @@ HEADLINE = [
     "d04_decomposition",
     "t01_bag_of_words",
     "t02_tf_idf",
+    "t06_latent_components",
+    "g08_boosted_trees",
     "g09_poisson_regression",
+    "g10_classification",
+    "g12_model_per_segment",
 ]
 
 

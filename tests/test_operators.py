@@ -122,6 +122,11 @@ def test_roll_up_levels(spark):
     assert out[(out.level == "state_id;cat_id") & (out.node == "S1--c1")].v.tolist() == [5.0]
 
 
+def test_one_hot_long(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, c string")
+    assert sorted(tuple(r) for r in encode.one_hot_long(df, "k", "c").collect()) == [(1, "c_a", 1.0), (3, "c_b", 1.0)]
+
+
 def test_partners_of_a_group(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal(60)
