@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at once; a single longer text is taken alone.
 SLICE_BYTES = 4 << 20
+#: Rows of one piece, and of a joined piece: fewer than sixteen bits can number.
+SLICE_ROWS, JOINED_ROWS = 10_000, 50_000
 
 
 _shipped: set[str] = set()
@@ -32,6 +35,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: it gives memory back by its own rules
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the machine: workers live on between tasks, and executors are small."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and len + 1 offsets; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -48,7 +64,7 @@ def text_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each piece hold about ``limit`` bytes at most."""
+    """The batches cut so that the texts of each piece hold about ``limit`` bytes and SLICE_ROWS rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -56,9 +72,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + SLICE_ROWS, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        if offsets[-1] > 1 << 20:
+            release()
 
 
 def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -68,9 +86,10 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int
     for piece in slices(batches, column, limit):
         held.append(piece)
         size += int(text_view(piece.column(column))[1][-1])
-        if size >= limit or sum(x.num_rows for x in held) >= 60_000:
+        if size >= limit or sum(x.num_rows for x in held) >= JOINED_ROWS:
             yield from _joined(held)
             held, size = [], 0
+            release()
     if held:
         yield from _joined(held)
 

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from shelfline.llm.common import gathered, lower_ascii, ranges, segment_hashes, ship, text_view, words_of
+from shelfline.llm.common import SLICE_BYTES, gathered, lower_ascii, ranges, segment_hashes, ship, text_view, words_of
 
 #: Words of a window; bytes of item text in one broadcast; distance of kept suffix positions.
 WINDOW, BLOCK_BYTES, KEPT = 10, 16 << 20, 4
@@ -203,20 +204,29 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     count. Rows of ``docs`` are treated one by one, whatever their keys. Empty tables give no
     rows, or no hits. Blocks of items are searched one after the other in the same tasks.
     """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = _searched(rows, "text", _blocks(benchmark, item, item_text), window, keep_text=False)
+    n_hit = F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
+    return rows.select(F.col("key").alias(key), F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+
+
+_FOUND_SQL = "_items array<string>, _words array<struct<first:bigint,last:bigint>>, _n bigint, _spans array<struct<start:bigint,end:bigint>>"
+
+
+def _searched(docs: DataFrame, text: str, blocks: Iterator[list[tuple[str, str | None]]], window: int, keep_text: bool) -> DataFrame:
+    """``docs`` with what the blocks of items find: each block is a map over the rows of the one before."""
     spark = docs.sparkSession
     ship(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    places = "array<struct<first:bigint,last:bigint>>"
-    rows = docs.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.expr("CAST(array() AS array<string>)").alias("items"),
-        F.expr(f"CAST(array() AS {places})").alias("words"), F.lit(0).cast("bigint").alias("n_words"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"),
-    )
-    schema = f"key {kind}, text string, items array<string>, words {places}, n_words bigint, spans array<struct<start:bigint,end:bigint>>"
-    for block in _blocks(benchmark, item, item_text):
+    found = StructType.fromDDL(_FOUND_SQL)
+    rows = docs.select(*docs.columns, *(F.expr("0L" if f.name == "_n" else "array()").cast(f.dataType).alias(f.name) for f in found))
+    every = list(blocks)
+    for number, block in enumerate(every):
         shared = spark.sparkContext.broadcast([(i if i is not None else "null", t) for i, t in block])
-        rows = rows.mapInArrow(_searcher(shared, window), schema)
-    n_hit = F.aggregate("words", F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
-    return rows.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "items", "spans")
+        # Behind the last block the text may be left out.
+        names = [f.name for f in docs.schema if keep_text or number + 1 < len(every) or f.name != text]
+        schema = StructType([f for f in docs.schema if f.name in names] + list(found))
+        rows = rows.mapInArrow(_searcher(shared, window, text, names), schema)
+    return rows
 
 
 def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -224,17 +234,17 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
 
 
-def _searcher(shared, window: int):
-    """Searches one block of items and adds its hits to those of the blocks before."""
+def _searcher(shared, window: int, text: str, names: list[str]):
+    """Searches one block of items and adds its hits to those of the blocks before; ``names`` are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
-        for batch in gathered(batches, "text"):
-            raw, offsets = text_view(batch.column("text"))
+        for batch in gathered(batches, text, SLICE_BYTES):
+            raw, offsets = text_view(batch.column(text))
             starts, ends, first, hit, pairs = shard_hits(phrases, raw, offsets)
-            names, before = batch.column("items").to_pylist(), batch.column("words").to_pylist()
+            items, before = batch.column("_items").to_pylist(), batch.column("_words").to_pylist()
             for doc, found in pairs.tolist():
-                names[doc].extend(phrases.names[i] for i in phrases.items[found])
+                items[doc].extend(phrases.names[i] for i in phrases.items[found])
             for doc, old in enumerate(before):
                 for x in old:
                     hit[first[doc] + x["first"] : first[doc] + x["last"]] = True
@@ -247,28 +257,25 @@ def _searcher(shared, window: int):
                     words[doc].append({"first": s, "last": e})
                     spans[doc].append({"start": int(starts[a + s] - offsets[doc]), "end": int(ends[a + e - 1] - offsets[doc])})
             pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    batch.column("text"),
-                    pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())),
-                    pa.array(words, pair("first", "last")),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(spans, pair("start", "end")),
-                ],
-                ["key", "text", "items", "words", "n_words", "spans"],
-            )
+            found_ = [
+                pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                pa.array(words, pair("first", "last")),
+                pa.array(np.diff(first), pa.int64()),
+                pa.array(spans, pair("start", "end")),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found_], [*names, "_items", "_words", "_n", "_spans"])
 
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
     """``docs`` without the spans that occur in the benchmark; a line break stands for each, other texts stay as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    hits = benchmark_hits(rows, benchmark, "row", "text", **options)
+    rows = _searched(docs, text, _blocks(benchmark, item, item_text), window, keep_text=True)
     kept = F.expr(f"""
-        aggregate(spans, struct(CAST('' AS BINARY) AS kept, 0L AS at),
-          (s, x) -> struct(concat(s.kept, substring(CAST(row.`{text}` AS BINARY), CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), CAST('\\n' AS BINARY)) AS kept, x.end AS at),
-          s -> concat(s.kept, substring(CAST(row.`{text}` AS BINARY), CAST(s.at + 1 AS INT))))""")
-    cleaned = F.when(F.col("n_hit") > 0, F.decode(kept, "utf-8")).otherwise(F.col("row")[text])
-    return hits.select(*(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+        aggregate(_spans, struct(CAST('' AS BINARY) AS kept, 0L AS at),
+          (s, x) -> struct(concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), CAST('\\n' AS BINARY)) AS kept, x.end AS at),
+          s -> concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT))))""")
+    cleaned = F.when(F.size("_spans") > 0, F.decode(kept, "utf-8")).otherwise(F.col(text))
+    return rows.select(*(cleaned.alias(c) if c == text else c for c in docs.columns))

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.lineage import cut, stage
-from shelfline.llm.common import SLICE_BYTES, gathered, lower_ascii, mix, ranges, segment_hashes, ship, text_view, words_of
+from shelfline.llm.common import gathered, lower_ascii, mix, ranges, release, segment_hashes, ship, text_view, words_of
 
 #: Words of a shingle, and the similarity of a link in percent.
 WORDS, PERCENT = 5, 80
-#: Bytes of text per fragment and the most fragments; fragments of one verification; longs of a bitmap.
-FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 6 << 20, 1 << 16, 8, 16
+#: Bytes of text per piece and per fragment, and the most fragments; fragments of one verification; longs of a bitmap.
+PIECE_BYTES, FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 2 << 20, 4 << 20, 1 << 16, 8, 16
 _MANY = 0xFFFF
 #: Stands for a null key.
 _NO_KEY = (1 << 63) - 1
@@ -126,6 +126,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """One fragment: which of its n-grams stand in two documents or more, answered to each piece that holds them."""
     if table["part"][0].as_py() < 0:
         return table.drop_columns(["part"])
+    release()
     batches = table["batch"].to_numpy()
     rows = [table[x].to_pylist() for x in ("a", "b", "c", "e")]
     sizes = np.array([len(x) // 4 for x in rows[0]])
@@ -155,6 +156,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _received(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """One piece: its header, and the shared postings (id, text, document frequency) by text and id."""
+    release()
     own = next(i for i, x in enumerate(table["key"].is_valid().to_pylist()) if x)
     header = {x: np.array(table[x][own].as_py(), np.int64) for x in ("key", "n", "s", "t") if table[x][own].is_valid}
     rest = [i for i in range(table.num_rows) if i != own]
@@ -192,7 +194,7 @@ def _first_round(docs: DataFrame, fragments: int, words: int) -> DataFrame:
     """A row per document: rid, key, n, two sums that tell its set, alive (enough is shared), and its shared n-grams once per set and piece."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for count, batch in enumerate(gathered(batches, "text", SLICE_BYTES)):
+        for count, batch in enumerate(gathered(batches, "text", PIECE_BYTES)):
             raw, offsets = text_view(batch.column("text"))
             hashes, text = shingle_sets(raw, offsets, words)
             n = np.bincount(text, minlength=batch.num_rows)

@@ -65,6 +65,17 @@ def test_jaccard(docs, odd_rows, which):
     assert got == plain_components(rows)
 
 
+def test_pieces_have_bounded_rows():
+    import pyarrow as pa
+
+    from shelfline.llm.common import gathered
+
+    batch = pa.RecordBatch.from_arrays([pa.array([""] * 230_000 + ["x" * 9_000_000, "y"])], ["text"])
+    pieces = list(gathered([batch, batch]))
+    assert sum(p.num_rows for p in pieces) == 2 * batch.num_rows
+    assert max(p.num_rows for p in pieces) < 0xFFFF
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard.jaccard_components(docs([]).limit(0)).count() == 0
 
