@@ -178,12 +178,15 @@ def short_features(df: DataFrame) -> DataFrame:
     return ml.filled(out, _SHORT)
 
 
-@query("g14_recursive_model", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
+@query(
+    "g14_recursive_model",
+    DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07' AND date <= DATE '2001-10-14'",
+)
 def recursive_model(spark, sf):
     daily = stage(retail.daily_series(spark, sf).select("id", "date", "demand"), "daily")
     train = daily.filter(F.col("date") <= F.lit(SPLIT))
     fitted = ml.count_regression(_SHORT, "demand", "poisson", reg=0.01).fit(short_features(train))
-    out = recursive_with_model(train, SPLIT, 28, 14, short_features, fitted)
+    out = recursive_with_model(train, SPLIT, 7, 14, short_features, fitted)
     return out.select("id", "date", _usable("pred"))
 
 
