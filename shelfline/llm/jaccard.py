@@ -35,7 +35,7 @@ from shelfline.llm.common import gathered, lower_ascii, mix, ranges, release, se
 #: Words of a shingle, and the similarity of a link in percent.
 WORDS, PERCENT = 5, 80
 #: Bytes of text per piece and per fragment, and the most fragments; fragments of one verification; longs of a bitmap.
-PIECE_BYTES, FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 2 << 20, 4 << 20, 1 << 16, 8, 16
+PIECE_BYTES, FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 3 << 20, 4 << 20, 1 << 16, 8, 16
 _MANY = 0xFFFF
 #: Stands for a null key.
 _NO_KEY = (1 << 63) - 1
@@ -325,9 +325,12 @@ def links(sets: DataFrame) -> DataFrame:
     groups = places.groupBy("h", "label").agg(F.count("*").alias("k"))
     mixed = groups.groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     # In an n-gram's list, all but the members of its largest component meet the whole list.
-    rows = marked.withColumn("h", F.explode("front")).drop("front").join(mixed.select("h", "main"), "h")
+    rows = marked.select("*", F.posexplode("front").alias("place", "h")).drop("front").join(mixed.select("h", "main"), "h")
+    # Behind its first common n-gram, a pair has no more in common than the shorter rest of the two sets.
+    rest = F.least(F.col("x.n") - F.col("x.u") - F.col("x.place"), F.col("y.n") - F.col("y.u") - F.col("y.place"))
+    enough = rest * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
-    met = rows.where("label <> main").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & _room())
+    met = rows.where("label <> main").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough & _room())
     pairs = met.select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y")).distinct()
     return first.unionByName(verified(pairs, sets))
 
