@@ -37,6 +37,31 @@ def test_near_duplicate_stage(spark, docs, odd_rows, where):
     assert out.columns == docs(odd_rows).columns and {1, 2, 3, 5, 9}.issubset({r.doc_id for r in out.collect()})
 
 
+def test_near_duplicates_by_row(spark, docs, where):
+    """Rows without an id, and rows that share one, go or stay by their own text."""
+    clean = [f"clean {i} " + " ".join(f"v{i}x{j}" for j in range(40)) for i in range(4)]
+    group = [f"group{g} " + " ".join(f"g{g}y{j}" for j in range(60)) for g in range(5)]
+    row = lambda key, text: (key, text, "en", "s")
+
+    def kept(given):
+        return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(given), where).collect()), key=repr)
+
+    def same(given, want):
+        assert kept([row(*x) for x in given]) == sorted(want, key=repr)
+
+    # A null id in a component that has an id; unlinked rows without an id stay.
+    same([(1, group[0]), (None, group[0] + " end"), (None, clean[0]), (None, clean[1])], [(1, group[0]), (None, clean[0]), (None, clean[1])])
+    # An unlinked text that shares its id with a linked one.
+    same([(1, group[0]), (2, group[0] + " end"), (2, clean[0])], [(1, group[0]), (2, clean[0])])
+    # Copies that all lack an id, and near copies under one id: one of each stays.
+    assert len(kept([row(None, group[1]), row(None, group[1]), row(None, group[1] + " end")])) == 1
+    assert len(kept([row(7, group[2]), row(7, group[2] + " end"), row(7, group[2] + " end two")])) == 1
+    # Whether an unrelated row repeats changes nothing; texts without words all stay.
+    bare = [(8, None), (8, None), (9, ""), (9, ""), (None, None), (None, None)]
+    same([*bare, (1, group[3])], [*bare, (1, group[3])])
+    same([*bare, (1, group[3]), (1, group[3]), (5, clean[2]), (5, clean[2])], [*bare, (1, group[3]), (5, clean[2])])
+
+
 def test_run(spark, where):
     docs = spark.read.parquet(f"{where}/documents.parquet")
     bench = spark.read.parquet(f"{where}/benchmark.parquet")
