@@ -5,10 +5,12 @@ propose overlapping candidates of the same kinds: addresses with odd letters or
 at sign, numbers in groups, calls without a plus, four number parts with blanks or too large.
 Gradient-boosted trees judge a candidate by its format and its surroundings. They learn from a
 bounded sample of the corpus itself: base spans, also disguised the way the generators allow
-(positives), against candidates that no base span overlaps and spoiled numbers in the place of
-base spans (negatives). On the part of the sample that was not fitted, each kind gets the
-least threshold at which ``PRECISION`` of what passes is positive. Chosen candidates that
-overlap neither a base span nor a more probable choice are added.
+(positives), against spoiled ones in their place and candidates that fail a hard check
+(negatives): check digit, size of a number part, count of digits, shape of a date, letters
+right beside a number, empty parts of an address. Other candidates have no label, as they may
+be personal. On the part of the sample that was not fitted, each kind gets the least threshold
+at which ``PRECISION`` of what passes is positive. Chosen candidates that fail no hard check
+and overlap neither a base span nor a more probable choice are added.
 
 Only texts with a digit, an at sign or one that is spelled out can hold a span, and only those
 are decoded. Everything but the training sample stays in its partition.
@@ -45,6 +47,10 @@ _WIDE = (
     (2, re.compile(r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![0-9])")),
     (3, re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9][ ()./0-9-]{5,20}[0-9](?![0-9])")),
 )
+_EMPTY_PART = re.compile(r"^\.|\.\.|\.(?:@| ?[(\[])|[@)\]] ?[.-]|-\.|\.-")
+_YEAR, _DAY = r"(?:19|20)[0-9]{2}", r"(?:0?[1-9]|[12][0-9]|3[01])"
+#: Dates, also with an hour behind them, and spans of years.
+_DATE = re.compile(rf"(?:{_YEAR}([./ -]){_DAY}\1{_DAY}|{_DAY}([./ -]){_DAY}\2{_YEAR})(?: [0-9]{{1,2}})?|{_YEAR} ?[-/] ?{_YEAR}")
 #: Documents of the sample, candidates taken from one of them, required precision, trees and their depth.
 SAMPLE_DOCS, PER_DOC, PRECISION, TREES, DEPTH = 3000, 40, 0.98, 12, 3
 _NEAR = ("mail", "tel", "phone", "call", "card", "visa", "ip", "host", "token", "id", "no", "=")
@@ -91,6 +97,22 @@ def candidates(text: str) -> list[Span]:
     return [(kind, m.start(), m.end()) for kind, pattern in _WIDE for m in pattern.finditer(text)]
 
 
+def impossible(text: str, span: Span) -> bool:
+    """Whether a candidate fails a hard check of its kind."""
+    kind, start, end = span
+    s = text[start:end]
+    if kind == 0:
+        return bool(_EMPTY_PART.search(s))
+    if kind == 1:
+        return any(int(p) > 255 for p in re.findall("[0-9]+", s))
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return True
+    digits = _digits(s)
+    if kind == 2:
+        return not (13 <= len(digits) <= 19 and luhn(digits))
+    return not 8 <= len(digits) <= 15 or bool(_DATE.fullmatch(s) or _WIDE[1][1].fullmatch(s))
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of a candidate and its surroundings."""
     kind, start, end = span
@@ -125,19 +147,22 @@ def _disguised(text: str, span: Span, rng: random.Random) -> tuple[str, Span] |
 
 
 def _spoiled(text: str, span: Span, rng: random.Random) -> tuple[str, Span] | None:
-    """The text with a base span that only looks like one: a card whose check digit fails, an address with a part too large."""
+    """The text with a base span that only looks like one: a hard check of its kind fails."""
     kind, start, end = span
-    if kind == 1:
-        parts = text[start:end].split(".")
+    s = text[start:end]
+    if kind == 0:
+        made = rng.choice([s.replace("@", ".@", 1), s.replace("@", "@.", 1), s.replace("@", " (at) -", 1)])
+    elif kind == 1:
+        parts = s.split(".")
         parts[rng.randrange(4)] = str(rng.randrange(256, 1000))
         made = ".".join(parts)
     elif kind == 2:
         made = "".join(rng.choice("0123456789") for _ in range(end - start))
-        if luhn(made):
-            return None
     else:
-        return None
-    return text[:start] + made + text[end:], (kind, start, start + len(made))
+        year, month, day = rng.randrange(1950, 2050), rng.randrange(1, 13), rng.randrange(1, 29)
+        made = rng.choice([f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{year}-{year + 3}", "+" + str(rng.randrange(10**5, 10**7))])
+    changed = text[:start] + made + text[end:], (kind, start, start + len(made))
+    return changed if impossible(*changed) else None
 
 
 def examples(text: str, seed: int) -> list[tuple[float, list[float]]]:
@@ -149,7 +174,7 @@ def examples(text: str, seed: int) -> list[tuple[float, list[float]]]:
             if made:
                 out.append((label, features(*made)))
     for kind, start, end in candidates(text):
-        if not any(s < end and start < e for _, s, e in base):
+        if not any(s < end and start < e for _, s, e in base) and impossible(text, (kind, start, end)):
             out.append((0.0, features(text, (kind, start, end))))
     return out if len(out) <= PER_DOC else rng.sample(out, PER_DOC)
 
@@ -253,8 +278,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
         p, y = p[by], y[by]
         precise = np.cumsum(y) / np.arange(1, len(y) + 1) >= PRECISION
         last = np.append(p[1:] != p[:-1], True) if len(p) else np.zeros(0, bool)
-        good = np.flatnonzero(precise & last)
-        if len(good) and p[good[-1]] > 0.5:
+        good = np.flatnonzero(precise & last & (p > 0.5))
+        if len(good):
             judge.thresholds[kind] = float(p[good[-1]])
     return judge
 
@@ -265,7 +290,7 @@ def all_spans(text: str, judge: Judge | None) -> tuple[list[Span], list[Span]]:
     if judge is None:
         return base, base
     taken = sorted((s, e) for _, s, e in base)
-    free = [c for c in candidates(text) if judge.thresholds[c[0]] < math.inf]
+    free = [c for c in candidates(text) if judge.thresholds[c[0]] < math.inf and not impossible(text, c)]
     chosen = list(base)
     if free:
         p = judge.probability(np.array([features(text, c) for c in free]))

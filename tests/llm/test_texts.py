@@ -193,6 +193,32 @@ def test_personal_table(spark, docs, odd_rows, sf_dir):
     assert personal.candidates(texts[32]) and personal._worth(np.frombuffer(texts[32].encode(), np.uint8), np.array([0, len(texts[32])])) == [0]
 
 
+DISGUISED = [
+    ("email", "bob.w (at) mail7.example.com"), ("email", "annaé@mail3.example.com"), ("ip", "97 . 51 . 17 . 173"),
+    ("card", "4845.1681.1440.7329"), ("phone", "1 (974) 555-3436"), ("phone", "001 (243) 555-5526"),
+]
+HARMLESS = ["2019-03-07", "07.03.2019", "1998-2004", "4845.1681.1440.7328", "97 . 51 . 17 . 300", "a..b@mail..com", "token 64b39b6405768150e041"]
+
+
+def test_disguised_spans(spark, docs, sf_dir):
+    """What the corpus holds in disguise is found and redacted, also by a judge fitted on that corpus."""
+    given = spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text")
+    prose = "they met on a rainy day, {} was all it said and nothing else"
+    planted = [(10_000_000 + i, prose.format(s)) for i, (_, s) in enumerate(DISGUISED * 40)]
+    for table in (given, given.union(spark.createDataFrame(planted, given.schema))):
+        judge = personal.fit(table)
+        rows = [(i, prose.format(s), "en", "a") for i, s in enumerate([*(s for _, s in DISGUISED), *HARMLESS])]
+        at = prose.index("{}")
+        found = {r.doc_id: [tuple(x) for x in r.spans] for r in personal.find_personal(docs(rows), judge).collect()}
+        clean = {r.doc_id: r.text for r in personal.redact(docs(rows), judge).collect()}
+        for i, (kind, s) in enumerate(DISGUISED):
+            assert found[i] == [(kind, at, at + len(s))]
+            assert clean[i] == prose.format(f"[{kind}]")
+        for i, s in enumerate(HARMLESS, len(DISGUISED)):
+            if not personal.base_spans(s):
+                assert clean[i] == prose.format(s)
+
+
 def test_trees_from_print():
     text = "Model\n  Tree 0 (weight 1.0):\n    If (feature 1 <= 0.5)\n     If (feature 0 <= 2.0)\n      Predict: 1.0\n     Else (feature 0 > 2.0)\n      Predict: 2.0\n    Else (feature 1 > 0.5)\n     Predict: -3.0\n"
     judge = personal.Judge(personal.parse_trees(text, [1.0]), [1.0], [0.5] * 4)
