@@ -14,8 +14,13 @@ windows wherever they stand, so the fragments of a name can be compared by thems
    bytes or more are occurrences of one string; all but those of the least document are repeats.
 4. The repeats of a document are joined to its text and taken out.
 
+A name with very many different fragments (a common phrase in varying surroundings) is told from a
+sample beforehand. Its fragments are sent as single windows instead, each under a name of its own
+bytes: equal windows still meet, different ones spread over the parts. A name that the sample
+misses or takes wrongly changes nothing in the result.
+
 Nothing larger than a fragment is compared, no group is gathered but the distinct fragments of
-one name, and texts are shuffled once (both joins read the same exchange).
+one name that is not hot, and texts are shuffled once (both joins read the same exchange).
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from shelfline.llm.common import SLICE_BYTES, gathered, mix, powers, ranges, rel
 LENGTH, PIECE = 50, 16
 #: Bytes of text per part, and the most parts.
 PART_BYTES, MOST_PARTS = 4 << 20, 1 << 15
+#: Distinct fragments from which a name is hot, bytes of text of the sample that tells, and its least count there.
+HOT, SAMPLE_BYTES, LEAST = 4096, 64 << 20, 8
 _NO_KEY = (1 << 63) - 1
 
 _COLUMNS = (("a", "<u4"), ("b", "<u2"), ("c", "<u4"), ("d", "<u2"), ("e", "<u4"), ("f", "<i4"), ("g", "<u4"), ("h", "<u1"))
@@ -57,8 +64,11 @@ def _window_names(raw: np.ndarray) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def fragments(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
-    """(name, hash of the bytes, start, length, text) of every fragment; texts are taken in blocks of about ``block`` bytes."""
+def fragments(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(name, hash of the bytes, start, length, text) of every fragment; texts are taken in blocks of about ``block`` bytes.
+
+    Fragments whose name is among ``hot`` (ordered) come as single windows with names of their own.
+    """
     parts: list[tuple[np.ndarray, ...]] = []
     at = 0
     while at < len(offsets) - 1:
@@ -77,9 +87,21 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tup
             up, down = powers(len(piece) + 1)
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
-            code = mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             # The least of many hashes is a small number: mixed once more, names spread evenly over the parts.
-            parts.append((mix(names[new]), code, start + low, length, text[new]))
+            names, text = mix(names[new]), text[new]
+            split = np.zeros(len(names), bool)
+            if hot is not None and len(hot):
+                split = hot[np.minimum(np.searchsorted(hot, names), len(hot) - 1)] == names
+            if split.any():
+                count = length[split] - LENGTH + 1
+                names, text = (np.concatenate([x[~split], np.repeat(x[split], count)]) for x in (names, text))
+                start = np.concatenate([start[~split], ranges(start[split], count)])
+                length = np.concatenate([length[~split], np.full(count.sum(), LENGTH)])
+            code = mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            if split.any():
+                single = np.arange(len(names)) >= (~split).sum()
+                names[single] = mix(names[single] ^ code[single])
+            parts.append((names, code, start + low, length, text))
         at = last
     if not parts:
         empty = np.zeros(0, np.int64)
@@ -108,8 +130,8 @@ def _split_long(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     )
 
 
-def _send(batch: int, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, mark: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    names, code, start, length, text = _split_long(fragments(raw, offsets))
+def _send(batch: int, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, mark: np.ndarray, parts: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    names, code, start, length, text = _split_long(fragments(raw, offsets, hot=hot))
     owner = key[text]
     order = np.lexsort((owner, code, names))
     names, code, start, length, owner = (x[order] for x in (names, code, start, length, owner))
@@ -380,6 +402,26 @@ def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def hot_names(rows: DataFrame, size: int) -> np.ndarray:
+    """Names of about ``HOT`` distinct fragments or more among (text, mark) rows of ``size`` bytes, ordered.
+
+    Told from the rows of a hash range, about ``SAMPLE_BYTES`` of text. One name of 8 bytes stands
+    for some 4,096 fragments, so the list is a small share of the input.
+    """
+    whole = 1 << 30
+    share = min(whole, -(-(SAMPLE_BYTES * whole) // max(size, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, "text", SLICE_BYTES):
+            names, code, *_ = fragments(*text_view(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(code.view(np.int64))], ["name", "code"])
+
+    chosen = rows.select("text", "mark").where(F.pmod("mark", F.lit(whole)) < share)
+    counts = chosen.mapInArrow(run, "name bigint, code bigint").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= max(LEAST, HOT * share // whole)).select("name").toArrow()["name"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) per row of ``docs``.
 
@@ -394,12 +436,13 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.withColumn("mark", F.xxhash64("text"))
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     parts = min(max(8, -(-size // PART_BYTES)), MOST_PARTS)
+    hot = spark.sparkContext.broadcast(hot_names(rows, size))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for count, batch in enumerate(gathered(batches, "text", SLICE_BYTES)):
             raw, offsets = text_view(batch.column("text"))
             number = (TaskContext.get().partitionId() << 24) + count
-            yield from _send(number, raw, offsets, batch.column("key").to_numpy(), batch.column("mark").to_numpy(), parts)
+            yield from _send(number, raw, offsets, batch.column("key").to_numpy(), batch.column("mark").to_numpy(), parts, hot.value)
 
     answered = rows.mapInArrow(send, _SENT_SQL).groupBy("part").applyInArrow(_answer, _ANSWER_SQL)
     marks = stage(answered.groupBy("batch").applyInArrow(_finish, _MARKS_SQL), "substring-marks").dropDuplicates(["key", "mark"])

@@ -110,6 +110,27 @@ def test_substrings(docs, odd_rows, which):
     assert Counter(tuple(r) for r in got) == plain_removal(rows)
 
 
+def test_substrings_of_a_hot_name(spark, docs, monkeypatch):
+    """A common line in varying surroundings: no name keeps many different fragments, and no repeat is lost."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(40, 90)))
+    line = " this line stands in a great many documents of the corpus, with others around it é "
+    texts = [noise() + (line if i % 3 else line[10:45]) + noise() for i in range(400)]
+    rows = [(i * 7 % 400, t, "en", "s") for i, t in enumerate([*texts, *texts[:20], "ab" * 300, None])]
+    monkeypatch.setattr(substrings, "HOT", 20)
+    table = docs(rows).select("text", F.xxhash64("text").alias("mark")).where("text IS NOT NULL")
+    hot = substrings.hot_names(table, sum(len(t.encode()) for _, t, *_ in rows if t))
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    most = lambda found: max(Counter(n for n, _ in set(zip(found[0].tolist(), found[1].tolist()))).values())
+    assert len(hot) and most(substrings.fragments(raw, offsets)) > 100
+    assert most(substrings.fragments(raw, offsets, hot=hot)) < 20
+    got = substrings.repeated_substrings(docs(rows)).drop("starts", "ends").collect()
+    assert Counter(tuple(r) for r in got) == plain_removal(rows)
+
+
 def test_substrings_of_nothing(docs):
     assert substrings.repeated_substrings(docs([]).limit(0)).count() == 0
 
