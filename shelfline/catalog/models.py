@@ -183,10 +183,20 @@ def short_features(df: DataFrame) -> DataFrame:
     DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07' AND date <= DATE '2001-10-14'",
 )
 def recursive_model(spark, sf):
+    return _recursion(spark, sf, 7)
+
+
+@query("g14_recursive_model_28_days", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
+def recursive_model_28_days(spark, sf):
+    """The whole horizon, day by day."""
+    return _recursion(spark, sf, 28)
+
+
+def _recursion(spark, sf, days: int) -> DataFrame:
     daily = stage(retail.daily_series(spark, sf).select("id", "date", "demand"), "daily")
     train = daily.filter(F.col("date") <= F.lit(SPLIT))
     fitted = ml.count_regression(_SHORT, "demand", "poisson", reg=0.01).fit(short_features(train))
-    out = recursive_with_model(train, SPLIT, 7, 14, short_features, fitted)
+    out = recursive_with_model(train, SPLIT, days, 14, short_features, fitted)
     return out.select("id", "date", _usable("pred"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfline.lineage import cut
+from shelfline.lineage import stage
 from shelfline.operators.reshape import horizon_label, pivot, swap_suffix
 
 # Multipliers of the blended recursive runs, each with the same weight.
@@ -62,20 +63,20 @@ def recursive_with_model(
     """Recursive forecast with a fitted model: (id, date, pred).
 
     ``features`` maps (id, date, demand) rows to feature rows; only the last ``keep`` days are
-    kept between steps, and the state is checkpointed so the plan does not grow.
+    read in a step. Each day is a written table, so no plan holds the steps before it.
     """
-    state = cut(history.filter(F.col("date") > F.lit(last - timedelta(days=keep))).select("id", "date", "demand"))
-    done = None
+    recent = history.filter(F.col("date") > F.lit(last - timedelta(days=keep))).select("id", "date", "demand")
+    recent = stage(recent, "recursion-history")
+    days: list[DataFrame] = []
     for step in range(1, steps + 1):
         day = last + timedelta(days=step)
         empty = F.lit(None).cast("double")
-        today = state.select("id").distinct().select("id", F.lit(day).alias("date"), empty.alias("demand"))
+        today = recent.select("id").distinct().select("id", F.lit(day).alias("date"), empty.alias("demand"))
+        oldest = F.lit(day - timedelta(days=keep + 1))
+        state = reduce(DataFrame.unionByName, days[-keep:], recent.filter(F.col("date") > oldest))
         scored = model.transform(features(state.unionByName(today)).filter(F.col("date") == F.lit(day)))
-        fresh = cut(scored.select("id", "date", (alpha * F.col("prediction")).alias("demand")))
-        oldest = F.lit(day - timedelta(days=keep))
-        state = state.filter(F.col("date") > oldest).unionByName(fresh)
-        done = fresh if done is None else done.unionByName(fresh)
-    return done.withColumnRenamed("demand", "pred")
+        days.append(stage(scored.select("id", "date", (alpha * F.col("prediction")).alias("demand")), "recursion-day"))
+    return reduce(DataFrame.unionByName, days).withColumnRenamed("demand", "pred")
 
 
 def blend(forecasts: DataFrame, weights: int) -> DataFrame:

@@ -26,3 +26,9 @@ def test_gives_rows(name, spark, sf_dir):
 
 def test_names_and_twins():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_recursion_covers_the_horizon(con):
+    """Its rows are held to this twin above."""
+    days = con.execute(f"SELECT count(DISTINCT date), max(date) - min(date) FROM ({SQL['g14_recursive_model_28_days']})").fetchone()
+    assert days == (28, 27)
