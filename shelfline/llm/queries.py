@@ -232,3 +232,36 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return assess(docs, fit(docs, _table(spark, sf_dir, "labels"))).drop("row")
+
+
+_OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.rid <> r.rid
+),
+p AS (
+  SELECT arid, anchor_id, vec_id AS positive_id, score AS positive_score, j
+  FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST) AS j FROM s WHERE same) WHERE j <= 5
+),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.arid, p.j ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s USING (arid) WHERE NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@_query("op11_hard_negatives", _OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.negatives import mine_negatives
+
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(CAST(label AS BIGINT) + 1) % 10")).otherwise(F.expr("CAST(label AS BIGINT)"))
+    return mine_negatives(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label=label)

@@ -17,5 +17,5 @@ def test_equals_sql(name, spark, sf_dir, con):
     assert compare(rows, con.execute(SQL[name]).to_arrow_table()) == ""
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
