@@ -265,3 +265,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(CAST(label AS BIGINT) + 1) % 10")).otherwise(F.expr("CAST(label AS BIGINT)"))
     return mine_negatives(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label=label)
+
+
+@_query("op12_token_ids")
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfline.llm.idstore import fetch, write_store
+
+    read = fetch(write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
