@@ -275,3 +275,57 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = fetch(write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
     return read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS k, turn, coalesce(text, '') AS text,
+         sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+n AS (SELECT k, text, x, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, x) AS i FROM t),
+c AS (
+  SELECT k, k - k % 20 AS base,
+         xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                                                            FOR s IN string_split(CAST(k AS VARCHAR), '')])),
+                         lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT k FROM t)
+),
+b AS (SELECT k AS base, max(i) AS size FROM n GROUP BY k),
+g AS (SELECT k, base, h, least(h, coalesce(size, 0)) AS head FROM c LEFT JOIN b USING (base)),
+r AS (
+  SELECT g.k, n.i AS d, text, x FROM g JOIN n ON n.k = g.base AND n.i <= g.h
+  UNION ALL
+  SELECT g.k, head + n.i - h, text, x FROM g JOIN n ON n.k = g.k AND n.i > g.h
+),
+q AS (
+  SELECT k, d, text, string_agg(x, '') OVER (PARTITION BY k ORDER BY d) AS p FROM r
+  UNION ALL
+  SELECT k, 0, '', '' FROM c
+),
+nodes AS (
+  SELECT p, any_value(d) AS d, min(k) AS k, CAST(count(*) AS BIGINT) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved
+  FROM q GROUP BY p
+),
+ch AS (SELECT p[1 : len(p) - 64] AS p, CAST(count(*) AS BIGINT) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+v AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN ch USING (p)),
+s AS (
+  SELECT q.p, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM v JOIN q ON q.k = v.k AND q.d <= v.d GROUP BY q.p
+),
+e AS (
+  SELECT p, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS keys
+  FROM (SELECT k, p FROM (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS back FROM q) WHERE back = 1) GROUP BY p
+)
+SELECT v.k AS conv_id, CAST(v.d AS BIGINT) AS depth, u.k AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(keys, '')) AS ends_sha256
+FROM v JOIN s ON s.p = v.p LEFT JOIN e ON e.p = v.p LEFT JOIN v u ON v.d > 0 AND u.p = v.p[1 : len(v.p) - 64]
+"""
+
+
+@_query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfline.llm.trie import numbered_turns, prefix_trie, with_shared_heads
+
+    return prefix_trie(*with_shared_heads(numbered_turns(_table(spark, sf_dir, "conversations"))))

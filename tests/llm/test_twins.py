@@ -18,4 +18,4 @@ def test_equals_sql(name, spark, sf_dir, con):
 
 
 def test_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
