@@ -8,6 +8,7 @@ from datetime import timedelta
 from functools import reduce
 
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,7 +18,8 @@ from shelfline.functions.rolling import along, with_count_rolling
 from shelfline.lineage import fresh_path, stage
 from shelfline.operators import folds, metrics
 from shelfline.operators.reshape import add_horizon
-from shelfline.plans import model as ml
+from shelfline.operators.running import positions
+from shelfline.plans import model as ml, validation
 from shelfline.plans.forecast import recursive_with_model
 from shelfline.plans.steps import Step, StepPipeline
 from shelfline.sources import files, retail
@@ -231,21 +233,20 @@ def _linear(reg: float = 0.0, mix: float = 0.0):
     )
 
 
-def _cv(spark, sf):
-    folded = folds.random_folds(_orders(spark, sf), "o_orderkey", 3, (11, 23))
-    plan = [(seed, i * 3 + f) for i, seed in enumerate((11, 23)) for f in range(3)]
+def _cv(spark, sf) -> validation.CrossValidation:
+    folded = validation.split(_orders(spark, sf), "random", "o_orderkey", 3, (11, 23))
     candidates = {"plain": _linear, "ridge": lambda: _linear(reg=1000.0)}
-    chosen = {"rmse": metrics.rmse, "mae": metrics.mae}
-    return ml.cross_validate(folded, candidates, "o_totalprice", chosen, ["o_orderkey"], plan)
+    measures = [validation.of_predictions("rmse", metrics.rmse), validation.of_predictions("mae", metrics.mae)]
+    return validation.cross_validate(folded, candidates, "o_totalprice", measures, ["o_orderkey"])
 
 
 @query("g18_cross_validation", "SELECT unnest(['plain', 'ridge']) AS \"modelName\", 6::BIGINT AS n_folds, true AS agrees")
 def cross_validation(spark, sf):
     """Mean errors of the statistics equal those computed from the stored predictions."""
-    statistics, predictions = _cv(spark, sf)
-    out = ml.summary(statistics, ["rmse", "mae"])
+    found = _cv(spark, sf)
+    out = found.summary(["rmse", "mae"])
     error = F.col("o_totalprice") - F.col("predictions")
-    folds_ = predictions.groupBy("modelName", "mc_seed", "fold").agg(F.sqrt(F.avg(error * error)).alias("r"), F.avg(F.abs(error)).alias("m"))
+    folds_ = found.predictions.groupBy("modelName", "mc_seed", "fold").agg(F.sqrt(F.avg(error * error)).alias("r"), F.avg(F.abs(error)).alias("m"))
     again = folds_.groupBy("modelName").agg(F.avg("r").alias("r"), F.avg("m").alias("m"))
     near = lambda a, b: F.abs(F.col(a) / F.col(b) - 1) < 1e-9
     return out.join(again, "modelName").select("modelName", "n_folds", (near("rmse_mean", "r") & near("mae_mean", "m")).alias("agrees"))
@@ -254,8 +255,159 @@ def cross_validation(spark, sf):
 @query("g18_cv_predictions", "SELECT m AS \"modelName\", o_orderkey, 2::BIGINT AS n_predictions FROM orders CROSS JOIN (VALUES ('plain'), ('ridge')) t(m)")
 def cv_predictions(spark, sf):
     """Every row is predicted exactly once per model and seed."""
-    _, predictions = _cv(spark, sf)
-    return predictions.groupBy("modelName", "o_orderkey").agg(F.count("predictions").alias("n_predictions"))
+    return _cv(spark, sf).predictions.groupBy("modelName", "o_orderkey").agg(F.count("predictions").alias("n_predictions"))
+
+
+def _line(column: str):
+    """Least squares on one column: what SQL can fit too."""
+    line = LinearRegression(labelCol="o_totalprice", solver="normal", maxIter=20)
+    return lambda: Pipeline(stages=[VectorAssembler(inputCols=[column], outputCol="features"), line.copy()])
+
+
+def _cv_sql(folded: str) -> str:
+    """Least squares per fold by the closed form; ``folded`` gives (fold, role, place, x columns, y)."""
+    return f"""{folded},
+long AS (SELECT fold, role, place, m AS "modelName", CASE m WHEN 'by_day' THEN day ELSE priority END AS x, y FROM folded, (VALUES ('by_day'), ('by_priority')) t(m)),
+fit AS (SELECT fold, "modelName", regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n_train, max(place) AS train_to FROM long WHERE role = 'train' GROUP BY ALL),
+err AS (SELECT fold, "modelName", y - a - b * x AS e, n_train, train_to, place FROM long JOIN fit USING (fold, "modelName") WHERE role = 'test')
+SELECT "modelName", CAST(fold AS INTEGER) AS fold, round(sqrt(avg(e * e)), 2) AS rmse, round(avg(abs(e)), 2) AS mae, count(*) AS n_test,
+       any_value(n_train) AS n_train, any_value(train_to) < min(place) AS train_before_test, 'maxIter = 20; solver = normal' AS params
+FROM err GROUP BY fold, "modelName"
+UNION ALL
+SELECT "modelName", -1, round(sqrt(avg(e * e)), 2), round(avg(abs(e)), 2), count(*), NULL, NULL, NULL FROM err GROUP BY "modelName" """
+
+
+_ROWS_SQL = """WITH r AS (
+  SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n, o_totalprice AS y,
+         CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS day, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority
+  FROM orders
+)"""
+
+
+def _dated_orders(spark, sf) -> DataFrame:
+    orders = files.table(spark, sf, "orders")
+    rows = orders.select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice",
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double").alias("day"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+    )
+    return positions(rows, ["date", "o_orderkey"], "place")
+
+
+def _cv_scores(folded: DataFrame) -> DataFrame:
+    """Scores of two lines on every fold beside the sizes and the order of its rows."""
+    folded = stage(folded, "g18-folds")
+    measures = [validation.of_predictions("rmse", metrics.rmse), validation.of_predictions("mae", metrics.mae)]
+    candidates = {"by_day": _line("day"), "by_priority": _line("priority")}
+    found = validation.cross_validate(folded, candidates, "o_totalprice", measures, ["o_orderkey"])
+    tested = validation.with_whole(found.predictions).groupBy("modelName", "fold").agg(F.count(F.lit(1)).alias("n_test"))
+    if "role" in folded.columns:
+        train, test = F.col("role") == "train", F.col("role") == "test"
+        about = folded.groupBy("fold").agg(F.count_if(train).alias("n_train"), (F.max(F.when(train, F.col("place"))) < F.min(F.when(test, F.col("place")))).alias("train_before_test"))
+    else:
+        per_fold = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("own"))
+        total = per_fold.agg(F.sum("own")).scalar()
+        about = per_fold.select("fold", (total - F.col("own")).alias("n_train"), F.lit(False).alias("train_before_test"))
+    out = found.statistics.join(tested, ["modelName", "fold"]).join(about, "fold", "left")
+    return out.select("modelName", "fold", F.round("rmse", 2).alias("rmse"), F.round("mae", 2).alias("mae"), "n_test", "n_train", "train_before_test", "params")
+
+
+@query(
+    "g18_time_folds",
+    _cv_sql(
+        _ROWS_SQL
+        + """,
+f AS (SELECT f AS fold FROM range(0, (SELECT (max(n) - max(n) // 2) // (max(n) // 8) FROM r)) t(f)),
+folded AS (
+  SELECT fold, 'train' AS role, place, day, priority, y FROM r JOIN f ON place >= fold * (n // 8) AND place < fold * (n // 8) + n // 2
+  UNION ALL
+  SELECT fold, 'test', place, day, priority, y FROM r JOIN f ON place >= fold * (n // 8) + n // 2 AND place < fold * (n // 8) + n // 2 + n // 8
+)"""
+    ),
+)
+def time_folds(spark, sf):
+    """Rolling windows along the order dates: half of the rows train, the next eighth is scored."""
+    rows = stage(_dated_orders(spark, sf), "g18-rows")
+    n = rows.count()
+    return _cv_scores(validation.split(rows, "time", "o_orderkey", order=["date", "o_orderkey"], train_window=n // 2, test_window=n // 8))
+
+
+@query(
+    "g18_group_folds",
+    _cv_sql(
+        _ROWS_SQL
+        + """,
+g AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS pos FROM orders GROUP BY 1),
+k AS (SELECT r.*, CASE WHEN (pos // 4) % 2 = 0 THEN pos % 4 ELSE 3 - pos % 4 END AS own FROM r JOIN g USING (o_custkey)),
+folded AS (SELECT fold, CASE WHEN own = fold THEN 'test' ELSE 'train' END AS role, place, day, priority, y FROM k, range(0, 4) t(fold))"""
+    ),
+)
+def group_folds(spark, sf):
+    """Folds that keep all orders of a customer together."""
+    return _cv_scores(validation.split(_dated_orders(spark, sf), "feature", "o_orderkey", 4, feature="o_custkey"))
+
+
+@query("g18_stored_predictions")
+def stored_predictions(spark, sf):
+    """Every stored prediction of the random folds, as it was made."""
+    return _cv(spark, sf).predictions
+
+
+_RATES_SQL = """WITH d AS (
+  SELECT doc_id, quality, ('0x' || substr(md5('5|' || doc_id), 1, 8))::BIGINT % 3 AS fold, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+),
+long AS (SELECT doc_id, quality, fold, m, CASE m WHEN 'lang' THEN lang WHEN 'source' THEN source ELSE 'all' END AS c FROM d, (VALUES ('lang'), ('source'), ('all')) t(m)),
+sums AS (SELECT m, c, fold, sum(quality) AS s, count(*) AS n FROM long GROUP BY ALL),
+p AS (
+  SELECT long.*, (coalesce((SELECT sum(s) FROM sums o WHERE o.m = long.m AND o.c = long.c AND o.fold <> long.fold), 0) + 5.0)
+         / (coalesce((SELECT sum(n) FROM sums o WHERE o.m = long.m AND o.c = long.c AND o.fold <> long.fold), 0) + 10.0) AS p
+  FROM long
+),
+lev AS (SELECT m, f AS fold, quality, p FROM p, unnest([p.fold, -1]) t(f)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY m, fold ORDER BY p) + (count(*) OVER (PARTITION BY m, fold, p) - 1) / 2.0 AS mid FROM lev)
+"""
+
+
+@query(
+    "m14_probabilities",
+    _RATES_SQL
+    + """SELECT m AS "modelName", CAST(fold AS INTEGER) AS fold, count(*) AS n,
+round((sum(CASE WHEN quality = 1 THEN mid END) - sum(CAST(quality = 1 AS BIGINT)) * (sum(CAST(quality = 1 AS BIGINT)) + 1) / 2.0)
+  / (sum(CAST(quality = 1 AS BIGINT)) * sum(CAST(quality <> 1 AS BIGINT))), 9) AS auc,
+round(-avg(ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 9) AS log_loss FROM ranked GROUP BY m, fold""",
+)
+def probability_metrics(spark, sf):
+    """Exact AUC and log loss per model and fold; a rate over all rows gives one score per fold."""
+    docs = files.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    labelled = docs.join(files.table(spark, sf, "labels").where("quality IS NOT NULL"), "doc_id")
+    names = {"lang": F.coalesce("lang", F.lit("(none)")), "source": F.coalesce("source", F.lit("(none)")), "all": F.lit("all")}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("modelName"), c.alias("c")) for m, c in names.items()))).alias("v")
+    folded = validation.split(labelled, "random", "doc_id", 3, (5,)).select("doc_id", "quality", "mc_seed", "fold", each)
+    long = stage(folded.select("doc_id", "quality", "mc_seed", "fold", "v.modelName", "v.c"), "m14-long")
+    # The rate of a group outside a fold is its total less the fold's own.
+    own = long.groupBy("modelName", "c", "fold").agg(F.sum("quality").alias("s"), F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy("modelName", "c")
+    rate = (F.sum("s").over(over) - F.col("s") + 5.0) / (F.sum("n").over(over) - F.col("n") + 10.0)
+    scored = long.join(own.select("modelName", "c", "fold", rate.alias("p")), ["modelName", "c", "fold"])
+    scored = scored.withColumn("probabilities", F.array(1 - F.col("p"), F.col("p")))
+    found = validation.statistics(stage(scored, "m14-scored"), [validation.ROC_AUC, validation.LOG_LOSS], "quality")
+    sizes = validation.with_whole(scored).groupBy("modelName", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(sizes, ["modelName", "fold"]).select("modelName", "fold", "n", F.round("auc", 9).alias("auc"), F.round("log_loss", 9).alias("log_loss"))
+
+
+@query("g18_probabilities")
+def cross_validated_probabilities(spark, sf):
+    """AUC, log loss and accuracy of a forest on stratified folds, with its rounds and settings, and over each whole seed."""
+    docs = _documents(spark, sf).withColumn("label", F.col("quality").cast("double"))
+    folded = validation.split(docs, "random", "doc_id", 2, (3, 4), stratified=True, label="quality")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", seed=7, numTrees=10, maxDepth=4)
+    candidates = {
+        "forest": lambda: Pipeline(stages=[VectorAssembler(inputCols=_DOC_COLUMNS, outputCol="features"), forest.copy()]),
+        "logistic": lambda: Pipeline(stages=[VectorAssembler(inputCols=_DOC_COLUMNS, outputCol="features"), LogisticRegression(labelCol="label", maxIter=20)]),
+    }
+    right = validation.of_predictions("accuracy", lambda y, p: F.avg((y == p).cast("double")))
+    return validation.cross_validate(folded, candidates, "label", [right, validation.ROC_AUC, validation.LOG_LOSS], ["doc_id"]).statistics
 
 
 @query("g19_random_search", "SELECT i::BIGINT AS place, true AS in_range, true AS ranked FROM range(1, 13) t(i)")

@@ -135,43 +135,6 @@ def mean_importances(models: Sequence[PipelineModel], columns: Sequence[str], df
     return reduce(DataFrame.unionByName, tables).groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
-def cross_validate(
-    folded: DataFrame,
-    candidates: Mapping[str, Callable[[], Estimator]],
-    label: str,
-    chosen: Mapping[str, metrics.Metric],
-    keys: Sequence[str],
-    folds: Sequence[tuple[int, int]],
-    threads: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """Every candidate on every (seed, fold): (statistics, predictions).
-
-    ``folded`` holds one row per (row, mc_seed) with its test ``fold``; it is staged once and
-    the fold jobs run side by side.
-    """
-    folded = stage(folded, "cv-folds")
-
-    def one(job: tuple[str, tuple[int, int]]) -> DataFrame:
-        name, (seed, fold) = job
-        rows = folded.filter(F.col("mc_seed") == seed)
-        model = candidates[name]().fit(rows.filter(F.col("fold") != fold))
-        scored = model.transform(rows.filter(F.col("fold") == fold))
-        return scored.select(F.lit(name).alias("modelName"), "mc_seed", "fold", *keys, label, F.col("prediction").alias("predictions"))
-
-    jobs = [(name, f) for name in candidates for f in folds]
-    with ThreadPoolExecutor(threads) as pool:
-        predictions = stage(reduce(DataFrame.unionByName, pool.map(one, jobs)), "cv-predictions")
-    by = ["modelName", "mc_seed", "fold"]
-    statistics = metrics.score(predictions, chosen, label, "predictions", by).orderBy(*by)
-    return statistics, predictions
-
-
-def summary(statistics: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean and sample std of every metric per model."""
-    aggs = [a for n in names for a in (F.avg(n).alias(f"{n}_mean"), F.stddev_samp(n).alias(f"{n}_std"))]
-    return statistics.groupBy("modelName").agg(F.count(F.lit(1)).alias("n_folds"), *aggs)
-
-
 def random_search(
     train: DataFrame,
     test: DataFrame,
