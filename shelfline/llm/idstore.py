@@ -24,13 +24,16 @@ successful tasks return; a lost executor leaves at most an unlisted file.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -41,8 +44,10 @@ from shelfline.operators.reshape import shuffle_partitions
 
 #: Bytes of text that go to a partition (of at most MOST_PARTITIONS), ids of a payload file, keys of an index bucket.
 PARTITION_BYTES, MOST_PARTITIONS, FILE_IDS, BUCKET_KEYS = 128 << 20, 32_768, 64 << 20, 1 << 17
-#: Words whose ids a worker remembers, and bytes of payload read at once.
-KNOWN_WORDS, READ_BYTES = 200_000, 8 << 20
+#: Words and pieces whose ids a worker remembers (and as many words of the time before), and bytes of text encoded at once.
+KNOWN_WORDS, TEXT_BYTES = 400_000, 2 << 20
+#: Bytes of payload read at once.
+READ_BYTES = 8 << 20
 #: Bits per key of each bit set of the hash, and how many sets there may be.
 SPACE, MOST_LEVELS = 2, 64
 MAGIC = b"mphindex"
@@ -142,12 +147,26 @@ class IndexBucket:
         return np.where(known, slot, -1)
 
 
+class _Words(dict):
+    """Ids of words; a word that is not there is asked for."""
+
+    def __init__(self, ask) -> None:
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.ask(word)
+        return found
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library that drops white space.
 
     Such a tokenizer never joins what a space or a line feed parts, so the ids of a text are those
-    of its words end to end; words are encoded once and remembered, and a very long text
-    needs no more memory than its words.
+    of its words end to end, and a very long text needs no more memory than its words. Words are
+    remembered. Where the file is of the known kind (lower case, then pieces by a pattern, then
+    bytes), a new word of plain Latin characters is cut to pieces by the file's own pattern and only
+    new pieces go to the library's model; all other words go through the whole tokenizer.
     """
 
     def __init__(self, spec: str, end: int | None) -> None:
@@ -156,26 +175,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        wide = max([self.tokenizer.get_vocab_size(), (end or 0) + 1, *(i + 1 for i in self.tokenizer.get_vocab().values())])
-        self.kind = np.dtype("<u2" if wide <= 1 << 16 else "<u4")
-        self.end = b"" if end is None else np.array([end], self.kind).tobytes()
-        parts = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a b", "a\nb", " a \n b ", "a", "b")]
+        self.model = self.tokenizer.model
+        highest = max([end or 0, *self.tokenizer.get_vocab().values()])
+        self.kind = np.dtype("<u2" if highest < 1 << 16 else "<u4")
+        self.code = [i.tobytes() for i in np.arange(highest + 1, dtype=self.kind)]
+        self.end = b"" if end is None else self.code[end]
+        parts = [self.whole(x) for x in ("a b", "a\nb", " a \n b ", "a", "b")]
         if not parts[0] == parts[1] == parts[2] == parts[3] + parts[4]:
             raise ValueError("this tokenizer does not drop white space")
-        self.known: dict[str, bytes] = {"": b""}
+        self.pattern, self.lower = _pieces_of(json.loads(spec))
+        self.special = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
+        # Words and pieces of late, and those of the time before; the latter make room.
+        self.words, self.older = _Words(self._word), {}
+        self.pieces = _Words(self._piece)
+
+    def whole(self, text: str) -> bytes:
+        return b"".join([self.code[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self.code[t.id] for t in self.model.tokenize(piece.translate(BYTE_LEVEL))])
+
+    def _word(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is not None:
+            return found
+        if self.pattern is None or not word.isprintable() or not (word.isascii() or max(word) < PLAIN):
+            return self.whole(word)
+        small = word.lower() if self.lower else word
+        if small.isalpha() and len(small) == len(word):
+            return self.pieces[small]
+        if len(small) != len(word) or any(s in word for s in self.special):
+            return self.whole(word)
+        return b"".join([self.pieces[p] for p in self.pattern.findall(small)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known = {"": b""}
-            missing = list(set().union(*words).difference(self.known))
-        known = self.known
-        for start in range(0, len(missing), 10_000):
-            some = missing[start : start + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, x)) + self.end for x in words]
+        if len(self.words) > KNOWN_WORDS:
+            self.older, self.words = dict(self.words), _Words(self._word)
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces = _Words(self._piece)
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, (t or "").replace("\n", " ").split(" "))) + self.end for t in texts]
+
+
+def _byte_level() -> dict[int, str]:
+    """The stand-ins of the bytes of plain characters in byte-level vocabularies: printable bytes for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    stand_in = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(stand_in[b] for b in chr(c).encode()) for c in range(ord(PLAIN))}
+
+
+#: Below this character, none is changed by NFC, and case and class are the same in all versions of Unicode.
+PLAIN = "\u0180"
+BYTE_LEVEL = _byte_level()
+
+
+def _pieces_of(spec: dict) -> tuple[regex.Pattern | None, bool]:
+    """The pattern of the pieces that a tokenizer file cuts plain words to, and whether they are lower case; None for another kind of file."""
+    kinds = {"NFC": {}, "Replace": {"pattern": {"Regex": "\\s+"}, "content": " "}, "Lowercase": {}}
+    normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    normal = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [c["type"] for c in cut] != ["Split", "ByteLevel"] or any(n != {"type": n["type"], **kinds.get(n["type"], {"": 0})} for n in normal):
+        return None, False
+    split, level = cut
+    pattern = split["pattern"].get("Regex")
+    if pattern is None or split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level.get("use_regex", True):
+        return None, False
+    return regex.compile(pattern), any(n["type"] == "Lowercase" for n in normal)
+
+
+@lru_cache(maxsize=1)
+def _encoder(spec: str, end: int | None) -> Encoder:
+    """A worker goes on with the words of its earlier tasks."""
+    return Encoder(spec, end)
 
 
 @dataclass
@@ -262,11 +335,11 @@ def write_store(
     ranged = spread.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value, end)
+        encoder = _encoder(spec.value, end)
         writer = ShardWriter(f"{folder}/ids", encoder.kind.itemsize, file_ids)
         part = TaskContext.get().partitionId()
         last, before, shard = object(), 0, -1
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             keys, found = batch.column("key").to_pylist(), []
             for k, ids in zip(keys, encoder.encode(batch.column("text").to_pylist())):
                 number, place, offset = writer.add(ids)

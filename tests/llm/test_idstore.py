@@ -87,8 +87,8 @@ def test_odd_rows(spark, docs, odd_rows, tokenizer):
 
 def test_random_texts(spark, docs, tokenizer):
     rng = random.Random(8)
-    letters = ["a", "B", "é", "é", " ", " ", "\n", "\t", "́", "'s", "'", "1", "中", "😀", "<|endoftext|>", "　", "\x1d", "ß", "İ", "-"]
-    rows = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 60))), "en", "s") for i in range(400)]
+    letters = ["'S", "<|ENDOFTEXT|>", "Å", "Ø", "ǅ", "ª", "²", "¼", "\xad", "\xa0", "ŉ", "x'll", "\x01", "a", "B", "é", "é", " ", " ", "\n", "\t", "́", "'s", "'", "1", "中", "😀", "<|endoftext|>", "　", "\x1d", "ß", "İ", "-"]
+    rows = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 60))), "en", "s") for i in range(800)]
     stored(spark, docs, rows, tokenizer, file_ids=200, bucket_keys=37)
 
 
@@ -116,6 +116,24 @@ def test_empty_table_and_no_end(spark, docs, tokenizer):
     assert {r.key: numbers(r.ids) for r in read} == {1: ids_of(tokenizer, "a b")[:-1], 2: []}
 
 
+def test_every_plain_character(tokenizer):
+    """Words of all characters of the shorter way, alone and beside others, are what the whole tokenizer gives."""
+    encoder = idstore.Encoder(open(PATH, encoding="utf-8").read(), None)
+    assert encoder.pattern is not None
+    for c in map(chr, range(1, 0x260)):
+        for word in (c, f"a{c}", f"{c}B", f"'{c}", f"x{c}.,{c}9", f"{c}\u0331", f"h{c}'ll"):
+            assert np.frombuffer(encoder.encode([word])[0], encoder.kind).tolist() == ids_of(tokenizer, word)[:-1], repr(word)
+
+
+def test_words_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(idstore, "KNOWN_WORDS", 5)
+    encoder = idstore.Encoder(open(PATH, encoding="utf-8").read(), None)
+    for i in range(40):
+        text = f"one Two w{i}x, {i} é{i % 3}"
+        assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == ids_of(tokenizer, text)[:-1]
+        assert len(encoder.words) <= 12 and len(encoder.older) <= 12
+
+
 def test_wide_ids():
     encoder = idstore.Encoder(open(PATH, encoding="utf-8").read(), 1 << 20)
     assert encoder.kind.itemsize == 4
