@@ -116,7 +116,7 @@ def submission_checks(spark, sf):
     return nulls.unionByName(checks.key_mismatches(out, template, "id"))
 
 
-_BT_FOLDS, _BT_TRAIN, _BT_TEST, _BT_LAST = 3, 104, 4, 357
+_BT_FOLDS, _BT_TRAIN, _BT_TEST, _BT_LAST, _BT_LINE = 10, 104, 4, 357, 26
 
 
 def _backtest_sql() -> str:
@@ -139,8 +139,9 @@ def _backtest_sql() -> str:
             f"wt{f} AS (SELECT level, node, value / sum(value) OVER (PARTITION BY level) / 12 AS weight FROM vn{f} WHERE value IS NOT NULL)",
             f"pn{f}_naive AS (SELECT t.*, t.demand - p.demand AS error FROM w{f} t JOIN w{f} p ON p.id = t.id AND p.wk = t.wk - {_BT_TEST} WHERE t.wk > {split})",
             f"pn{f}_mean AS (SELECT t.*, t.demand - p.m AS error FROM w{f} t JOIN (SELECT id, sum(demand) / {_BT_TEST} AS m FROM w{f} WHERE wk > {split - _BT_TEST} AND wk <= {split} GROUP BY id) p USING (id) WHERE t.wk > {split})",
+            f"pn{f}_log_line AS (SELECT t.*, t.demand - (exp(greatest(a + b * t.wk, 0)) - 1) AS error FROM w{f} t JOIN (SELECT id, regr_slope(ln(1 + demand), wk) AS b, regr_intercept(ln(1 + demand), wk) AS a FROM w{f} WHERE wk > {split - _BT_LINE} AND wk <= {split} GROUP BY id) p USING (id) WHERE t.wk > {split})",
         ]
-        for process in ("naive", "mean"):
+        for process in ("naive", "mean", "log_line"):
             ctes += [
                 f"en{f}_{process} AS ({nodes_sql(f'pn{f}_{process}', 'sum(error) AS error', 'wk')})",
                 f"sc{f}_{process} AS (SELECT sum(sqrt(mse / scale) * coalesce(weight, 0)) AS s FROM (SELECT level, node, avg(error * error) AS mse FROM en{f}_{process} GROUP BY ALL) JOIN scale{f} USING (level, node) LEFT JOIN wt{f} USING (level, node) WHERE scale <> 0)",
@@ -154,7 +155,11 @@ def _backtest_sql() -> str:
 @query("g17_backtest", _backtest_sql())
 def backtest(spark, sf):
     sold = retail.weekly_sold(spark, sf)
-    processes = [("naive", evaluate.naive_forecast), ("mean", evaluate.recent_mean)]
+    processes = [
+        evaluate.Process("naive", evaluate.naive_forecast),
+        evaluate.Process("mean", evaluate.recent_mean),
+        evaluate.Process("log_line", evaluate.log_line(_BT_LINE), F.expm1),
+    ]
     out = evaluate.backtest(
         sold.drop("cents"), retail.prices_of(sold), processes, retail.LAST_WEEK, _BT_FOLDS, _BT_TRAIN, _BT_TEST
     )

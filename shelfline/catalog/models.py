@@ -4,9 +4,10 @@ come from the functions of ``plans.model``."""
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,8 +20,10 @@ from shelfline.lineage import fresh_path, stage
 from shelfline.operators import folds, metrics
 from shelfline.operators.reshape import add_horizon
 from shelfline.operators.running import positions
-from shelfline.plans import model as ml, validation
-from shelfline.plans.forecast import recursive_with_model
+from shelfline.plans import boosting, grouped, model as ml, validation
+from shelfline.plans.evaluate import HierarchyScore
+from shelfline.plans.forecast import recursive_with_arrays
+from shelfline.plans.scoring import as_arrays
 from shelfline.plans.steps import Step, StepPipeline
 from shelfline.sources import files, retail
 
@@ -104,6 +107,62 @@ def poisson_regression(spark, sf):
     return sums.select("demand", (F.abs(F.col("p") / F.col("demand") - 1) < 1e-6).alias("adds_up"))
 
 
+def _weighted(spark, sf) -> DataFrame:
+    """Feature rows of the daily series with the sample weight of their leaf in the hierarchy's score."""
+    sold = retail.staged_daily_sold(spark, sf)
+    job = HierarchyScore(sold, retail.prices_of(sold), SPLIT, 28, 1)
+    weights = metrics.leaf_sample_weight(sold.select(*retail.IDS).distinct(), job.weights(), job.scale())
+    daily = retail.daily_series(spark, sf, sold).select("id", "store_id", "date", "demand")
+    rows = direct_features(daily.where(F.col("date") > F.lit(SPLIT - timedelta(days=364 + 56))))
+    rows = rows.where(F.col("date") > F.lit(SPLIT - timedelta(days=364)))
+    return stage(rows.join(weights, "id"), "weighted-features")
+
+
+def _tweedie_trees(rows: DataFrame) -> boosting.Boosted:
+    train = rows.where(F.col("date") <= F.lit(SPLIT)).withColumn("late", F.col("date") > F.lit(SPLIT - timedelta(days=28)))
+    return boosting.boost(train, COLUMNS, "demand", boosting.tweedie(1.1), "sample_weight", "late", rounds=12, step=0.2, depth=4)
+
+
+@query("g09_tweedie_trees")
+def tweedie_trees(spark, sf):
+    """Trees boosted for the weighted Tweedie loss; every leaf counts by its weight in the hierarchy's score."""
+    rows = _weighted(spark, sf)
+    return _tweedie_trees(rows).transform(rows.where(F.col("date") > F.lit(SPLIT))).select("id", "date", "demand", "sample_weight", "prediction")
+
+
+@query("g09_tweedie_curve", "SELECT true AS starts_at_0, true AS train_loss_falls, true AS best_is_kept, true AS valid_loss_falls")
+def tweedie_curve(spark, sf):
+    """The training loss falls with every round, and the rounds that stay end at the least validation loss."""
+    fitted = _tweedie_trees(_weighted(spark, sf))
+    train, valid = [c[1] for c in fitted.curve], [c[2] for c in fitted.curve]
+    falls = all(b < a for a, b in zip(train, train[1:]))
+    found = (fitted.curve[0][0] == 0, falls, valid[len(fitted.trees)] == min(valid), min(valid) < valid[0])
+    return spark.createDataFrame([found], "starts_at_0 boolean, train_loss_falls boolean, best_is_kept boolean, valid_loss_falls boolean")
+
+
+@query(
+    "g09_boosting_round",
+    DAILY
+    + """, t AS (SELECT CAST(isodow(date) >= 6 AS DOUBLE) AS weekend, demand AS y, 1.0 + year(date) - 1995 AS w FROM daily WHERE date <= DATE '2001-10-07'),
+f AS (SELECT ln(sum(w * y) / sum(w)) AS f FROM t),
+s AS (SELECT weekend, count(*) AS n, sum(w * (exp(0.9 * f) - y * exp(-0.1 * f))) AS g, sum(w * (0.9 * exp(0.9 * f) + 0.1 * y * exp(-0.1 * f))) AS h FROM t, f GROUP BY weekend)
+SELECT weekend, n, round(g, 4) AS grad, round(h, 4) AS hess, round(-g / h, 8) AS leaf_value, round(exp(f - g / h), 8) AS prediction FROM s, f""",
+)
+def boosting_round(spark, sf):
+    """One weighted Tweedie round on a single split: its leaf sums, leaf values and means."""
+    daily = retail.daily_series(spark, sf).where(F.col("date") <= F.lit(SPLIT))
+    rows = daily.select((F.weekday("date") >= 5).cast("double").alias("weekend"), "demand", (1.0 + F.year("date") - 1995).alias("w"))
+    rows = stage(rows, "round-rows")
+    loss = boosting.tweedie(1.1)
+    fitted = boosting.boost(rows, ["weekend"], "demand", loss, "w", rounds=1, step=1.0, depth=1)
+    steps = loss.steps(F.col("demand"), F.lit(fitted.start), F.col("w"))
+    leaf = boosting.choose(fitted.trees[0], ["weekend"], lambda n: F.lit(float(fitted.trees[0].value[n])))
+    sums = fitted.transform(rows.withColumns(steps)).groupBy("weekend", leaf.alias("leaf_value"), "prediction")
+    out = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("grad").alias("grad"), F.sum("hess").alias("hess"))
+    rounded = {"grad": 4, "hess": 4, "leaf_value": 8, "prediction": 8}
+    return out.select("weekend", "n", *(F.round(c, d).alias(c) for c, d in rounded.items()))
+
+
 _DOC_COLUMNS = ["n_chars", "n_words", "word_length"]
 
 
@@ -136,26 +195,74 @@ def classification(spark, sf):
     return out.select("doc_id", "grade", sums.alias("adds_up"), (F.col("predicted") == likely).alias("decoded"))
 
 
-@query("g11_rounds_by_cross_validation", "SELECT unnest([2, 6, 12]) AS rounds, true AS has_error, true AS chosen_is_least")
-def rounds_by_cross_validation(spark, sf):
+def _curve(spark, sf) -> tuple[int, DataFrame]:
     docs = _documents(spark, sf).withColumn("label", F.col("quality").cast("double"))
-    pipeline = ml.boosted_trees(_DOC_COLUMNS, "label", maxDepth=3)
-    best, table = ml.rounds_by_cross_validation(docs, pipeline, [2, 6, 12], 3)
+    folded = validation.split(docs, "random", "doc_id", 3, (5,))
+    return ml.round_curve(folded, ml.boosted_trees(_DOC_COLUMNS, "label", maxDepth=3, maxIter=100), _DOC_COLUMNS, "label", range(3))
+
+
+@query("g11_rounds_by_cross_validation", "SELECT CAST(i AS INTEGER) AS rounds, true AS has_error, true AS chosen_is_least FROM range(1, 101) t(i)")
+def rounds_by_cross_validation(spark, sf):
+    best, table = _curve(spark, sf)
     least = table.agg(F.min_by("rounds", F.struct("cv_rmse", "rounds"))).first()[0]
     return table.select("rounds", (F.col("cv_rmse") > 0).alias("has_error"), F.lit(best == least).alias("chosen_is_least"))
 
 
+@query("g11_round_curve")
+def round_curve(spark, sf):
+    """The mean error of every number of rounds up to 100, from one fit per fold."""
+    best, table = _curve(spark, sf)
+    return table.select("rounds", "cv_rmse", (F.col("rounds") == best).alias("chosen"))
+
+
+def _segments(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Coefficients of one Poisson regression per store, all fitted together, and the rows they score."""
+    train, test = _train_test(spark, sf)
+    return grouped.fit_groups(train, ["store_id"], COLUMNS, "demand", "poisson", reg=0.01), test
+
+
 @query(
     "g12_model_per_segment",
     DAILY + " SELECT store_id, id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'",
 )
 def model_per_segment(spark, sf):
-    train, test = _train_test(spark, sf)
-    stores = [r.store_id for r in train.select("store_id").distinct().orderBy("store_id").collect()]
-    out = ml.per_segment(train, test, "store_id", stores, _poisson)
+    fitted, test = _segments(spark, sf)
+    out = grouped.predict_groups(test, fitted, ["store_id"], COLUMNS, "poisson")
     return out.select("store_id", "id", "date", _usable("prediction"))
 
 
+@query("g12_segment_coefficients")
+def segment_coefficients(spark, sf):
+    fitted, _ = _segments(spark, sf)
+    return fitted.select("store_id", "n", F.posexplode("b").alias("place", "coefficient")).withColumn(
+        "name", F.element_at(F.array(F.lit("intercept"), *map(F.lit, COLUMNS)), F.col("place") + 1)
+    )
+
+
+@query("g12_segment_predictions")
+def segment_predictions(spark, sf):
+    fitted, test = _segments(spark, sf)
+    return grouped.predict_groups(test, fitted, ["store_id"], COLUMNS, "poisson").select("store_id", "id", "date", "demand", "prediction")
+
+
+@query(
+    "g12_segment_lines",
+    DAILY
+    + """, t AS (SELECT store_id, dept_id, date, demand AS y, CAST(isodow(date) - 1 AS DOUBLE) AS x FROM daily),
+f AS (SELECT store_id, dept_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n FROM t WHERE date <= DATE '2001-10-07' GROUP BY ALL)
+SELECT store_id, dept_id, round(a, 6) AS intercept, round(b, 6) AS slope, any_value(n) AS n, round(sqrt(avg((y - a - b * x) ** 2)), 6) AS rmse
+FROM t JOIN f USING (store_id, dept_id) WHERE date > DATE '2001-10-07' GROUP BY store_id, dept_id, a, b""",
+)
+def segment_lines(spark, sf):
+    """A line over the day of the week per store and department, and its error on the last 28 days."""
+    daily = stage(retail.daily_series(spark, sf).select("store_id", "dept_id", "date", "demand", F.weekday("date").alias("dow")), "segment-days")
+    by = ["store_id", "dept_id"]
+    fitted = grouped.fit_groups(daily.where(F.col("date") <= F.lit(SPLIT)), by, ["dow"], "demand")
+    scored = grouped.predict_groups(daily.where(F.col("date") > F.lit(SPLIT)), fitted, by, ["dow"])
+    errors = scored.groupBy(*by).agg(r6(metrics.rmse(F.col("demand"), F.col("prediction"))).alias("rmse"))
+    return fitted.join(errors, by).select(*by, r6(F.col("b")[0]).alias("intercept"), r6(F.col("b")[1]).alias("slope"), "n", "rmse")
+
+
 @query(
     "g13_direct_forecast",
     DAILY + " SELECT id, CAST(DATE '2001-11-04' + CAST(n AS INTEGER) AS DATE) AS date, true AS predicted FROM ids, range(1, 29) t(n)",
@@ -180,26 +287,24 @@ def short_features(df: DataFrame) -> DataFrame:
     return ml.filled(out, _SHORT)
 
 
-@query(
-    "g14_recursive_model",
-    DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07' AND date <= DATE '2001-10-14'",
-)
-def recursive_model(spark, sf):
-    return _recursion(spark, sf, 7)
+def short_matrix(state: np.ndarray, day: date) -> np.ndarray:
+    """``short_features`` of the day after the newest column of ``state``."""
+    return np.stack([state[:, -1], state[:, -7], state[:, -7:].mean(1), np.full(len(state), day.weekday())], axis=1)
 
 
 @query("g14_recursive_model_28_days", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
 def recursive_model_28_days(spark, sf):
-    """The whole horizon, day by day."""
-    return _recursion(spark, sf, 28)
+    """The whole horizon is there, finite and not negative."""
+    return recursive_model(spark, sf).select("id", "date", _usable("pred"))
 
 
-def _recursion(spark, sf, days: int) -> DataFrame:
+@query("g14_recursive_model")
+def recursive_model(spark, sf):
+    """Twenty-eight days, each from the forecasts of the days before, in one pass over the series' last fortnight."""
     daily = stage(retail.daily_series(spark, sf).select("id", "date", "demand"), "daily")
     train = daily.filter(F.col("date") <= F.lit(SPLIT))
     fitted = ml.count_regression(_SHORT, "demand", "poisson", reg=0.01).fit(short_features(train))
-    out = recursive_with_model(train, SPLIT, days, 14, short_features, fitted)
-    return out.select("id", "date", _usable("pred"))
+    return recursive_with_arrays(train, SPLIT, 28, 14, short_matrix, as_arrays(fitted))
 
 
 @query("g16_fold_ensemble", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")

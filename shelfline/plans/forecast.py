@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.lineage import stage
@@ -79,6 +81,43 @@ def recursive_with_model(
     return reduce(DataFrame.unionByName, days).withColumnRenamed("demand", "pred")
 
 
+def recursive_with_arrays(
+    history: DataFrame,
+    last: date,
+    steps: int,
+    keep: int,
+    features: Callable[[np.ndarray, date], np.ndarray],
+    model,
+    alpha: float = 1.0,
+) -> DataFrame:
+    """Recursive forecast with a model as arrays (``plans.scoring.as_arrays``): (id, date, pred), in one job.
+
+    The last ``keep`` days of a series are one short array (a day without a row is 0), found
+    by one shuffle; a batch of series then goes through all steps as a matrix. ``features`` maps that matrix
+    (newest last) and the day to feature rows; ``model.predict`` maps those to forecasts.
+    """
+    first = last - timedelta(days=keep - 1)
+    recent = history.where(F.col("date").between(F.lit(first), F.lit(last)))
+    cells = F.map_from_entries(F.collect_list(F.struct(F.datediff("date", F.lit(first)).alias("k"), F.col("demand").cast("double").alias("v"))))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda k: F.coalesce(F.try_element_at("_h", k), F.lit(0.0)))
+    arrays = recent.groupBy("id").agg(cells.alias("_h")).select("id", dense.alias("h"))
+    kind = arrays.schema["id"].dataType.simpleString()
+    days = [last + timedelta(days=n) for n in range(1, steps + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            state = np.asarray(batch.column("h").flatten()).reshape(n, keep) if n else np.zeros((0, keep))
+            found = np.empty((n, steps))
+            for i, day in enumerate(days):
+                found[:, i] = alpha * model.predict(features(state, day))
+                state = np.concatenate([state[:, 1:], found[:, i : i + 1]], axis=1)
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(n), steps)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(days * n, pa.date32()), pa.array(found.ravel())], ["id", "date", "pred"])
+
+    return arrays.mapInArrow(run, f"id {kind}, date date, pred double")
+
+
 def blend(forecasts: DataFrame, weights: int) -> DataFrame:
     """Equal-weight blend of the runs: (id, date, pred)."""
     return forecasts.groupBy("id", "date").agg(F.sum(F.col("pred") / weights).alias("pred"))

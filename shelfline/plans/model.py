@@ -9,15 +9,14 @@ from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.lineage import stage
 from shelfline.operators import metrics
+from shelfline.plans.scoring import as_arrays, prefix_errors
 
 
 def filled(df: DataFrame, columns: Sequence[str], value: float = -1.0) -> DataFrame:
@@ -90,35 +89,23 @@ def with_class_probabilities(scored: DataFrame, classes: int) -> DataFrame:
     return scored.withColumns({f"class_{i}": p[i] for i in range(classes)})
 
 
-def rounds_by_cross_validation(df: DataFrame, pipeline: Pipeline, rounds: Sequence[int], folds: int) -> tuple[int, DataFrame]:
-    """Best number of boosting rounds, and the mean error of every candidate."""
-    tree = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(tree.maxIter, list(rounds)).build()
-    judge = RegressionEvaluator(labelCol=tree.getLabelCol(), metricName="rmse")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=7, parallelism=2)
-    model = cv.fit(df)
-    table = df.sparkSession.createDataFrame(
-        [(int(n), float(e)) for n, e in zip(rounds, model.avgMetrics)], "rounds int, cv_rmse double"
-    )
-    return min(zip(model.avgMetrics, rounds))[1], table
-
-
-def per_segment(
-    train: DataFrame, score: DataFrame, segment: str, keys: Sequence[str], make: Callable[[], Estimator], threads: int = 4
-) -> DataFrame:
-    """One model per segment, fitted side by side; predictions of all segments in one table.
+def round_curve(folded: DataFrame, pipeline: Pipeline, columns: Sequence[str], label: str, folds: Sequence[int], threads: int = 3) -> tuple[int, DataFrame]:
+    """Best number of boosting rounds, and (rounds, cv_rmse): the mean over the folds of the error of every prefix of the trees.
 
-    Both tables are staged once; each job reads its segment by a pushed-down filter. ``keys``
-    is the list of segments, known to the caller.
+    One fit per fold gives the errors of all round numbers up to its own; ``folded`` holds each row
+    with its test ``fold``.
     """
-    train, score = stage(train, "segment-train"), stage(score, "segment-score")
+    folded = stage(folded, "curve-folds", by=["fold"])
 
-    def one(key: str) -> DataFrame:
-        model = make().fit(train.filter(F.col(segment) == key))
-        return model.transform(score.filter(F.col(segment) == key)).drop("features")
+    def one(fold: int) -> DataFrame:
+        model = pipeline.fit(folded.where(F.col("fold") != fold))
+        errors = prefix_errors(folded.where(F.col("fold") == fold), as_arrays(model), columns, label)
+        return stage(errors.select("round", F.sqrt(F.col("squares") / F.col("n")).alias("rmse")), "curve")
 
     with ThreadPoolExecutor(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, keys))
+        errors = reduce(DataFrame.unionByName, pool.map(one, folds))
+    table = errors.groupBy(F.col("round").alias("rounds")).agg(F.avg("rmse").alias("cv_rmse"))
+    return table.agg(F.min_by("rounds", F.struct("cv_rmse", "rounds"))).first()[0], table
 
 
 def fold_ensemble(folded: DataFrame, score: DataFrame, n_folds: int, make: Callable[[], Estimator], by: Sequence[str]) -> tuple[DataFrame, list[PipelineModel]]:
