@@ -36,6 +36,10 @@ from shelfline.llm.common import gathered, lower_ascii, mix, ranges, release, se
 WORDS, PERCENT = 5, 80
 #: Bytes of text per piece and per fragment, and the most fragments; fragments of one verification; longs of a bitmap.
 PIECE_BYTES, FRAGMENT_BYTES, MOST_FRAGMENTS, PARTS, LONGS = 3 << 20, 4 << 20, 1 << 16, 8, 16
+#: Pairs of a list per set in it; rounds go on while one merges more than such a part of what all have merged.
+LEADERS, FEW = 32, 10
+#: Edges that one task unites.
+FEW_EDGES = 100_000
 _MANY = 0xFFFF
 #: Stands for a null key.
 _NO_KEY = (1 << 63) - 1
@@ -270,13 +274,18 @@ def _second_round(classes: DataFrame, fragments: int) -> DataFrame:
     return _shared(sent, finish, "rid bigint, n bigint, u bigint, hashes array<bigint>, front array<bigint>, bitmap array<bigint>")
 
 
-def _room() -> Column:
-    """Whether sizes and bitmaps of sides x and y leave room for a link: at most a ninth of both sizes may differ."""
+def _differ() -> Column:
+    """At least so many n-grams are in one of the sets of sides x and y only."""
     differ = F.col("x.u") + F.col("y.u")
     for i in range(LONGS):
         differ = differ + F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}")))
+    return differ
+
+
+def _room() -> Column:
+    """Whether sizes and bitmaps of sides x and y leave room for a link: at most a ninth of both sizes may differ."""
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    return sizes & (differ * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT))
+    return sizes & (_differ() * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -290,8 +299,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return sums.where(F.col("o") * 100 >= (F.col("nx") + F.col("ny") - F.col("o")) * percent).select("x", "y")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, label) of a bounded number of edges (x, y), in one task."""
+    parent: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while parent.setdefault(n, n) != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    for batch in batches:
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            a, b = top(x), top(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], ["rid", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(rid, label): the least rid that each node of the undirected edges (x, y) reaches, by label propagation with jumps."""
+    """(rid, label): the least rid that each node of the undirected edges (x, y) reaches.
+
+    Up to ``FEW_EDGES`` edges are united in one task, more of them by label propagation with jumps.
+    """
+    edges = edges.select("x", "y").where("x <> y")
+    if edges.count() <= FEW_EDGES:
+        return stage(edges.coalesce(1).mapInArrow(_united, "rid bigint, label bigint"), "jaccard-united")
+    return propagated(edges)
+
+
+def propagated(edges: DataFrame) -> DataFrame:
+    """``components`` of any number of edges."""
     both = cut(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
     labels = cut(both.groupBy(F.col("x").alias("rid")).agg(F.least(F.min("x"), F.min("y")).alias("label")))
     while True:
@@ -305,8 +343,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("rid", "label")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (x, y) between classes whose components are those of all links."""
+def _stars(sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of each set and the leader of each list of a prefix n-gram it stands in, where sizes and bitmaps leave room."""
     fronts = sets.select("rid", "n", F.explode("front").alias("h"))
     order = F.struct(F.xxhash64("rid").alias("o"), "rid", "n")
     leaders = fronts.groupBy("h").agg(F.min(order).alias("lead"), F.count("*").alias("k")).where("k > 1")
@@ -315,24 +353,71 @@ def links(sets: DataFrame) -> DataFrame:
     stars = stars.where(sizes).select(F.col("lead.rid").alias("x"), F.col("rid").alias("y")).distinct()
     own = lambda side: sets.select("rid", "n", "u", *(F.col("bitmap")[i].alias(f"b{i}") for i in range(LONGS))).alias(side)
     likely = stars.alias("p").join(own("x"), F.col("p.x") == F.col("x.rid")).join(own("y"), F.col("p.y") == F.col("y.rid")).where(_room())
-    first = stage(verified(likely.select("p.x", "p.y"), sets), "jaccard-stars")
-    labels = components(first)
+    return likely.select("p.x", "p.y")
 
-    marked = sets.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    marked = marked.select("rid", "n", "u", "label", "front", *(F.col("bitmap")[i].alias(f"b{i}") for i in range(LONGS)))
-    marked = stage(marked, "jaccard-marked")
-    places = marked.select("rid", "label", F.explode("front").alias("h"))
+
+def _meet(marked: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (x, y) of different components lx and ly that share a prefix n-gram and have room for a link.
+
+    In an n-gram's list, the sets outside its largest component meet the others: all of them if
+    ``turn`` is None, and otherwise leaders that a hash of the turn draws. A list draws the more leaders
+    the fewer of its sets are outside, so its pairs are about ``LEADERS`` times its sets.
+    """
+    places = marked.select("label", F.explode("front").alias("h"))
     groups = places.groupBy("h", "label").agg(F.count("*").alias("k"))
-    mixed = groups.groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    # In an n-gram's list, all but the members of its largest component meet the whole list.
-    rows = marked.select("*", F.posexplode("front").alias("place", "h")).drop("front").join(mixed.select("h", "main"), "h")
+    mixed = groups.groupBy("h").agg(
+        F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("labels")
+    )
+    mixed = mixed.where("labels > 1").select("h", "main", (F.lit(float(LEADERS)) / (F.col("all") - F.col("most"))).alias("share"))
+    rows = marked.select("*", F.posexplode("front").alias("place", "h")).drop("front").join(mixed, "h")
     # Behind its first common n-gram, a pair has no more in common than the shorter rest of the two sets.
     rest = F.least(F.col("x.n") - F.col("x.u") - F.col("x.place"), F.col("y.n") - F.col("y.u") - F.col("y.place"))
     enough = rest * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
-    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
-    met = rows.where("label <> main").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough & _room())
-    pairs = met.select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y")).distinct()
-    return first.unionByName(verified(pairs, sets))
+    apart = F.col("x.label") != F.col("y.label")
+    if turn is None:
+        others = rows
+        apart &= (F.col("y.label") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid"))
+    else:
+        draw = F.pmod(F.xxhash64(F.lit(turn), "h", "rid"), F.lit(1 << 30)) / (1 << 30)
+        others = rows.where(draw < F.col("share"))
+    met = rows.where("label <> main").alias("x").join(others.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough & _room())
+    return met.select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y"), F.col("x.label").alias("lx"), F.col("y.label").alias("ly"), _differ().alias("differ"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (x, y) between classes whose components are those of all links.
+
+    After the stars come rounds in which every component that still meets another verifies its
+    likeliest pair only and is merged if that links, so a group of near copies becomes one component
+    with about as many pairs as it has sets. When a round merges few more, all pairs that are left between
+    different components are verified, so no link between components is lost.
+    """
+    first = stage(verified(_stars(sets), sets), "jaccard-stars")
+    found, turn, total = [first], 0, 0
+    labels = components(first)
+    marked = sets.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    marked = marked.select("rid", "n", "u", "label", "front", *(F.col("bitmap")[i].alias(f"b{i}") for i in range(LONGS)))
+    marked = stage(marked, "jaccard-marked")
+    while True:
+        either = _meet(marked, turn).select("*", F.explode(F.array("lx", "ly")).alias("label"))
+        best = either.groupBy("label").agg(F.min(F.struct("differ", "x", "y", "lx", "ly")).alias("best"))
+        asked = stage(best.select("best.x", "best.y", "best.lx", "best.ly").distinct(), "jaccard-asked")
+        some = asked.count()
+        linked = stage(verified(asked.select("x", "y"), sets), "jaccard-merged") if some else None
+        merged = linked.count() if some else 0
+        if merged:
+            found.append(linked)
+            edges = asked.join(linked, ["x", "y"]).select(F.col("lx").alias("x"), F.col("ly").alias("y"))
+            joined = components(edges).select(F.col("rid").alias("label"), F.col("label").alias("joined"))
+            marked = marked.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
+            marked = stage(marked, "jaccard-marked")
+        turn, total = turn + 1, total + merged
+        if merged * FEW <= total:
+            break
+    out = verified(_meet(marked, None).select("x", "y").distinct(), sets)
+    for f in found:
+        out = out.unionByName(f)
+    return out
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
