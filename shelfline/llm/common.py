@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a single longer text is taken alone.
 SLICE_BYTES = 4 << 20
@@ -98,6 +98,28 @@ def _joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def drawn(rows: DataFrame, share: Column | int, *columns: str) -> DataFrame:
+    """The rows whose hash of ``columns`` and their own place is below ``share`` of 2**20.
+
+    The place lets rows that are equal, or share a key, be drawn each by itself.
+    """
+    (mark,) = unused(rows.columns, "_drawn")
+    hashed = rows.withColumn(mark, F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(1 << 20)))
+    return hashed.where(F.col(mark) < share).drop(mark)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of every (start, length), end to end."""
     lengths = np.asarray(lengths, np.int64)

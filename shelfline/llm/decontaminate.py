@@ -10,7 +10,10 @@ once; occurrences are located by stepping back to a kept position, and the cover
 document are the union of its occurrences.
 
 Documents stay in their partition. The phrases are the query set: they are read in blocks of
-at most ``BLOCK_BYTES`` of item text, and only one block is broadcast at a time.
+at most ``BLOCK_BYTES`` of item text (about; items are dealt by a hash), and only one block is on the
+driver and broadcast at a time. Where there are several, the rows are written once with a number, the
+hits of a block are written before the next block is read, and a grouped job puts the hits of
+all blocks together.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from shelfline.llm.common import SLICE_BYTES, gathered, lower_ascii, ranges, segment_hashes, ship, text_view, words_of
+from shelfline.lineage import stage
+from shelfline.llm.common import gathered, lower_ascii, ranges, release, segment_hashes, ship, text_view, unused, words_of
 
-#: Words of a window; bytes of item text in one broadcast; distance of kept suffix positions.
-WINDOW, BLOCK_BYTES, KEPT = 10, 16 << 20, 4
+#: Words of a window; bytes of item text in one broadcast, of text in a shard; distance of kept suffix positions.
+WINDOW, BLOCK_BYTES, SHARD_BYTES, KEPT = 10, 16 << 20, 1 << 20, 4
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -185,14 +189,18 @@ def shard_hits(phrases: Phrases, raw: np.ndarray, offsets: np.ndarray) -> tuple[
     return starts, ends, first, hit, pairs
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded bytes."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """The number of blocks, and the items block by block."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // (BLOCK_BYTES // 2)))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+    blocks = max(1, -(-int(total) // max(1, BLOCK_BYTES // 2)))
+
+    def each() -> Iterator[list[tuple[str, str | None]]]:
+        for b in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+            yield [(r.i if r.i is not None else "null", r.t) for r in part.collect()]
+
+    return blocks, each()
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -201,32 +209,53 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     ``spans`` are merged [start, end) places in UTF-8 bytes of the text, each over neighbouring
     hit words. A null or empty text has no words; an item without words has no window; items
     with a null id are named "null". Repeated items and equal phrases of several items all
-    count. Rows of ``docs`` are treated one by one, whatever their keys. Empty tables give no
-    rows, or no hits. Blocks of items are searched one after the other in the same tasks.
+    count. Rows of ``docs`` are treated one by one, whatever their keys; other columns are ignored, whatever
+    their names. Empty tables give no rows, or no hits.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = _searched(rows, "text", _blocks(benchmark, item, item_text), window, keep_text=False)
-    n_hit = F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
-    return rows.select(F.col("key").alias(key), F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+    found = _searched(rows, "text", *_blocks(benchmark, item, item_text), window, keep_text=False)
+    names = ["n_words", "n_hit", "items", "spans"]
+    return found.select(F.col("key").alias(key), *(F.col(c).alias(n) for c, n in zip(_found_names(rows), names)))
+
 
+#: What is found in a document: words, words that are hit, items, removal spans.
+_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+_FOUND = [LongType(), LongType(), ArrayType(StringType()), ArrayType(_SPAN)]
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_RUNS_SQL = "array<struct<first:bigint,last:bigint>>"
 
-_FOUND_SQL = "_items array<string>, _words array<struct<first:bigint,last:bigint>>, _n bigint, _spans array<struct<start:bigint,end:bigint>>"
 
+def _found_names(docs: DataFrame) -> list[str]:
+    return unused(docs.columns, "_n", "_hit", "_items", "_spans")
 
-def _searched(docs: DataFrame, text: str, blocks: Iterator[list[tuple[str, str | None]]], window: int, keep_text: bool) -> DataFrame:
-    """``docs`` with what the blocks of items find: each block is a map over the rows of the one before."""
+
+def _searched(docs: DataFrame, text: str, count: int, blocks: Iterator[list[tuple[str, str | None]]], window: int, keep_text: bool) -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``) and what all blocks of items find, under ``_found_names``."""
     spark = docs.sparkSession
     ship(spark)
-    found = StructType.fromDDL(_FOUND_SQL)
-    rows = docs.select(*docs.columns, *(F.expr("0L" if f.name == "_n" else "array()").cast(f.dataType).alias(f.name) for f in found))
-    every = list(blocks)
-    for number, block in enumerate(every):
-        shared = spark.sparkContext.broadcast([(i if i is not None else "null", t) for i, t in block])
-        # Behind the last block the text may be left out.
-        names = [f.name for f in docs.schema if keep_text or number + 1 < len(every) or f.name != text]
-        schema = StructType([f for f in docs.schema if f.name in names] + list(found))
-        rows = rows.mapInArrow(_searcher(shared, window, text, names), schema)
-    return rows
+    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    added = [StructField(n, kind) for n, kind in zip(_found_names(docs), _FOUND)]
+    schema = StructType([f for f in docs.schema if f.name in names] + added)
+    if count == 1:
+        shared = spark.sparkContext.broadcast(next(blocks))
+        return docs.mapInArrow(_finder(shared, window, text, names), schema)
+
+    row, runs, items = unused(docs.columns, "_row", "_runs", "_items")
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    parts = []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        hits = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(_hits(shared, window), f"row bigint, items array<string>, runs {_RUNS_SQL}")
+        parts.append(stage(hits, "decontaminate-hits"))
+        shared.unpersist()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # As many runs and items as the blocks found in the document.
+    merged = every.groupBy(F.col("row").alias(row)).agg(
+        F.flatten(F.collect_list("runs")).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items)
+    )
+    return docs.join(merged, row, "left").mapInArrow(_merger(text, runs, items, names), schema)
 
 
 def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -234,36 +263,72 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
 
 
-def _searcher(shared, window: int, text: str, names: list[str]):
-    """Searches one block of items and adds its hits to those of the blocks before; ``names`` are passed on."""
+def _found(offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hit: np.ndarray, items: list[list[str]]) -> list[pa.Array]:
+    """The columns of ``_FOUND`` of a shard."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = total[first[1:]] - total[first[:-1]]
+    spans: list[list[dict[str, int]]] = [[] for _ in items]
+    for doc in np.flatnonzero(n_hit).tolist():
+        a = int(first[doc])
+        for s, e in zip(*_runs(hit[a : first[doc + 1]])):
+            spans[doc].append({"start": int(starts[a + s] - offsets[doc]), "end": int(ends[a + e - 1] - offsets[doc])})
+    kinds = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return [pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, kinds[0]), pa.array(spans, kinds[1])]
+
+
+def _items_of(phrases: Phrases, pairs: np.ndarray, rows: int) -> list[list[str]]:
+    items: list[set[str]] = [set() for _ in range(rows)]
+    for doc, found in pairs.tolist():
+        items[doc].update(phrases.names[i] for i in phrases.items[found])
+    return [sorted(x) for x in items]
+
+
+def _finder(shared, window: int, text: str, names: list[str]):
+    """Searches the only block of items; the columns ``names`` are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
-        for batch in gathered(batches, text, SLICE_BYTES):
+        for batch in gathered(batches, text, SHARD_BYTES):
             raw, offsets = text_view(batch.column(text))
             starts, ends, first, hit, pairs = shard_hits(phrases, raw, offsets)
-            items, before = batch.column("_items").to_pylist(), batch.column("_words").to_pylist()
-            for doc, found in pairs.tolist():
-                items[doc].extend(phrases.names[i] for i in phrases.items[found])
-            for doc, old in enumerate(before):
-                for x in old:
+            found = _found(offsets, starts, ends, first, hit, _items_of(phrases, pairs, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, *(f"found{i}" for i in range(4))])
+        release()
+
+    return run
+
+
+def _hits(shared, window: int):
+    """(row, items, runs of hit words) of the rows in which one of several blocks occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, window)
+        for batch in gathered(batches, "text", SHARD_BYTES):
+            raw, offsets = text_view(batch.column("text"))
+            _, _, first, hit, pairs = shard_hits(phrases, raw, offsets)
+            items = _items_of(phrases, pairs, batch.num_rows)
+            some = [doc for doc, x in enumerate(items) if x]
+            runs = [[{"first": s, "last": e} for s, e in zip(*_runs(hit[first[doc] : first[doc + 1]]))] for doc in some]
+            columns = [batch.column("row").take(pa.array(some, pa.int64())), pa.array([items[d] for d in some], pa.list_(pa.string())), pa.array(runs, _RUNS)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "items", "runs"])
+        release()
+
+    return run
+
+
+def _merger(text: str, runs: str, items: str, names: list[str]):
+    """Puts the runs of all blocks together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, text, SHARD_BYTES):
+            raw, offsets = text_view(batch.column(text))
+            starts, ends, first = words_of(lower_ascii(raw), offsets, _WORD_BYTE)
+            hit = np.zeros(len(starts), bool)
+            for doc, some in enumerate(batch.column(runs).to_pylist()):
+                for x in some or []:
                     hit[first[doc] + x["first"] : first[doc] + x["last"]] = True
-            total = np.concatenate([[0], np.cumsum(hit)])
-            words: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]
-            spans: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]
-            for doc in np.flatnonzero(total[first[1:]] > total[first[:-1]]).tolist():
-                a = int(first[doc])
-                for s, e in zip(*_runs(hit[a : first[doc + 1]])):
-                    words[doc].append({"first": s, "last": e})
-                    spans[doc].append({"start": int(starts[a + s] - offsets[doc]), "end": int(ends[a + e - 1] - offsets[doc])})
-            pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
-            found_ = [
-                pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
-                pa.array(words, pair("first", "last")),
-                pa.array(np.diff(first), pa.int64()),
-                pa.array(spans, pair("start", "end")),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found_], [*names, "_items", "_words", "_n", "_spans"])
+            found = _found(offsets, starts, ends, first, hit, [x or [] for x in batch.column(items).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, *(f"found{i}" for i in range(4))])
 
     return run
 
@@ -271,11 +336,16 @@ def _searcher(shared, window: int, text: str, names: list[str]):
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """``docs`` without the spans that occur in the benchmark; a line break stands for each, other texts stay as they are."""
-    rows = _searched(docs, text, _blocks(benchmark, item, item_text), window, keep_text=True)
+    """``docs`` without the spans that occur in the benchmark; a line break stands for each, other texts stay as they are.
+
+    Null and empty texts stay null and empty; all other columns are passed on, whatever their names. Empty tables
+    give no rows, or the rows as they are.
+    """
+    rows = _searched(docs, text, *_blocks(benchmark, item, item_text), window, keep_text=True)
+    spans = _found_names(docs)[3]
     kept = F.expr(f"""
-        aggregate(_spans, struct(CAST('' AS BINARY) AS kept, 0L AS at),
+        aggregate(`{spans}`, struct(CAST('' AS BINARY) AS kept, 0L AS at),
           (s, x) -> struct(concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), CAST('\\n' AS BINARY)) AS kept, x.end AS at),
           s -> concat(s.kept, substring(CAST(`{text}` AS BINARY), CAST(s.at + 1 AS INT))))""")
-    cleaned = F.when(F.size("_spans") > 0, F.decode(kept, "utf-8")).otherwise(F.col(text))
+    cleaned = F.when(F.size(spans) > 0, F.decode(kept, "utf-8")).otherwise(F.col(text))
     return rows.select(*(cleaned.alias(c) if c == text else c for c in docs.columns))

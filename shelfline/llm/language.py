@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfline.llm.common import ranges, ship, slices, text_view
+from shelfline.llm.common import drawn, ranges, ship, slices, text_view
 
 #: Documents of the training sample per language, cells of the compiled table, units of a bit.
 SAMPLE_DOCS, TABLE_CELLS, UNIT = 1500, 16 << 20, 1024
@@ -132,7 +132,7 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Trees | None:
-    """Trees from about ``sample`` rows per language, chosen by a hash of the key; None where there is nothing to learn from."""
+    """Trees from about ``sample`` rows per language, chosen by a hash of each row; None where there is nothing to learn from."""
     ship(docs.sparkSession)
     rows = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -143,7 +143,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     share = F.lit(0)
     for name in languages:
         share = F.when(F.col("lang") == name, min(1 << 20, -(-(sample << 20) // sizes[name]))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) < share).select("lang", "text")
+    chosen = drawn(rows, share, "key", "text").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -27,11 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.llm.common import ship, slices, text_view
+from shelfline.llm.common import drawn, ship, slices, text_view
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -239,13 +237,13 @@ def _attach(nodes: list[list[float]], stack: list[tuple[int, int]], node: list[f
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Judge | None:
-    """The judge, from about ``sample`` texts with a digit or an at sign, chosen by a hash; None without both classes."""
+    """The judge, from about ``sample`` texts with a digit or an at sign, chosen by a hash of each row; None without both classes."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.xxhash64(F.col(key), F.lit("personal")).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(r"[0-9@]|[(\[] ?at ?[)\]]"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[0-9@]|[(\[] ?at ?[)\]]"))
     n = rows.count()
     share = min(1 << 20, -(-(sample << 20) // max(n, 1)))
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < share)
+    rows = drawn(rows, share, "key", "text").select(F.xxhash64("key", "text", F.monotonically_increasing_id()).alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -267,6 +265,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     fitted = ~check
     if len(set(label[fitted].tolist())) < 2 or not check.any():
         return None
+    # Only the driver fits: workers do not load the library for it.
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import DenseVector
+
     training = spark.createDataFrame([(DenseVector(v), float(y)) for v, y in zip(x[fitted], label[fitted])], ["features", "label"]).coalesce(1)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(training)
     judge = Judge(parse_trees(model.toDebugString, list(model.treeWeights)), list(model.treeWeights), [math.inf] * len(KINDS))

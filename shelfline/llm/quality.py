@@ -24,8 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.lineage import stage
@@ -168,6 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(q) for q in QUESTIONS)], ["x", *QUESTIONS])
 
     training = stage(rows.where("NOT half").mapInArrow(features, "x array<double>, low int, toxic int"), "quality-features")
+    # Only the driver fits: workers do not load the library for it.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     training = training.withColumn("features", array_to_vector("x")).coalesce(4)
     parts = []
     for q in QUESTIONS:

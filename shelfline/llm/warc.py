@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.lineage import fresh_path, stage
-from shelfline.llm.common import ship
+from shelfline.llm.common import drawn, ship
 
 #: Leading skippable frame of dictionary-compressed WARC files; a fixed value of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -167,8 +167,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     ship(spark)
     folder = folder or fresh_path(spark, "warc")
     # A share of the rows chosen by a hash, about SAMPLE_RECORDS of them whatever the number of rows.
-    share = min(1 << 30, -(-(SAMPLE_RECORDS << 30) // max(1, pages.count())))
-    some = pages.where(F.pmod(F.xxhash64("page_id", F.lit("dictionary")), F.lit(1 << 30)) < share).where("html IS NOT NULL")
+    share = min(1 << 20, -(-(SAMPLE_RECORDS << 20) // max(1, pages.count())))
+    some = drawn(pages.select("page_id", "html"), share, "page_id").where("html IS NOT NULL")
     some = some.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
     samples = [record_bytes(r.page_id, None, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in some]
     dictionary = train_dictionary(samples)

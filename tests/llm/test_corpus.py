@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfline.llm import decontaminate, host_rules, jaccard, mixing, substrings, warc
+from shelfline.llm.common import drawn
 
 from .conftest import PROSE
 
@@ -208,6 +210,34 @@ def test_decontamination(spark, docs, odd_rows, block, monkeypatch):
     assert decontaminate.benchmark_hits(docs(rows), items.limit(0)).where("n_hit > 0").isEmpty()
 
 
+def test_many_blocks_and_clashing_names(spark, docs, odd_rows, monkeypatch):
+    """Fifty blocks of items find what one block finds; columns may have the names used inside."""
+    rows = odd_rows + HOLDERS
+    items = spark.createDataFrame([*ITEMS, *((100 + i, f"talk about rain number {i}") for i in range(80)), (9, PROSE)], "item_id long, text string")
+    names = ["_n", "_hit", "_items", "_spans", "_row", "_runs", "_words", "__N"]
+    table = docs(rows).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    want = [Counter(map(str, f(table, items).collect())) for f in (decontaminate.benchmark_hits, decontaminate.decontaminated)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", decontaminate_bytes(items) // 25)
+    assert decontaminate._blocks(items, "item_id", "text")[0] >= 50
+    got = [Counter(map(str, f(table, items).collect())) for f in (decontaminate.benchmark_hits, decontaminate.decontaminated)]
+    assert got == want
+    assert decontaminate.decontaminated(table, items).columns == table.columns
+
+
+def decontaminate_bytes(items):
+    return items.agg(F.sum(F.octet_length("text") + 64)).first()[0]
+
+
+def test_one_repeated_key_is_sampled(spark, docs):
+    """Rows that share a key, or have none, are drawn each by itself."""
+    for key in (None, 7):
+        table = docs([(key, f"text {i}", "en", "a") for i in range(4000)])
+        some = drawn(table, 1 << 18, "doc_id")
+        assert 800 < some.count() < 1200 and some.columns == table.columns
+    same = docs([(7, "same", "en", "a")] * 4000)
+    assert 800 < drawn(same, 1 << 18, "doc_id", "text").count() < 1200
+
+
 def test_rules(docs, odd_rows):
     def plain(text):
         text = text or ""
@@ -318,3 +348,46 @@ def test_mix(docs, odd_rows):
         assert sum(r.take_tokens < r.n_tokens for r in own) <= 1
         assert all(r.take_tokens == r.n_tokens for r in own if r.epoch < last)
     assert mixing.mix(docs(rows).limit(0)).count() == 0
+
+
+def one_group(n, seed=1):
+    """Near copies of one text of 120 words, two random words of each changed: links are many and all in few components."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    base, out = rng.choices(words, k=120), []
+    for i in range(n):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(120)] = rng.choice(words)
+        out.append((i, " ".join(text), "en", "a"))
+    return out
+
+
+def test_pairs_grow_with_the_group(spark, docs, monkeypatch):
+    """A group of near copies is verified with about as many pairs as it has texts, and no link between components is lost."""
+    real, asked = jaccard.verified, []
+
+    def counted(pairs, sets, *rest):
+        pairs = jaccard.stage(pairs, "test-pairs")
+        asked.append(pairs.count())
+        return real(pairs, sets, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    totals = []
+    for n in (200, 600):
+        asked.clear()
+        rows = one_group(n)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(rows)).collect())
+        assert got == plain_components(rows)
+        totals.append(sum(asked))
+    assert totals[0] <= 3 * 200 and totals[1] <= 3 * 600
+
+
+def test_both_ways_of_uniting_edges(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges = spark.createDataFrame(rows, "x bigint, y bigint").repartition(4).where("x <> y")
+    small = {r.rid: r.label for r in jaccard.components(edges).collect()}
+    monkeypatch.setattr(jaccard, "FEW_EDGES", 10)
+    assert {r.rid: r.label for r in jaccard.components(edges).collect()} == small
+    assert len({small[1000 + i] for i in range(41)}) == 1
