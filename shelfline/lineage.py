@@ -7,13 +7,17 @@ temporary folder of the machine, because there driver and executors share it.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+#: Folders that this application has named and not removed.
+_named: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +37,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new sub-folder name; never reused, so nothing is overwritten."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def remove(path: str) -> None:
+    """Delete a folder, if it is there."""
+    system, place = fs.FileSystem.from_uri(path)
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        system.delete_dir(place)
+
+
+def clear(keep: Sequence[str] = (), since: int = 0) -> None:
+    """Delete the folders that this application has named since a point, but those of ``keep``.
+
+    To be called once results are written elsewhere: a frame that still reads from one of them is lost.
+    """
+    for path in _named[since:]:
+        if path not in keep:
+            remove(path)
+    _named[since:] = [p for p in _named[since:] if p in keep]
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Delete at the end what was named inside, but the folders put on the list."""
+    since, keep = len(_named), []
+    try:
+        yield keep
+    finally:
+        clear(keep, since)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,6 +84,10 @@ def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     With ``by``, the table has a folder per value of these columns, so that a filter on them
     opens only its own folders.
     """
-    path = fresh_path(df.sparkSession, label)
+    return stage_at(fresh_path(df.sparkSession, label), df, by)
+
+
+def stage_at(path: str, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``stage`` at a given place."""
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
