@@ -116,6 +116,24 @@ def submission_checks(spark, sf):
     return nulls.unionByName(checks.key_mismatches(out, template, "id"))
 
 
+@query(
+    "g20_planted_checks",
+    DAILY
+    + """SELECT 'null_cells' AS check_name, 28 * count(*) FILTER (WHERE store_id = 'EUROPE') AS violations FROM ids
+UNION ALL SELECT 'key_mismatches', 2 * count(*) FILTER (WHERE store_id = 'ASIA') + 1 FROM ids""",
+)
+def planted_submission_checks(spark, sf):
+    """A submission without one store, with empty cells for another and with a surplus id."""
+    template = retail.template(spark, sf)
+    labels = [f"F{n}" for n in range(1, 29)]
+    whole = submission(_recursive(spark, sf, [1.0]), template, SPLIT + timedelta(days=1), 28)
+    surplus = whole.limit(1).withColumn("id", F.lit("surplus_validation"))
+    some = whole.where("id NOT LIKE '%_ASIA_%'").unionByName(surplus.na.fill(0.0, labels))
+    empty = F.col("id").like("%_EUROPE_validation")
+    broken = some.withColumns({c: F.when(~empty, F.col(c)) for c in labels})
+    return checks.null_cells(broken, labels).unionByName(checks.key_mismatches(broken, template, "id"))
+
+
 _BT_FOLDS, _BT_TRAIN, _BT_TEST, _BT_LAST, _BT_LINE = 10, 104, 4, 357, 26
 
 

@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.catalog.base import CAL, DAILY, WEEKLY, query, r6
+from shelfline.catalog.base import CAL, DAILY, DAILY_SOLD, WEEKLY, query, r6
 from shelfline.functions.rolling import along, with_count_rolling
 from shelfline.functions.scalars import price_bin
+from shelfline.lineage import stage
 from shelfline.operators import checks, clean, reshape
 from shelfline.operators.prices import with_price_per_day
 from shelfline.sources import files, retail
@@ -27,23 +28,31 @@ def _wide_cols(first: int, last: int) -> str:
     return ", ".join(f"max(CASE WHEN cal.dn = {n} THEN demand END) AS d_{n}" for n in range(first, last + 1))
 
 
+#: Days of the whole wide table.
+_ALL = retail.days_in_span()
+
+
+def _wide_file(spark, sf) -> DataFrame:
+    """The wide table with a column for every day, written and read back."""
+    return stage(retail.wide_sales(spark, sf, 1, _ALL), "wide-sales")
+
+
 @query(
     "s03_day_range_columns",
     DAILY
     + f"SELECT id, item_id, dept_id, cat_id, store_id, state_id, {_wide_cols(11, 40)} FROM daily JOIN cal USING (date) GROUP BY ALL",
 )
 def day_range_columns(spark, sf):
-    wide = retail.wide_sales(spark, sf, 1, 56)
-    return files.select_days(wide, retail.IDS, 11, 40)
+    """Thirty of all day columns; only these are read from the file."""
+    return files.select_days(_wide_file(spark, sf), retail.IDS, 11, 40)
 
 
 @query(
     "p01_melt_wide_days",
-    DAILY + "SELECT id, item_id, store_id, cal.d, demand FROM daily JOIN cal USING (date) WHERE cal.dn BETWEEN 1 AND 56",
+    DAILY + "SELECT id, item_id, store_id, cal.d, demand FROM daily JOIN cal USING (date)",
 )
 def melt_wide_days(spark, sf):
-    wide = retail.wide_sales(spark, sf, 1, 56)
-    return reshape.melt(wide, ["id", "item_id", "store_id"], files.day_columns(1, 56), "d", "demand")
+    return reshape.melt(_wide_file(spark, sf), ["id", "item_id", "store_id"], files.day_columns(1, _ALL), "d", "demand")
 
 
 _PIVOT28 = ", ".join(f"max(CASE WHEN date = DATE '2001-10-07' + {n} THEN demand END) AS F{n}" for n in range(1, 29))
@@ -121,8 +130,7 @@ def regex_columns(spark, sf):
     DAILY + "SELECT id, date, demand FROM daily WHERE date BETWEEN DATE '1999-03-01' AND DATE '1999-06-30'",
 )
 def date_window_clip(spark, sf):
-    df = retail.daily_series(spark, sf).select("id", "date", "demand")
-    return df.filter(F.col("date").between(F.lit(date(1999, 3, 1)), F.lit(date(1999, 6, 30))))
+    return retail.daily_window(spark, sf, date(1999, 3, 1), date(1999, 6, 30)).select("id", "date", "demand")
 
 
 @query(
@@ -134,6 +142,23 @@ def day_membership(spark, sf):
     return df.filter(F.col("event_type").isin("click", "purchase"))
 
 
+@query(
+    "p09_long_day_list",
+    "WITH "
+    + DAILY_SOLD
+    + """, busy AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders GROUP BY 1 HAVING count(*) >= 3)
+SELECT id, date, demand FROM sold WHERE date IN (SELECT date FROM busy)""",
+)
+def long_day_list(spark, sf):
+    """Sales on the days of a list that is a table itself; facts are kept by month, so other months are not read."""
+    month = F.date_trunc("month", "date").cast("date")
+    sold = retail.daily_sold(spark, sf).select("id", "date", "demand", month.alias("month"))
+    sold = stage(sold.repartition("month"), "sold-by-month", by=["month"])
+    orders = files.table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date"))
+    busy = orders.agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("date", month.alias("month"))
+    return clean.members(sold, busy, ["month", "date"]).drop("month")
+
+
 @query(
     "p10_drop_nulls",
     DAILY
@@ -165,8 +190,9 @@ def trim_before_release(spark, sf):
     DAILY + "SELECT id, date, demand FROM daily WHERE store_id = 'ASIA' AND cat_id = 'HIGH'",
 )
 def segment_filter(spark, sf):
-    df = retail.daily_series(spark, sf)
-    return df.filter((F.col("store_id") == "ASIA") & (F.col("cat_id") == "HIGH")).select("id", "date", "demand")
+    # The segment is cut out of the sales, before days without a sale are filled in.
+    sold = retail.daily_sold(spark, sf).filter((F.col("store_id") == "ASIA") & (F.col("cat_id") == "HIGH"))
+    return retail.daily_series(spark, sf, sold).select("id", "date", "demand")
 
 
 _TEMPLATE = DAILY + ", template AS (SELECT id || half AS id FROM ids CROSS JOIN (VALUES ('_validation'), ('_evaluation')) h(half))\n"
@@ -227,6 +253,28 @@ def narrow_types(spark, sf):
     return clean.narrow_types(files.table(spark, sf, "lineitem"))[1]
 
 
+_NARROWED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+
+
+@query(
+    "p16_narrowed_rows",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n, sum(CAST({c} AS DOUBLE)) AS total, min(CAST({c} AS DOUBLE)) AS low, max(CAST({c} AS DOUBLE)) AS high,"
+        f" CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM lineitem"
+        for c in _NARROWED
+    ),
+)
+def narrowed_rows(spark, sf):
+    """Checksums of every whole-number column of the narrowed table: nothing is lost with the width."""
+    narrowed, _ = clean.narrow_types(files.table(spark, sf, "lineitem"))
+    narrowed = stage(narrowed.select(*_NARROWED), "narrowed")
+    cells = narrowed.select(*(F.col(c).cast("double").alias(c) for c in _NARROWED)).unpivot([], _NARROWED, "column_name", "x")
+    x = F.col("x")
+    return cells.groupBy("column_name").agg(
+        F.count(x).alias("n"), F.sum(x).alias("total"), F.min(x).alias("low"), F.max(x).alias("high"), F.count_distinct(x).alias("n_distinct")
+    )
+
+
 @query(
     "p17_cast_to_schema",
     "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders",
@@ -382,6 +430,24 @@ def output_checks(spark, sf):
     return reduce(DataFrame.unionByName, found)
 
 
+@query(
+    "p31_planted_checks",
+    "WITH "
+    + DAILY_SOLD
+    + """, late AS (SELECT DISTINCT id FROM sold WHERE date > DATE '2001-10-28'),
+early AS (SELECT id, count(*) AS n FROM sold WHERE date <= DATE '1995-02-05' GROUP BY id)
+SELECT 'null_cells' AS check_name, (SELECT count(*) FROM ids WHERE id NOT IN (SELECT id FROM early)) + (SELECT count(*) FROM ids WHERE id NOT IN (SELECT id FROM late)) AS violations
+UNION ALL SELECT 'key_mismatches', (SELECT count(*) FROM (SELECT id FROM late EXCEPT SELECT id FROM early)) + (SELECT count(*) FROM (SELECT id FROM early EXCEPT SELECT id FROM late))""",
+)
+def planted_checks(spark, sf):
+    """Tables with real gaps: series of the last week against those of the first five, and what an outer join leaves null."""
+    sold = retail.staged_daily_sold(spark, sf)
+    late = sold.where("date > DATE '2001-10-28'").select("id").distinct()
+    early = sold.where("date <= DATE '1995-02-05'").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = sold.select("id").distinct().join(early, "id", "left").join(late.withColumn("late", F.lit(True)), "id", "left")
+    return checks.null_cells(both, ["n", "late"]).unionByName(checks.key_mismatches(late, early, "id"))
+
+
 @query(
     "p32_history_splice",
     DAILY
@@ -389,7 +455,9 @@ def output_checks(spark, sf):
 WINDOW w AS (PARTITION BY id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE date > {_SPLIT}""",
 )
 def history_splice(spark, sf):
-    df = retail.daily_series(spark, sf).select("id", "date", "demand")
+    # The splice keeps 60 days of history; a quarter is read.
+    df = retail.daily_window(spark, sf, _LAST28 - timedelta(days=91), retail.SPAN_END).select("id", "date", "demand")
+    df = stage(df, "splice-days")
     history, score = df.filter(F.col("date") < F.lit(_LAST28)), df.filter(F.col("date") >= F.lit(_LAST28))
 
     def features(rows):

@@ -129,3 +129,11 @@ def clamp_at_zero(x: Column) -> Column:
 
 def undo_log_difference(shifted: Column, change: Column) -> Column:
     return F.expm1(shifted + change)
+
+
+def members(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose ``keys`` are in the table ``chosen``, however long it is.
+
+    A key that is a folder of ``df`` prunes the scan at run time to the folders the list names.
+    """
+    return df.join(chosen.select(*keys).distinct(), list(keys), "left_semi")
