@@ -65,8 +65,8 @@ def _poisson():
     return ml.count_regression(COLUMNS, "demand", "poisson", reg=0.01)
 
 
-@query("g08_boosted_trees", _LATE)
-def boosted_trees(spark, sf):
+@query("g08_predictions")
+def tree_predictions(spark, sf):
     """Weighted boosting with early stopping on the last 28 training days."""
     train, test = _train_test(spark, sf)
     train = train.withColumns(
@@ -76,7 +76,12 @@ def boosted_trees(spark, sf):
         }
     )
     fitted = ml.boosted_trees(COLUMNS, "demand", "w", "is_validation", ["dow", "month"], maxIter=10, maxDepth=4).fit(train)
-    return fitted.transform(test).select("id", "date", "demand", _usable("prediction"))
+    return fitted.transform(test).select("id", "date", "demand", "prediction")
+
+
+@query("g08_boosted_trees", _LATE)
+def boosted_trees(spark, sf):
+    return tree_predictions(spark, sf).select("id", "date", "demand", _usable("prediction"))
 
 
 @query(
@@ -84,18 +89,29 @@ def boosted_trees(spark, sf):
     f"SELECT unnest({COLUMNS}) AS feature, true AS is_share, true AS add_up",
 )
 def tree_importances(spark, sf):
-    train, _ = _train_test(spark, sf)
-    fitted = ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=5, maxDepth=4).fit(train)
-    found = ml.importances(fitted, COLUMNS, train)
+    found = importance_shares(spark, sf)
     total = found.agg(F.sum("importance")).first()[0]
     return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-9).alias("add_up"))
 
 
-@query("g09_tweedie_regression", _LATE)
-def tweedie_regression(spark, sf):
+@query("g08_importance_shares")
+def importance_shares(spark, sf):
+    """The share of every feature in the gain of the trees."""
+    train, _ = _train_test(spark, sf)
+    fitted = ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=5, maxDepth=4).fit(train)
+    return ml.importances(fitted, COLUMNS, train)
+
+
+@query("g09_tweedie_predictions")
+def tweedie_predictions(spark, sf):
     train, test = _train_test(spark, sf)
     fitted = ml.count_regression(COLUMNS, "demand", "tweedie", 1.1).fit(train)
-    return fitted.transform(test).select("id", "date", "demand", _usable("prediction"))
+    return fitted.transform(test).select("id", "date", "demand", "prediction")
+
+
+@query("g09_tweedie_regression", _LATE)
+def tweedie_regression(spark, sf):
+    return tweedie_predictions(spark, sf).select("id", "date", "demand", _usable("prediction"))
 
 
 @query("g09_poisson_regression", DAILY + " SELECT sum(demand) AS demand, true AS adds_up FROM daily WHERE date <= DATE '2001-10-07'")
@@ -180,6 +196,16 @@ def _documents(spark, sf) -> DataFrame:
     """SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS grade, true AS adds_up, true AS decoded FROM documents JOIN labels USING (doc_id)""",
 )
 def classification(spark, sf):
+    """Probabilities add up, and the decoded label is the likelier one."""
+    out = class_predictions(spark, sf)
+    # Labels are numbered in order of names: class 0 is "good".
+    likely = F.when(F.col("class_0") >= F.col("class_1"), "good").otherwise("poor")
+    sums = F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9
+    return out.select("doc_id", "grade", sums.alias("adds_up"), (F.col("predicted") == likely).alias("decoded"))
+
+
+@query("g10_class_predictions")
+def class_predictions(spark, sf):
     """Class probabilities and decoded labels for every labelled document, out of fold."""
     docs = folds.random_folds(_documents(spark, sf), "doc_id", 2, [5])
     parts = []
@@ -188,11 +214,7 @@ def classification(spark, sf):
         fitted = ml.classifier(_DOC_COLUMNS, "grade", docs, numTrees=20, maxDepth=5).fit(train)
         scored = ml.with_class_probabilities(fitted.transform(docs.filter(F.col("fold") == fold)), 2)
         parts.append(scored.select("doc_id", "grade", "predicted", "class_0", "class_1"))
-    out = reduce(DataFrame.unionByName, parts)
-    # Labels are numbered in order of names: class 0 is "good".
-    likely = F.when(F.col("class_0") >= F.col("class_1"), "good").otherwise("poor")
-    sums = F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9
-    return out.select("doc_id", "grade", sums.alias("adds_up"), (F.col("predicted") == likely).alias("decoded"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _curve(spark, sf) -> tuple[int, DataFrame]:
@@ -268,12 +290,17 @@ def segment_lines(spark, sf):
     DAILY + " SELECT id, CAST(DATE '2001-11-04' + CAST(n AS INTEGER) AS DATE) AS date, true AS predicted FROM ids, range(1, 29) t(n)",
 )
 def direct_forecast(spark, sf):
+    return direct_predictions(spark, sf).select("id", "date", _usable("prediction"))
+
+
+@query("g13_direct_predictions")
+def direct_predictions(spark, sf):
     """All 28 days after the end of the data at once."""
     daily = retail.daily_series(spark, sf).select("id", "date", "demand")
     rows = stage(direct_features(add_horizon(daily, ["id"], retail.SPAN_END, 28)), "direct-features")
     fitted = _poisson().fit(rows.filter("demand IS NOT NULL"))
     ahead = fitted.transform(rows.filter("demand IS NULL"))
-    return ahead.select("id", "date", _usable("prediction"))
+    return ahead.select("id", "date", "prediction")
 
 
 _SHORT = ["lag_1", "lag_7", "mean_1_7", "dow"]
@@ -307,12 +334,28 @@ def recursive_model(spark, sf):
     return recursive_with_arrays(train, SPLIT, 28, 14, short_matrix, as_arrays(fitted))
 
 
-@query("g16_fold_ensemble", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
-def fold_ensemble(spark, sf):
+def _ensemble(spark, sf, make) -> tuple[DataFrame, list, DataFrame]:
     train, test = _train_test(spark, sf)
     folded = folds.sliding_time_folds(train, "date", 3, 730, 56)
-    mean, _ = ml.fold_ensemble(folded, test, 3, _poisson, ["id", "date"])
-    return mean.select("id", "date", _usable("prediction"))
+    return *ml.fold_ensemble(folded, test, 3, make, ["id", "date"]), train
+
+
+@query("g16_fold_ensemble", DAILY + " SELECT id, date, true AS predicted FROM daily WHERE date > DATE '2001-10-07'")
+def fold_ensemble(spark, sf):
+    return ensemble_predictions(spark, sf).select("id", "date", _usable("prediction"))
+
+
+@query("g16_ensemble_predictions")
+def ensemble_predictions(spark, sf):
+    """The mean of the models of three sliding training windows."""
+    return _ensemble(spark, sf, _poisson)[0]
+
+
+@query("g16_mean_importances")
+def ensemble_importances(spark, sf):
+    """The mean share of every feature over the trees of the three windows."""
+    _, models, train = _ensemble(spark, sf, lambda: ml.boosted_trees(COLUMNS, "demand", categories=["dow", "month"], maxIter=5, maxDepth=4))
+    return ml.mean_importances(models, COLUMNS, train)
 
 
 _ORDER_COLUMNS = ["month", "dow", "priority"]
@@ -515,18 +558,24 @@ def cross_validated_probabilities(spark, sf):
     return validation.cross_validate(folded, candidates, "label", [right, validation.ROC_AUC, validation.LOG_LOSS], ["doc_id"]).statistics
 
 
-@query("g19_random_search", "SELECT i::BIGINT AS place, true AS in_range, true AS ranked FROM range(1, 13) t(i)")
-def random_search(spark, sf):
+@query("g19_search_table")
+def search_table(spark, sf):
+    """All hundred tries with their settings and scores, best first."""
     df = folds.evaluation_split(_orders(spark, sf), "random", "o_orderkey", 0.25, 3)
-    found = ml.random_search(
+    return ml.random_search(
         df.filter("NOT is_validation"),
         df.filter("is_validation"),
         _linear,
         {"reg": (0.0, 5000.0), "mix": (0.0, 1.0)},
-        12,
+        100,
         "o_totalprice",
         metrics.rmse,
     )
+
+
+@query("g19_random_search", "SELECT i::BIGINT AS place, true AS in_range, true AS ranked FROM range(1, 101) t(i)")
+def random_search(spark, sf):
+    found = search_table(spark, sf)
     # A row per try: the table of tries is as long as their number.
     by = Window.orderBy("score", "iteration")
     inside = F.col("reg").between(0, 5000) & F.col("mix").between(0, 1) & (F.col("score") > 0)
