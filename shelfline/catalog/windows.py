@@ -233,21 +233,20 @@ def running_by_id(spark, sf):
 
 @query("w15_running_sum_by_store", _running_sql([("monthly_demand_by_store", ["store_id"], "month")]))
 def running_by_store(spark, sf):
-    out = period_running_totals(_shifted(spark, sf), "month", {"monthly_demand_by_store": ["store_id"]}, "shifted")
+    out = period_running_totals(_shifted(spark, sf), {"monthly_demand_by_store": ("month", ["store_id"])}, "shifted")
     return out.select("id", "date", "monthly_demand_by_store")
 
 
 @query("w15_running_sum_by_item", _running_sql([("weekly_demand_by_item_id", ["item_id"], "week")]))
 def running_by_item(spark, sf):
-    out = period_running_totals(_shifted(spark, sf), "week", {"weekly_demand_by_item_id": ["item_id"]}, "shifted")
+    out = period_running_totals(_shifted(spark, sf), {"weekly_demand_by_item_id": ("week", ["item_id"])}, "shifted")
     return out.select("id", "date", "weekly_demand_by_item_id")
 
 
 @query("w16_running_sum_all", _running_sql([("monthly_demand", [], "month"), ("weekly_demand", [], "week")]))
 def running_all(spark, sf):
-    df = period_running_totals(_shifted(spark, sf), "month", {"monthly_demand": []}, "shifted")
-    df = period_running_totals(df, "week", {"weekly_demand": []}, "shifted")
-    return df.select("id", "date", "monthly_demand", "weekly_demand")
+    names = {"monthly_demand": ("month", []), "weekly_demand": ("week", [])}
+    return period_running_totals(_shifted(spark, sf), names, "shifted").select("id", "date", *names)
 
 
 def _group_roll_sql(key: str) -> str:

@@ -86,13 +86,13 @@ def with_count_rolling(
 
     ``specs`` holds (name, shift, width, stat). Each statistic is the difference of two
     running totals (count, sum, sum of squares) taken at two lags, so a width of 180 costs
-    as much as a width of 7. The rounded mean of the series is taken off first: totals of
-    what is left are exact up to 2**53 however large the values are. Use :func:`rolling` for
+    as much as a width of 7. The first value of the series is taken off first: totals of
+    what is left are exact up to 2**53 however large the level of the series is. Use :func:`rolling` for
     fractional columns.
     """
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("_offset", F.coalesce(F.round(F.avg(F.col(x).cast("double")).over(whole)), F.lit(0.0)))
+    # The same for all rows from the first value on; the rows before it have no statistic.
+    df = df.withColumn("_offset", F.coalesce(F.first(F.col(x).cast("double"), ignorenulls=True).over(to_here), F.lit(0.0)))
     v = F.col(x).cast("double") - F.col("_offset")
     totals = F.struct(
         F.count(v).over(to_here).alias("n"),

@@ -39,27 +39,39 @@ def running_total_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
 
 
 def period_running_totals(
-    df: DataFrame, unit: str, groups: Mapping[str, Sequence[str]], value: str, key: str = "id", day: str = "date"
+    df: DataFrame, totals: Mapping[str, tuple[str, Sequence[str]]], value: str, key: str = "id", day: str = "date"
 ) -> DataFrame:
-    """Running totals inside a calendar period, over all series of a group in (series, day) order.
+    """Running totals inside calendar periods, over all series of a group in (series, day) order.
 
-    ``groups`` maps output names to group keys. The total at a row is the sum of the earlier
-    series of the group in that period plus the running total of its own series, so only the
-    (series, period) sums are ordered across series.
+    ``totals`` maps output names to a period (month, week, ...) and group keys. The total at a row is the sum
+    of the earlier series of the group in that period plus the running total of its own series, so
+    only the (series, period) sums are ordered across series; all periods share one such pass per group.
     """
-    dated = df.withColumn("_period", F.date_trunc(unit, day).cast("date"))
-    keys = sorted({k for ks in groups.values() for k in ks})
-    sums = cut(dated.groupBy(key, *keys, "_period").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum")))
-    for name, by in groups.items():
-        sums = running_total_by(sums, [*by, "_period"], [key], "_sum", f"_to_{name}")
+
+    def period(unit: str) -> Column:
+        return F.struct(F.lit(unit).alias("unit"), F.date_trunc(unit, day).cast("date").alias("start"))
+
+    units = sorted({unit for unit, _ in totals.values()})
+    groups = sorted({tuple(by) for _, by in totals.values()})
+    keys = sorted({k for by in groups for k in by})
+    cells = df.select(key, *keys, F.col(value).alias("_x"), F.explode(F.array(*map(period, units))).alias("_period"))
+    sums = cut(cells.groupBy(key, *keys, "_period").agg(F.coalesce(F.sum("_x"), F.lit(0.0)).alias("_sum")))
+    for i, by in enumerate(groups):
+        sums = running_total_by(sums, [*by, "_period"], [key], "_sum", f"_to_{i}")
     # One row per series with a small map period -> offsets: the rows keep their partitioning.
-    before = F.struct(*[(F.col(f"_to_{n}") - F.col("_sum")).alias(n) for n in groups])
+    before = F.struct(*[(F.col(f"_to_{i}") - F.col("_sum")).alias(f"g{i}") for i in range(len(groups))])
     earlier = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_period", before))).alias("_before"))
-    own = Window.partitionBy(key, "_period").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    out = dated.withColumn("_own", F.sum(value).over(own)).join(earlier, key, "left")
-    offset = F.try_element_at("_before", F.col("_period"))
-    total = {n: F.when(F.col(value).isNotNull(), F.col("_own") + offset[n]) for n in groups}
-    return out.withColumns(total).drop("_period", "_own", "_before")
+
+    def own(unit: str) -> Column:
+        w = Window.partitionBy(key, F.date_trunc(unit, day)).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(value).over(w)
+
+    out = df.withColumns({f"_own_{u}": own(u) for u in units}).join(earlier, key, "left")
+    found = {
+        name: F.when(F.col(value).isNotNull(), F.col(f"_own_{u}") + F.try_element_at("_before", period(u))[f"g{groups.index(tuple(by))}"])
+        for name, (u, by) in totals.items()
+    }
+    return out.withColumns(found).drop("_before", *(f"_own_{u}" for u in units))
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:

@@ -52,10 +52,9 @@ def period_totals_by_id(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 def period_totals_by_group(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Running totals per month and week over all series of a store and of an item."""
-    for unit, label in (("month", "monthly"), ("week", "weekly")):
-        groups = {f"{label}_demand_by_store": ["store_id"], f"{label}_demand_by_item_id": ["item_id"]}
-        df = period_running_totals(df, unit, groups, target)
-    return df
+    units, groups = {"monthly": "month", "weekly": "week"}, {"store": ["store_id"], "item_id": ["item_id"]}
+    totals = {f"{label}_demand_by_{g}": (unit, by) for label, unit in units.items() for g, by in groups.items()}
+    return period_running_totals(df, totals, target)
 
 
 def _date_columns(drop: set[str]) -> dict:
