@@ -32,6 +32,13 @@ def count_words(text: str) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("bigint")
 
 
+def first_words(text: str, take: str, have: str) -> Column:
+    """The first ``take`` words of ``text`` with a space between, or the text as it is where these are all ``have`` of them."""
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), " ")
+    return F.when(F.col(take) < F.col(have), cut).otherwise(F.col(text))
+
+
 def source_domain(source: str, domains: int = 4) -> Column:
     """A domain name for sources that have none of their own: one of ``domains``, by md5 of the source."""
     return F.concat(F.lit("domain"), F.conv(F.substring(F.md5(F.coalesce(F.col(source), F.lit(NONE))), 1, 4), 16, 10).cast("int") % domains)
@@ -85,9 +92,12 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     domain: Column | None = None,
+    keep_text: bool = False,
 ) -> DataFrame:
     """A row per document and epoch in which it is used: key, domain, lang, source, epoch, n_tokens, take_tokens.
 
+    With ``keep_text`` the text follows, cut behind its first ``take_tokens`` tokens where they are not all.
+
     The budget is ``share`` of all tokens (words between white space), rounded down. An epoch
     but the last of a leaf takes whole documents; the last takes the prefix of its order that
     the budget still pays, so one document may give only its first ``take_tokens`` tokens. A
@@ -100,8 +110,14 @@ def mix(
     """
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     domain = source_domain("source") if domain is None else domain
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(domain, F.lit(NONE)).alias("domain"), named("lang").alias("lang"), named("source").alias("source"), count_words(text).alias("n_tokens"))
-    rows = stage(rows, "mixing-counts")
+    columns = [F.col(key).alias("key"), F.coalesce(domain, F.lit(NONE)).alias("domain"), named("lang").alias("lang"), named("source").alias("source"), count_words(text).alias("n_tokens")]
+    if keep_text:
+        # The rows are written once with a number; counts are planned with, and texts join the plan at its end.
+        docs = stage(docs.select(*columns, F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "mixing-texts")
+        rows = docs.drop("text")
+    else:
+        rows = stage(docs.select(*columns), "mixing-counts")
+    marks = ["row"] if keep_text else []
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     leaves = leaf_budgets(leaves, F.floor(F.sum("tokens") * F.lit(share)), weights or {}, max_epochs)
     leaves = leaves.withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
@@ -115,11 +131,14 @@ def mix(
     totals = totals.withColumn("before", F.coalesce(F.sum("sum").over(so_far), F.lit(0))).where("before < rest")
     totals = totals.select(*LEVELS, "range", "before", (F.col("before") + F.col("sum") > F.col("rest")).alias("ends"))
     front = placed.join(totals, [*LEVELS, "range"])
-    columns = [F.col("key").alias(key), *LEVELS, F.col("last").cast("bigint").alias("epoch"), "n_tokens"]
+    columns = [F.col("key").alias(key), *LEVELS, F.col("last").cast("bigint").alias("epoch"), "n_tokens", *marks]
     whole = front.where("NOT ends").select(*columns, F.col("n_tokens").alias("take_tokens"))
     inside = Window.partitionBy(*LEVELS).orderBy("order", "n_tokens", "key").rowsBetween(Window.unboundedPreceding, -1)
     edge = front.where("ends").withColumn("paid", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     edge = edge.where("paid < rest").select(*columns, F.least("n_tokens", F.col("rest") - F.col("paid")).alias("take_tokens"))
     epochs = placed.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))))
-    epochs = epochs.select(F.col("key").alias(key), *LEVELS, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
-    return whole.unionByName(edge).unionByName(epochs)
+    epochs = epochs.select(F.col("key").alias(key), *LEVELS, "epoch", "n_tokens", *marks, F.col("n_tokens").alias("take_tokens"))
+    out = whole.unionByName(edge).unionByName(epochs)
+    if not keep_text:
+        return out
+    return out.join(docs.select("row", "text"), "row").drop("row").withColumn("text", first_words("text", "take_tokens", "n_tokens"))

@@ -166,6 +166,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_spec(spec: dict) -> None:
+    """Raise ValueError for a tokenizer file that counts by other rules than those compiled here.
+
+    Known are byte-level BPE files with the usual splitter, without normalizer, and with added
+    tokens that are matched as they stand. Truncation, padding and post-processing play no part in counts.
+    """
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    wrong = []
+    if spec.get("normalizer") is not None:
+        wrong.append("normalizer")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if model.get("type", "BPE") != "BPE":
+        wrong.append("model")
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    wrong += [f"model.{o}" for o in options if model.get(o)]
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    wrong += [f"added token {t.get('content')!r}" for t in spec.get("added_tokens") or [] if any(t.get(f) for f in flags)]
+    if wrong:
+        raise ValueError(f"unknown settings of the tokenizer file: {', '.join(wrong)}")
+
+
 class Counter:
     """The counter, compiled state by state.
 
@@ -181,6 +203,7 @@ class Counter:
 
     def __init__(self, tokenizer: bytes, max_states: int = MAX_STATES) -> None:
         spec = json.loads(tokenizer)
+        check_spec(spec)
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         merges = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]

@@ -391,3 +391,27 @@ def test_both_ways_of_uniting_edges(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW_EDGES", 10)
     assert {r.rid: r.label for r in jaccard.components(edges).collect()} == small
     assert len({small[1000 + i] for i in range(41)}) == 1
+
+
+def test_mixed_texts(spark, docs, odd_rows):
+    """With texts, the mix has the same rows, and every text is cut behind the tokens it gives."""
+    rows = [*odd_rows, *((100 + i, f"  one\ttwo\n three {i} " + "w " * (i % 9), ("en", "de")[i % 2], f"s{i % 3}") for i in range(60))]
+    weights = {"lang": {"en": 3}}
+    plain = mixing.mix(docs(rows), weights, share=0.7)
+    out = mixing.mix(docs(rows), weights, share=0.7, keep_text=True)
+    assert out.columns == [*plain.columns, "text"]
+    assert Counter(tuple(r) for r in plain.collect()) == Counter(tuple(r)[:-1] for r in out.collect())
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+    texts = {}
+    for key, text, *_ in rows:
+        texts.setdefault(key, []).append(text)
+    cut = 0
+    for r in out.collect():
+        assert len(split.findall(r.text or "")) == r.take_tokens
+        if r.take_tokens == r.n_tokens:
+            assert r.text in texts[r.doc_id]
+        else:
+            cut += 1
+            assert any(split.findall(t or "")[: r.take_tokens] == split.findall(r.text) for t in texts[r.doc_id])
+    assert cut
+    assert mixing.mix(docs([]).limit(0), weights, keep_text=True).count() == 0

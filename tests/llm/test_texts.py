@@ -10,6 +10,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from shelfline.llm import language, personal, quality
+from shelfline.llm.common import text_view
 from shelfline.llm.token_counts import Counter, TokenCounter, token_counts
 
 
@@ -241,8 +242,101 @@ def test_quality(spark, docs, odd_rows, sf_dir):
     assert quality.assess(docs(odd_rows), None).where("keep").count() == len(odd_rows)
 
 
+def test_quality_on_rows_it_was_not_fitted_on(spark, sf_dir):
+    """The model is fitted on the labels of two thirds of the documents and judged on those of the rest."""
+    where = sf_dir.replace("0.001", "0.1")
+    table, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    seen = labels.where("pmod(xxhash64(doc_id, 'split'), 3) < 2")
+    unseen = labels.join(seen.select("doc_id"), "doc_id", "left_anti")
+    rows = quality.assess(table, quality.fit(table, seen)).join(unseen, "doc_id")
+    clean, bad = rows.where("quality = 1 AND toxic = 0"), rows.where("quality = 0 OR toxic = 1")
+    assert clean.count() > 500 and bad.count() > 100
+    assert clean.where("keep").count() >= 0.99 * clean.count()
+    assert bad.where("NOT keep").count() >= 0.9 * bad.count()
+
+
+def plain_rates(rows, q):
+    """Shrunken rates of paths from (host, path, p) rows, with loops."""
+    paths, hosts = {}, {}
+    for host, path, p in rows:
+        paths.setdefault((host, path), []).append(p[q])
+        hosts.setdefault(host, []).append(p[q])
+
+    def strength(mean, scatter, noise):
+        extra = scatter - noise
+        return min(1e6, max(1.0, mean * (1 - mean) / extra - 1)) if 0 < mean < 1 and extra > 0 else 1e6
+
+    mean = sum(map(sum, hosts.values())) / sum(map(len, hosts.values()))
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    k = strength(mean, np.var(rates), np.mean([mean * (1 - mean) / len(x) for x in hosts.values()]))
+    host_rate = {h: (sum(x) + k * mean) / (len(x) + k) for h, x in hosts.items()}
+    apart = [(sum(x) / len(x) - host_rate[h]) ** 2 for (h, _), x in paths.items()]
+    k = strength(mean, np.mean(apart), np.mean([host_rate[h] * (1 - host_rate[h]) / len(x) for (h, _), x in paths.items()]))
+    return {(h, p): (sum(x) + k * host_rate[h]) / (len(x) + k) for (h, p), x in paths.items()}
+
+
+def test_assess_equals_plain_evaluation(spark, docs, odd_rows, sf_dir):
+    """Posteriors of a small table from the classifier's probabilities, rates by loops and odds by hand; one id repeats."""
+    where = sf_dir.replace("0.001", "0.01")
+    table, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    model = quality.fit(table, labels)
+    rows = [*odd_rows, *((r.doc_id % 40, r.text, r.lang, r.source) for r in table.limit(150).collect())]
+    texts = pa.array([t for _, t, *_ in rows], pa.string())
+    p = model.probability(quality.describe(*text_view(texts), model.evidence))
+    sites = [(source, lang, p[i]) for i, (_, _, lang, source) in enumerate(rows)]
+    odds = lambda x: np.log(x / (1 - x))
+    want = []
+    rates = [plain_rates(sites, q) for q in range(2)]
+    for i, (key, *_) in enumerate(rows):
+        out = [key]
+        for q in range(2):
+            rate = min(max(rates[q][sites[i][:2]], 1e-6), 1 - 1e-6)
+            score = 1 / (1 + np.exp(-(odds(p[i][q]) + odds(rate) - odds(model.parts[q][2]))))
+            out += [p[i][q], rates[q][sites[i][:2]], score]
+        want.append((*out, max(out[3], out[6]) <= 0.5))
+    got = [(r.doc_id, r.low_doc, r.low_path, r.low_score, r.toxic_doc, r.toxic_path, r.toxic_score, r.keep) for r in quality.assess(docs(rows), model).collect()]
+    order = lambda r: (r[0] is not None, r[0] or 0, *np.round(r[1:7], 9), r[7])
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:7], b[1:7], rtol=1e-9, atol=1e-12) and a[7] == b[7]
+
+
+def test_judge_equals_the_fitted_model(spark):
+    """The trees read from the printed model give the probabilities of the model itself."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import DenseVector
+
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 6)).round(3)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] * x[:, 1] > 0.2)).astype(float)
+    table = spark.createDataFrame([(DenseVector(v), float(t)) for v, t in zip(x, y)], ["features", "label"])
+    model = GBTClassifier(maxIter=7, maxDepth=personal.DEPTH, seed=1, stepSize=0.3).fit(table)
+    judge = personal.Judge(personal.parse_trees(model.toDebugString, list(model.treeWeights)), list(model.treeWeights), [0.5] * len(personal.KINDS))
+    want = np.array([r.probability[1] for r in model.transform(table).collect()])
+    assert np.allclose(judge.probability(x), want, rtol=1e-12)
+
+
 def test_site_rates_shrink(spark):
     rows = [("big", "en", 0.9)] * 300 + [("small", "en", 0.9)] * 2 + [("other", "en", 0.1)] * 500 + [("third", "fr", 0.1)] * 400
     scores = spark.createDataFrame(rows, "host string, path string, low double")
     rate = {r.host: r.low_path for r in quality.site_rates(scores, "low").collect()}
     assert rate["big"] > rate["small"] > rate["other"] and abs(rate["big"] - 0.9) < 0.02
+
+
+def test_other_tokenizer_files_are_refused():
+    import json
+
+    from shelfline.llm.token_counts import check_spec
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    check_spec(spec)
+    token = {"content": "<x>", "lstrip": True}
+    changes = [
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [token]},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": {**spec["model"], "ignore_merges": True}},
+        {"model": {**spec["model"], "end_of_word_suffix": "</w>"}}, {"model": {"type": "Unigram"}},
+    ]
+    for change in changes:
+        with pytest.raises(ValueError):
+            check_spec(spec | change)
+    with pytest.raises(ValueError):
+        check_spec(json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()))
