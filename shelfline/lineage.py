@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local_folder: str | None = None
 #: Folders that this application has named and not removed.
 _named: list[str] = []
+_here = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A new sub-folder name; never reused, so nothing is overwritten."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _named.append(path)
+    for open_ in getattr(_here, "scratch", ()):
+        open_.append(path)
     return path
 
 
@@ -49,25 +53,34 @@ def remove(path: str) -> None:
         system.delete_dir(place)
 
 
-def clear(keep: Sequence[str] = (), since: int = 0) -> None:
-    """Delete the folders that this application has named since a point, but those of ``keep``.
+def clear(keep: Sequence[str] = ()) -> None:
+    """Delete the folders that this application has named, but those of ``keep``.
 
     To be called once results are written elsewhere: a frame that still reads from one of them is lost.
     """
-    for path in _named[since:]:
-        if path not in keep:
-            remove(path)
-    _named[since:] = [p for p in _named[since:] if p in keep]
+    _drop([p for p in _named if p not in keep])
+
+
+def _drop(paths: Sequence[str]) -> None:
+    for path in paths:
+        remove(path)
+        with contextlib.suppress(ValueError):
+            _named.remove(path)
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[list[str]]:
-    """Delete at the end what was named inside, but the folders put on the list."""
-    since, keep = len(_named), []
+    """Delete at the end what this thread has named inside, but the folders put on the list."""
+    if not hasattr(_here, "scratch"):
+        _here.scratch = []
+    named, keep = [], []
+    _here.scratch.append(named)
     try:
         yield keep
     finally:
-        clear(keep, since)
+        # By identity: an outer list may be equal to this one.
+        _here.scratch = [x for x in _here.scratch if x is not named]
+        _drop([p for p in named if p not in keep])
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def period_running_totals(
         w = Window.partitionBy(key, F.date_trunc(unit, day)).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
         return F.sum(value).over(w)
 
-    out = df.withColumns({f"_own_{u}": own(u) for u in units}).join(earlier, key, "left")
+    # Rows of a series stand together once, for the periods, the join and the windows to come.
+    out = df.repartition(key).withColumns({f"_own_{u}": own(u) for u in units}).join(earlier, key, "left")
     found = {
         name: F.when(F.col(value).isNotNull(), F.col(f"_own_{u}") + F.try_element_at("_before", period(u))[f"g{groups.index(tuple(by))}"])
         for name, (u, by) in totals.items()
