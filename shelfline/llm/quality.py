@@ -32,6 +32,8 @@ from shelfline.llm.common import lower_ascii, segment_hashes, ship, slices, text
 #: Labelled rows of the sample, hashed words, pseudo-documents of a word's share, rounds of fitting.
 SAMPLE_ROWS, BUCKETS, STRENGTH, ROUNDS = 20_000, 1 << 18, 4.0, 60
 QUESTIONS = ("low", "toxic")
+#: Bytes of text described at once.
+PIECE_BYTES = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BLANK = np.ones(256, bool)
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
         return None
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             bucket, owner = _distinct_words(*text_view(batch.column("text")))
             flags = [batch.column(q).to_numpy()[owner] for q in QUESTIONS]
             counts = np.bincount(bucket, minlength=BUCKETS)
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model
     shared = spark.sparkContext.broadcast(evidence)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             x = describe(*text_view(batch.column("text")), shared.value)
             lists = pa.array(x.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(q) for q in QUESTIONS)], ["x", *QUESTIONS])
@@ -229,7 +231,7 @@ def assess(docs: DataFrame, model: Model | None, host: str = "source", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             if model is None:
                 p = np.zeros((batch.num_rows, len(QUESTIONS)))
             else:

@@ -1,5 +1,7 @@
 """The stages, each against a plain version or a property of what it must leave."""
 
+import re
+
 import corpus_pipeline
 import pytest
 
@@ -73,7 +75,9 @@ def test_run(spark, where):
         else:
             assert find_personal(kept, None).where("size(base) > 0").isEmpty()
     out = corpus_pipeline.run(spark, where)
-    assert out.count() > 0 and "take_tokens" in out.columns
+    assert out.count() > 0 and {"take_tokens", "text"} <= set(out.columns)
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    assert all(len(words.findall(r.text or "")) == r.take_tokens for r in out.collect())
 
 
 def test_empty_and_odd(spark, docs, odd_rows, where):
