@@ -6,32 +6,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfline.functions.rolling import along, rolling
 from shelfline.functions.dates import monday_zero
+from shelfline.lineage import stage
+
+#: Series that a task compares with the first one at once.
+SERIES_AT_ONCE = 256
 
 
 def lagged_correlation(df: DataFrame, key: str, day: str, value: str, max_lag: int) -> DataFrame:
     """Correlation of the first series (smallest key) with each other one at lags -L..L.
 
-    Output (key, lag, r): r pairs the first series on a day with the other ``lag`` days earlier.
-    The first series is one value per calendar day, so its lagged copies are small enough
-    to broadcast; the other series are never shuffled against each other.
+    Output (key, lag, r): r pairs the first series on a day with the other ``lag`` days earlier, over
+    the days that both have; null where one of them does not vary. The first series is one value per calendar day
+    and goes to all tasks; every other one is one short array, so a batch of series and a lag are
+    a few matrix products, and no pair of days is ever a row. A lag without a common day gives no row.
     """
-    first = df.agg(F.min(key)).scalar()
-    anchor = df.filter(F.col(key) == first).select(
-        F.col(value).alias("_x"),
-        F.col(day).alias("_xd"),
-        F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"),
-    )
-    anchor = anchor.select("_x", "lag", F.expr("date_sub(_xd, lag)").alias(day))
-    others = df.filter(F.col(key) != first).select(key, day, F.col(value).alias("_y"))
-    return (
-        others.join(F.broadcast(anchor), day)
-        .groupBy(key, "lag")
-        .agg(F.corr("_x", "_y").alias("r"))
-    )
+    df = stage(df.select(key, day, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), "lagged-series")
+    ends = df.agg(F.min(key).alias("first"), F.min(day).alias("low"), F.max(day).alias("high")).first()
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, lag int, r double"
+    if ends["first"] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    place = F.datediff(day, F.lit(ends["low"]))
+    days = (ends["high"] - ends["low"]).days + 1
+    anchor, known = np.zeros(days), np.zeros(days)
+    for r in df.where(F.col(key) == F.lit(ends["first"])).select(place.alias("i"), F.col(value).alias("v")).collect():
+        anchor[r.i], known[r.i] = r.v, 1.0
+    anchor = (anchor - anchor.sum() / known.sum()) * known
+    series = df.where(F.col(key) != F.lit(ends["first"])).groupBy(key).agg(F.collect_list(place).alias("i"), F.collect_list(value).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SERIES_AT_ONCE):
+                piece = batch.slice(start, SERIES_AT_ONCE)
+                n = piece.num_rows
+                row = np.repeat(np.arange(n), np.diff(piece.column("i").offsets.to_numpy()))
+                y, there = np.zeros((n, days)), np.zeros((n, days))
+                at = piece.column("i").flatten().to_numpy()
+                y[row, at], there[row, at] = piece.column("v").flatten().to_numpy(), 1.0
+                y = (y - (y.sum(1) / there.sum(1))[:, None]) * there
+                lags, r, both = [], [], []
+                for lag in range(-min(max_lag, days - 1), min(max_lag, days - 1) + 1):
+                    x, own = (z[max(lag, 0) : days + min(lag, 0)] for z in (anchor, known))
+                    v, m = (z[:, max(-lag, 0) : days + min(-lag, 0)] for z in (y, there))
+                    count, sx, sy = m @ own, m @ x, v @ own
+                    xx, yy, xy = m @ (x * x), (v * v) @ own, v @ x
+                    vx, vy = count * xx - sx * sx, count * yy - sy * sy
+                    varies = (vx > 1e-12 * count * xx) & (vy > 1e-12 * count * yy)
+                    found = np.full(n, np.nan)
+                    found[varies] = (count * xy - sx * sy)[varies] / np.sqrt(vx[varies] * vy[varies])
+                    lags.append(np.full(n, lag, np.int32))
+                    r.append(found)
+                    both.append(count > 0)
+                keep = np.concatenate(both)
+                names = piece.column(key).take(pa.array(np.tile(np.arange(n), len(lags))[keep]))
+                r_ = np.concatenate(r)[keep]
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(lags)[keep]), pa.array(r_, mask=np.isnan(r_))], [key, "lag", "r"])
+
+    return series.mapInArrow(run, schema)
 
 
 def best_lags(correlations: DataFrame, key: str) -> DataFrame:

@@ -317,3 +317,31 @@ def test_quadratic_kappa_equals_matrix_form(spark):
     np.add.at(seen, (a, b), 1)
     expected = np.outer(np.bincount(a, minlength=5), np.bincount(b, minlength=5)) / 200
     assert found == pytest.approx(1 - (w * seen).sum() / (w * expected).sum())
+
+
+def test_lagged_correlation_with_gaps(spark):
+    """Against a plain loop: series with missing days, one that never varies, one without a common day at small lags."""
+    from shelfline.operators import diagnostics
+
+    rng = np.random.default_rng(8)
+    start, rows = date(2001, 1, 1), []
+    for name in ("a", "b", "c", "flat", "late"):
+        for d in range(40):
+            if (name == "late") != (d >= 30) or rng.random() < 0.2:
+                continue
+            rows.append((name, start + timedelta(days=d), 5.0 if name == "flat" else float(rng.integers(0, 50)) + 1e6))
+    rows.append(("b", start, None))
+    df = spark.createDataFrame(rows, "id string, date date, x double").repartition(3)
+    got = {(r.id, r.lag): r.r for r in diagnostics.lagged_correlation(df, "id", "date", "x", 6).collect()}
+    cell = {(n, d): v for n, d, v in rows if v is not None}
+    want = {}
+    for name in ("b", "c", "flat", "late"):
+        for lag in range(-6, 7):
+            pairs = [(v, cell[name, d - timedelta(days=lag)]) for (n, d), v in cell.items() if n == "a" and (name, d - timedelta(days=lag)) in cell]
+            if pairs:
+                x, y = np.array(pairs).T
+                want[name, lag] = None if x.std() == 0 or y.std() == 0 else np.corrcoef(x, y)[0, 1]
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k] is None) == (r is None) and (r is None or abs(got[k] - r) < 1e-9), k
+    assert diagnostics.lagged_correlation(df.limit(0), "id", "date", "x", 6).count() == 0
