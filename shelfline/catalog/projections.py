@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.catalog.base import CAL, DAILY, DAILY_SOLD, WEEKLY, query, r6
+from shelfline.catalog.base import DAILY, DAILY_SOLD, WEEKLY, query, r6
 from shelfline.functions.rolling import along, with_count_rolling
 from shelfline.functions.scalars import price_bin
 from shelfline.lineage import stage
