@@ -5,7 +5,7 @@ come from the functions of ``plans.model``."""
 from __future__ import annotations
 
 from datetime import date, timedelta
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -372,13 +372,11 @@ def _orders(spark, sf) -> DataFrame:
     return df
 
 
-def _linear(reg: float = 0.0, mix: float = 0.0):
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=_ORDER_COLUMNS, outputCol="features"),
-            LinearRegression(labelCol="o_totalprice", regParam=reg, elasticNetParam=mix, maxIter=20),
-        ]
-    )
+def _linear(reg: float = 0.0, mix: float = 0.0, weight: str | None = None):
+    line = LinearRegression(labelCol="o_totalprice", regParam=reg, elasticNetParam=mix, maxIter=20)
+    if weight:
+        line = line.setWeightCol(weight)
+    return Pipeline(stages=[VectorAssembler(inputCols=_ORDER_COLUMNS, outputCol="features"), line])
 
 
 def _cv(spark, sf) -> validation.CrossValidation:
@@ -563,9 +561,9 @@ def search_table(spark, sf):
     """All hundred tries with their settings and scores, best first."""
     df = folds.evaluation_split(_orders(spark, sf), "random", "o_orderkey", 0.25, 3)
     return ml.random_search(
-        df.filter("NOT is_validation"),
+        ml.same_moments(df.filter("NOT is_validation"), [*_ORDER_COLUMNS, "o_totalprice"], "weight"),
         df.filter("is_validation"),
-        _linear,
+        partial(_linear, weight="weight"),
         {"reg": (0.0, 5000.0), "mix": (0.0, 1.0)},
         100,
         "o_totalprice",

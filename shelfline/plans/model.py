@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -132,28 +133,60 @@ def random_search(
     metric: metrics.Metric,
     seed: int = 7,
     threads: int = 4,
+    at_once: int = 25,
 ) -> DataFrame:
     """Draw settings uniformly from the ranges and rank them by the metric on ``test``.
 
-    The prepared tables are staged once, before the first try.
+    The prepared tables are staged once, before the first try. ``at_once`` fitted models are scored in one pass over
+    ``test``. Linear models with squared error may be given ``same_moments`` of their rows as ``train``: then no fit reads the rows.
     """
     rng = random.Random(seed)
     draws = [{n: rng.uniform(*r) for n, r in ranges.items()} for _ in range(tries)]
     train, test = stage(train, "search-train"), stage(test, "search-test")
 
-    def one(item: tuple[int, dict[str, float]]) -> tuple:
-        i, settings = item
-        scored = make(**settings).fit(train).transform(test)
-        found = scored.agg(metric(F.col(label), F.col("prediction"))).first()[0]
-        return (i, *settings.values(), float(found))
+    def scores(models: Sequence[Model]) -> list[float]:
+        scored, names = test, []
+        for i, model in enumerate(models):
+            scored = model.transform(scored).select(*test.columns, *names, F.col("prediction").alias(f"_prediction_{i}"))
+            names.append(f"_prediction_{i}")
+        found = scored.agg(*[metric(F.col(label), F.col(n)).alias(n) for n in names]).first()
+        return [float(x) for x in found]
 
     with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(one, enumerate(draws)))
+        models = list(pool.map(lambda settings: make(**settings).fit(train), draws))
+        found = list(pool.map(scores, [models[i : i + at_once] for i in range(0, tries, at_once)]))
+    rows = [(i, *settings.values(), score) for (i, settings), score in zip(enumerate(draws), (x for part in found for x in part))]
     columns = ", ".join(f"{n} double" for n in ranges)
     table = train.sparkSession.createDataFrame(rows, f"iteration int, {columns}, score double")
     return table.orderBy("score", "iteration")
 
 
+def same_moments(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
+    """A few weighted rows with the count, means, variances and covariances of ``columns`` in ``df``, found in one pass.
+
+    A linear model with squared error, penalised or not, depends on nothing else, so it is the same on these rows. Rows
+    with a missing value are refused, as an assembler refuses them.
+    """
+    m = len(columns)
+    xs = [F.col(c).cast("double") for c in columns]
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    missing = reduce(lambda a, b: a | b, [x.isNull() | F.isnan(x) for x in xs])
+    found = df.agg(F.count(F.lit(1)), F.count_if(missing), *[F.avg(x) for x in xs], *[F.covar_pop(xs[i], xs[j]) for i, j in pairs]).first()
+    n, odd, means = found[0], found[1], np.array(found[2 : 2 + m], float)
+    if odd or not n:
+        raise ValueError(f"{odd} of {n} rows have a missing value among {list(columns)}")
+    both = np.zeros((m, m))
+    for (i, j), x in zip(pairs, found[2 + m :]):
+        both[i, j] = both[j, i] = x
+    deviation = np.sqrt(np.maximum(np.diag(both), 0.0))
+    safe = np.where(deviation > 0, deviation, 1.0)
+    # Of the correlations, as the columns' sizes may differ by far.
+    squares, turn = np.linalg.eigh(both / np.outer(safe, safe))
+    steps = (turn * np.sqrt(np.maximum(squares, 0.0) * m)).T * deviation
+    rows = [(*map(float, means + sign * step), n / (2 * m)) for step in steps for sign in (1, -1)]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*(f"`{c}` double" for c in columns), f"`{weight}` double"]))
+
+
 def save_and_load(model: PipelineModel, path: str) -> Model:
     model.write().save(path)
     return PipelineModel.load(path)
