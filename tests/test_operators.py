@@ -293,6 +293,103 @@ def test_latent_components_equal_dense_svd(spark):
         assert found[c + 1].to_numpy() == pytest.approx(v, abs=1e-6)
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bag_shuffles_texts_and_not_terms(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "cc"), (None, "aa aa"), (4, None)], "k int, t string")
+    bag = text.bag_of_words(df, "k", "t")
+    assert {(r.k, r.term, r.tf) for r in bag.collect()} == {(1, "aa", 2), (1, "bb", 1), (2, "cc", 1), (None, "aa", 2), (4, "nan", 1)}
+    assert "HashAggregate" not in _plan(bag)
+
+
+def test_bag_adds_up_repeated_and_null_keys(spark):
+    rows = [(1, "aa bb"), (1, "aa"), (None, "cc"), (None, "cc dd"), (2, "aa aa")]
+    bag = text.bag_of_words(spark.createDataFrame(rows, "k int, t string").repartition(3), "k", "t").collect()
+    assert sorted((str(r.k), r.term, r.tf) for r in bag) == [("1", "aa", 2), ("1", "bb", 1), ("2", "aa", 2), ("None", "cc", 2), ("None", "dd", 1)]
+
+
+def test_rare_terms_get_the_same_weights(spark, monkeypatch):
+    rows = [(i, f"common often{i % 2} rare{i // 2} only{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, t string")
+
+    def weights():
+        out = text.tf_idf(text.bag_of_words(df, "k", "t"), df.agg(F.count(F.lit(1))).scalar(), "k")
+        return {(r.k, r.term): r.weight for r in out.collect()}
+
+    whole = weights()
+    monkeypatch.setattr(text, "LOOKED_UP", 3)
+    split = weights()
+    assert len(whole) == 48 and split == pytest.approx(whole)
+    kept = text.prune(text.bag_of_words(df, "k", "t"), 1).collect()
+    assert {r.term for r in kept} == {"common", "often0", "often1", *(f"rare{i}" for i in range(6))}
+
+
+def test_latent_components_of_many_blocks(spark, monkeypatch):
+    """As one block, whatever the size of blocks; a row without a key counts for the projection alone."""
+    rng = np.random.default_rng(5)
+    cells = [(i, f"t{j:02d}", float(rng.random())) for i in range(40) for j in range(15) if rng.random() < 0.4 or j == i % 15]
+    weights = spark.createDataFrame([*cells, (None, "t00", 5.0)], "k int, term string, weight double")
+    monkeypatch.setattr(text, "BLOCK_CELLS", 20)
+    monkeypatch.setattr(text, "CHUNK_CELLS", 7)
+    loadings, values = text.latent_components(weights, "k", 2, passes=12)
+    a = np.zeros((40, 15))
+    for i, t, w in cells:
+        a[i, int(t[1:])] = w
+    assert [r.singular_value for r in values.orderBy("component").collect()] == pytest.approx(list(np.linalg.svd(a)[1][:2]), rel=1e-6)
+    held = loadings.toPandas().pivot(index="term", columns="component", values="loading").sort_index().to_numpy()
+    found = {(r.k, r.component): r.value for r in text.project(weights, loadings, "k").collect()}
+    want = {(i, c + 1): (a[i] @ held)[c] for i in range(40) for c in range(2)} | {(None, c + 1): 5.0 * held[0, c] for c in range(2)}
+    assert found == pytest.approx(want)
+    # A weight is not multiplied out to a row per component, and no join is by weight.
+    assert _plan(text.project(weights, loadings, "k")).count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from glob import glob
+    from time import sleep
+
+    from shelfline import lineage
+
+    files = lambda: set(glob("/tmp/blockmgr-*/*/shuffle_*.data"))
+    before, own = files(), spark.conf.get(lineage._FREE, None)
+    lineage.stage(spark.range(1000).repartition(7, "id"), "freed")
+    assert spark.conf.get(lineage._FREE, None) == own
+    for _ in range(50):
+        if not files() - before:
+            break
+        sleep(0.1)
+    assert not files() - before
+
+
+def test_linear_models_on_the_same_moments(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from shelfline.operators import metrics
+    from shelfline.plans import model
+
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), 9.0, 1e5 + 700.0 * float(a) - 30.0 * float(b) + float(50.0 * rng.standard_normal())) for a, b in rng.integers(0, 12, (300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, y double")
+    moments = model.same_moments(df, ["a", "b", "flat", "y"], "w")
+    assert moments.count() == 8
+
+    def make(weight=None, **settings):
+        line = LinearRegression(labelCol="y", maxIter=20, regParam=settings["reg"], elasticNetParam=settings["mix"])
+        return Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "flat"], outputCol="features"), line.setWeightCol(weight) if weight else line])
+
+    ranges = {"reg": (0.0, 500.0), "mix": (0.0, 1.0)}
+    plain = model.random_search(df, df, make, ranges, 5, "y", metrics.rmse).collect()
+    short = model.random_search(moments, df, lambda **s: make("w", **s), ranges, 5, "y", metrics.rmse, at_once=2).collect()
+    assert [r.iteration for r in short] == [r.iteration for r in plain]
+    assert [r.score for r in short] == pytest.approx([r.score for r in plain], rel=1e-6)
+    with pytest.raises(ValueError):
+        model.same_moments(df.unionByName(spark.createDataFrame([(None, 1.0, 9.0, 2.0)], df.schema)), ["a", "y"], "w")
+
+
 def test_step_pipeline_recomputes_from_the_first_change(spark, tmp_path):
     def add(df, by):
         return df.withColumn("v", F.col("v") + by)
