@@ -346,6 +346,78 @@ def test_latent_components_of_many_blocks(spark, monkeypatch):
     assert _plan(text.project(weights, loadings, "k")).count("FlatMapCoGroupsInArrow") == 1
 
 
+def _whole(spark, rows, kind="int", **options):
+    df = spark.createDataFrame(rows, f"k {kind}, t string").repartition(3)
+    bag = text.bag_of_words(df, "k", "t", ngrams=(1, 2), whole=True)
+    return df, bag, text.tf_idf(bag, df.agg(F.count(F.lit(1))).scalar(), "k", **options)
+
+
+@pytest.mark.parametrize("options", [{"min_df": 2, "sublinear": True}, {"min_df": 3, "smooth_idf": False}, {"max_features": 9}, {"use_idf": False}])
+def test_packed_weights_equal_the_long_ones(spark, monkeypatch, options):
+    """Repeated, null and empty keys and texts, and many small blocks and ranges."""
+    from shelfline.operators import packed
+
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in range(12)] + ["été", "größe"]
+    rows = [(int(i) if i < 30 else i % 4, " ".join(rng.choice(words, rng.integers(1, 12)))) for i in range(40)]
+    rows += [(None, "w1 w2 w1"), (None, "w2 w3"), (50, None), (51, ""), (52, "x w1")]
+    monkeypatch.setattr(text, "BLOCK_CELLS", 30)
+    for name, size in (("RANGE_TERMS", 5), ("RANGE_GRAMS", 16), ("AT_ONCE", 7)):
+        monkeypatch.setattr(packed, name, size)
+    df, _, weights = _whole(spark, rows, **options)
+    bag = text.bag_of_words(df, "k", "t", ngrams=(1, 2))
+    want = text.tf_idf(bag, df.agg(F.count(F.lit(1))).scalar(), "k", **options).collect()
+    found = packed.unpacked(weights).collect()
+    assert len(found) == len(want) and packed.vocabulary(weights).count() > 1
+    assert {(r.k, r.term): r.weight for r in found} == pytest.approx({(r.k, r.term): r.weight for r in want})
+
+
+def test_terms_of_words_with_blanks_are_one(spark):
+    """Pairs of different words may be one term."""
+    words_of = text.Words("[a-z] [a-z]|[a-z]+")
+    df = spark.createDataFrame([(1, "a b-cc"), (2, "aa-b c"), (3, "aa b-cc"), (4, "a b")], "k int, t string")
+    for ngrams in ((1, 1), (1, 2), (2, 3)):
+        want = text.tf_idf(text.bag_of_words(df, "k", "t", ngrams, words_of=words_of), F.lit(4), "k", 1).collect()
+        found = text.packed.unpacked(text.tf_idf(text.bag_of_words(df, "k", "t", ngrams, words_of=words_of, whole=True), F.lit(4), "k", 1)).collect()
+        assert {(r.k, r.term): r.weight for r in found} == pytest.approx({(r.k, r.term): r.weight for r in want})
+
+
+def test_latent_components_of_packed_weights(spark, monkeypatch):
+    """As of the long weights; a pass shuffles nothing, and what it wrote is gone."""
+    import os
+
+    from shelfline import lineage
+    from shelfline.operators import packed
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, rng.integers(2, 20)))) for i in range(60)]
+    rows += [(None, "w1 w2 w3"), (99, "unknown")]
+    monkeypatch.setattr(text, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(packed, "RANGE_TERMS", 11)
+    before = set(os.listdir(lineage.shared_folder(spark)))
+    _, bag, weights = _whole(spark, rows, min_df=2, sublinear=True)
+    assert weights.blocks.count() > 2
+    lineage.drop([bag.path])
+    long = packed.unpacked(weights)
+    loadings, values = text.latent_components(weights, "k", 3)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(lineage.shared_folder(spark))) - before}
+    assert left <= {"vocabulary", "weights", "latent-pass", "checkpoints"}
+    _, singular = text.latent_components(long, "k", 3)
+    assert [r.singular_value for r in values.collect()] == pytest.approx([r.singular_value for r in singular.collect()])
+    found = {(r.k, r.component): r.value for r in text.project(weights, loadings, "k").collect()}
+    want = {(r.k, r.component): r.value for r in text.project(long, loadings, "k").collect()}
+    assert found == pytest.approx(want, abs=1e-12) and len(found) == 61 * 3 and (99, 1) not in found
+    some = loadings.where("term IN ('w1', 'w2 w3')")
+    found = {(r.k, r.component): r.value for r in text.project(weights, some, "k").collect()}
+    want = {(r.k, r.component): r.value for r in text.project(long, some, "k").collect()}
+    assert found == pytest.approx(want, abs=1e-12) and 0 < len(found) < 61 * 3
+    step = packed.times(weights, "unused", 13, [np.eye(13)])
+    assert "Exchange" not in _plan(step) and "Exchange" not in _plan(packed.back(packed.by_range(weights), "unused", "unused", 13))
+    n, terms = F.lit(62), text.explained_variance(text.project(weights, loadings, "k"), weights, F.lit(62), "k").collect()
+    plain = text.explained_variance(text.project(long, loadings, "k"), long, n, "k").collect()
+    assert {r.component: r.ratio for r in terms} == pytest.approx({r.component: r.ratio for r in plain})
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from glob import glob
     from time import sleep
