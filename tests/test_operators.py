@@ -361,8 +361,8 @@ def test_packed_weights_equal_the_long_ones(spark, monkeypatch, options):
     words = [f"w{x}" for x in range(12)] + ["été", "größe"]
     rows = [(int(i) if i < 30 else i % 4, " ".join(rng.choice(words, rng.integers(1, 12)))) for i in range(40)]
     rows += [(None, "w1 w2 w1"), (None, "w2 w3"), (50, None), (51, ""), (52, "x w1")]
-    monkeypatch.setattr(text, "BLOCK_CELLS", 30)
-    for name, size in (("RANGE_TERMS", 5), ("RANGE_GRAMS", 16), ("AT_ONCE", 7)):
+    monkeypatch.setattr(text, "PACKED_CELLS", 30)
+    for name, size in (("RANGE_TERMS", 5), ("RANGE_GRAMS", 16), ("AT_ONCE", 7), ("TOKENS_AT_ONCE", 20)):
         monkeypatch.setattr(packed, name, size)
     df, _, weights = _whole(spark, rows, **options)
     bag = text.bag_of_words(df, "k", "t", ngrams=(1, 2))
@@ -392,7 +392,7 @@ def test_latent_components_of_packed_weights(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, rng.integers(2, 20)))) for i in range(60)]
     rows += [(None, "w1 w2 w3"), (99, "unknown")]
-    monkeypatch.setattr(text, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(text, "PACKED_CELLS", 40)
     monkeypatch.setattr(packed, "RANGE_TERMS", 11)
     before = set(os.listdir(lineage.shared_folder(spark)))
     _, bag, weights = _whole(spark, rows, min_df=2, sublinear=True)
