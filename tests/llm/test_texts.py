@@ -1,11 +1,13 @@
 """Token counts, language, personal data and quality, row by row, against plain versions."""
 
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -220,6 +222,41 @@ def test_disguised_spans(spark, docs, sf_dir):
                 assert clean[i] == prose.format(s)
 
 
+def test_judge_is_fitted_on_all_texts(spark, docs, monkeypatch):
+    """Every example of every text is fitted or held out; thresholds equal those of the whole held-out list."""
+    from pyspark.ml.classification import GBTClassifier
+
+    many = "".join(f"write to a{i}@mail{i}.example.com today. " for i in range(300))
+    assert len(list(personal.examples(many, 1))) == 900
+    rows = [(i, f"call +1 (974) 555-{i:04} or 10.0.{i % 250}.{i % 90 + 1} on 2019-03-{i % 28 + 1:02}", "en", "a") for i in range(6000)]
+    rows.append((6000, many, "en", "a"))
+    weights = []
+    fit = GBTClassifier.fit
+
+    def seen(self, table, *more):
+        own = table.withColumn("weight", table["weight"] if "weight" in table.columns else F.lit(1.0))
+        weights.append(own.agg(F.sum("weight")).first()[0])
+        return fit(self, table, *more)
+
+    monkeypatch.setattr(GBTClassifier, "fit", seen)
+    held = []
+    thresholds = personal._thresholds
+    monkeypatch.setattr(personal, "_thresholds", lambda table, judge: held.extend(table.collect()) or thresholds(table, judge))
+    judge = personal.fit(docs(rows))
+    total = weights[0] + sum(r.n for r in held)
+    assert total == sum(len(list(personal.examples(t, i))) for i, t, *_ in rows) >= 6000 * 4
+    assert weights[0] > 0.6 * total
+    for kind in range(len(personal.KINDS)):
+        own = [(p, r.label, r.n) for r, p in zip(held, judge.probability(np.array([r.x for r in held]))) if r.x[0] == kind]
+        want = math.inf
+        for p in sorted({p for p, *_ in own}, reverse=True):
+            passed = [(label, n) for q, label, n in own if q >= p]
+            if p > 0.5 and sum(label * n for label, n in passed) >= personal.PRECISION * sum(n for _, n in passed):
+                want = p
+        assert judge.thresholds[kind] == want
+    assert sum(t < math.inf for t in judge.thresholds) >= 2
+
+
 def test_trees_from_print():
     text = "Model\n  Tree 0 (weight 1.0):\n    If (feature 1 <= 0.5)\n     If (feature 0 <= 2.0)\n      Predict: 1.0\n     Else (feature 0 > 2.0)\n      Predict: 2.0\n    Else (feature 1 > 0.5)\n     Predict: -3.0\n"
     judge = personal.Judge(personal.parse_trees(text, [1.0]), [1.0], [0.5] * 4)
