@@ -64,6 +64,25 @@ def test_near_duplicates_by_row(spark, docs, where):
     same([*bare, (1, group[3]), (1, group[3]), (5, clean[2]), (5, clean[2])], [*bare, (1, group[3]), (5, clean[2])])
 
 
+def test_personal_data_stage_learns_from_all_rows(spark, docs, where, monkeypatch):
+    """No text and no span of a text is left out of the fit, and all are redacted."""
+    from pyspark.ml.classification import GBTClassifier
+
+    fitted, fit = [], GBTClassifier.fit
+
+    def seen(self, table, *more):
+        fitted.append(sum(r.weight if "weight" in table.columns else 1 for r in table.collect()))
+        return fit(self, table, *more)
+
+    monkeypatch.setattr(GBTClassifier, "fit", seen)
+    rows = [(i, f"call +1 (974) 555-{i:04} or a{i % 50}@mail.example.com", "en", "a") for i in range(6000)]
+    rows.append((6000, "".join(f"write to b{i}@mail{i}.example.com today. " for i in range(200)), "en", "a"))
+    out = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs(rows), where).collect()}
+    # Three examples of a span, about a third of the texts held out.
+    assert 0.6 * 36_000 < fitted[0] < 0.72 * 36_600
+    assert out == {i: "call [phone] or [email]" if i < 6000 else "write to [email] today. " * 200 for i in range(6001)}
+
+
 def test_run(spark, where):
     docs = spark.read.parquet(f"{where}/documents.parquet")
     bench = spark.read.parquet(f"{where}/benchmark.parquet")
