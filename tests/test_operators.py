@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,6 +373,75 @@ def test_packed_weights_equal_the_long_ones(spark, monkeypatch, options):
     assert {(r.k, r.term): r.weight for r in found} == pytest.approx({(r.k, r.term): r.weight for r in want})
 
 
+def test_shared_tables_are_read_once_for_many_rows(spark, monkeypatch, tmp_path):
+    """A task reads vectors, products, hashes and vocabulary once for all the rows it holds; the results do not depend on how many."""
+    import os
+
+    from shelfline.operators import packed
+
+    plain = packed.tools
+
+    def logged():
+        t = plain()
+
+        def told(function):
+            def call(*args, **more):
+                with open(tmp_path / f"{os.getpid()}-{id(args)}", "a") as f:
+                    f.write(f"{function.__name__}\n")
+                return function(*args, **more)
+
+            return call
+
+        for name in ("read", "frequent", "looked_up", "counted"):
+            setattr(t, name, told(getattr(t, name)))
+        return t
+
+    def calls(name):
+        return sum(line == name for x in tmp_path.iterdir() for line in x.read_text().split())
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, 12))) for i in range(120)]
+    monkeypatch.setattr(text, "PACKED_CELLS", 20)
+    monkeypatch.setattr(packed, "TOKENS_AT_ONCE", 15)
+    monkeypatch.setattr(packed, "tools", logged)
+    found = []
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(packed, "HELD_CELLS", held)
+        monkeypatch.setattr(packed, "HELD_TOKENS", held)
+        df, bag, weights = _whole(spark, rows, min_df=2, sublinear=True)
+        tasks = weights.blocks.rdd.getNumPartitions()
+        loadings, values = text.latent_components(weights, "k", 2, passes=1)
+        got = text.project(weights, loadings, "k")
+        ratio = {r.component: r.ratio for r in text.explained_variance(got, weights, F.lit(120), "k").collect()}
+        long = packed.unpacked(weights)
+        assert ratio == pytest.approx({r.component: r.ratio for r in text.explained_variance(got, long, F.lit(120), "k").collect()})
+        found.append(({r.singular_value for r in values.collect()}, {(r.k, r.term): r.weight for r in long.collect()}))
+    assert sorted(found[0][0]) == pytest.approx(sorted(found[1][0])) and found[0][1] == pytest.approx(found[1][1])
+    assert calls("looked_up") == 0 and calls("frequent") <= bag.rows.rdd.getNumPartitions() + bag.rows.count()
+    for x in tmp_path.iterdir():
+        x.write_text("")
+    path = packed.fresh_path(spark, "vectors")
+    packed.stage_at(path, packed.flat(packed.vocabulary(weights).select("range", "idf", F.flatten(F.transform("terms", lambda _: F.array(F.lit(1.0)))).alias("v"))))
+    blocks = weights.blocks.count()
+    assert packed.times(weights, path, 1, [np.eye(1)]).count() == blocks > 2 * tasks
+    assert 0 < calls("read") <= tasks
+
+
+def test_terms_of_one_hash_are_told_apart(spark):
+    """Thue-Morse words have one polynomial hash whatever its odd factor."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(i, f"{a} x y" if i % 3 else f"{b} x") for i in range(9)]
+    rows += [(9, f"{a} {b} z")]
+    for min_df in (1, 4):
+        df, _, weights = _whole(spark, rows, min_df=min_df)
+        want = text.tf_idf(text.bag_of_words(df, "k", "t", ngrams=(1, 2)), df.agg(F.count(F.lit(1))).scalar(), "k", min_df).collect()
+        found = text.packed.unpacked(weights).collect()
+        assert {(r.k, r.term): r.weight for r in found} == pytest.approx({(r.k, r.term): r.weight for r in want})
+    assert len(set(text.packed.tools().hashes_of(pa.array([a, b])).tolist())) == 1
+
+
 def test_terms_of_words_with_blanks_are_one(spark):
     """Pairs of different words may be one term."""
     words_of = text.Words("[a-z] [a-z]|[a-z]+")
